@@ -126,14 +126,17 @@ def train(docs: DataFrame, marks: DataFrame, *, max_fit_rows: int = 12_000, epoc
     ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - 3 * np.sqrt(1 / toxic + 1 / clean))
     ratio[(toxic + clean) < 2 * PRIOR + 3] = 0
 
+    informative = docs.sparkSession.sparkContext.broadcast(ratio != 0)
+
     def bits(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([places(x).astype("<u4").tobytes() for x in batch.column(0).to_pylist()], pa.binary())], names=["label", "places"])
+            found = [at[informative.value[at]] for at in map(places, batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([at.astype("<u4").tobytes() for at in found], pa.binary())], names=["label", "places"])
 
     order = F.md5(F.col("id").cast("string"))
     picked = marks.filter("label = 0").orderBy(order, "id").limit(max_fit_rows // 2).union(marks.filter("label = 1").orderBy(order, "id").limit(max_fit_rows // 2))
     sample = docs.join(F.broadcast(picked), "id").select("text", "label").mapInArrow(bits, "label int, places binary").toPandas().sort_values(["places", "label"], kind="stable")
-    rows = [at[ratio[at] != 0] for at in (np.frombuffer(x, "<u4").astype(np.int64) for x in sample.places)]
+    rows = [np.frombuffer(x, "<u4").astype(np.int64) for x in sample.places]
     weights, bias = _fit(rows, sample.label.to_numpy(float), ratio, epochs, l2)
     return ToxicityModel(weights, bias, threshold)
 
