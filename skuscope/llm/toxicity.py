@@ -27,6 +27,7 @@ from .shared import shuffle_width, written
 BITS = 20
 ORDERS = (4, 5, 6)
 SLICES = 256
+MOST_PLACES = 1 << 16
 PRIOR = 1.0
 
 
@@ -37,20 +38,30 @@ class ToxicityModel:
     threshold: float = 0.7
 
 
-def places(text: str | None, bits: int = BITS, orders=ORDERS) -> np.ndarray:
-    """The distinct hashed places of the n-grams of a whole text, sorted; null is the empty text."""
+def hashed(text: str | None, bits: int = BITS, orders=ORDERS) -> np.ndarray:
+    """The hashed places of all n-grams of a whole text, repeats included; null is the empty text."""
     raw = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4")
-    raw = np.where(raw < 33, 32, raw).astype(np.uint64)
-    seen = np.zeros(1 << bits, bool)
-    code, length = raw, 1
+    code, length = np.maximum(raw, 32).astype(np.uint64), 1  # control characters count as white space
+    raw = code
+    found = []
     for n in sorted(orders):
         if len(raw) < n:
             break
         while length < n:
-            code = code[:-1] * np.uint64(0x100000001B3) + raw[length:]
+            code = code[:-1] * np.uint64(0x100000001B3)
+            code += raw[length:]
             length += 1
-        mixed = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        seen[(mixed >> np.uint64(64 - bits)).astype(np.int64)] = True
+        found.append(((code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def places(text: str | None, among: np.ndarray | None = None) -> np.ndarray:
+    """The distinct places of a whole text's n-grams, of those marked in `among`, sorted."""
+    at = hashed(text)
+    if among is not None:
+        return np.unique(at[among[at]])
+    seen = np.zeros(1 << BITS, bool)
+    seen[at] = True
     return np.flatnonzero(seen)
 
 
@@ -126,18 +137,22 @@ def train(docs: DataFrame, marks: DataFrame, *, max_fit_rows: int = 12_000, epoc
     ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - 3 * np.sqrt(1 / toxic + 1 / clean))
     ratio[(toxic + clean) < 2 * PRIOR + 3] = 0
 
+    if np.count_nonzero(ratio) > MOST_PLACES:  # the strongest
+        ratio[np.abs(ratio) < np.partition(np.abs(ratio), -MOST_PLACES)[-MOST_PLACES]] = 0
     informative = docs.sparkSession.sparkContext.broadcast(ratio != 0)
 
     def bits(batches):
         for batch in batches:
-            found = [at[informative.value[at]] for at in map(places, batch.column(0).to_pylist())]
+            found = [places(x, informative.value) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([at.astype("<u4").tobytes() for at in found], pa.binary())], names=["label", "places"])
 
     order = F.md5(F.col("id").cast("string"))
     picked = marks.filter("label = 0").orderBy(order, "id").limit(max_fit_rows // 2).union(marks.filter("label = 1").orderBy(order, "id").limit(max_fit_rows // 2))
     sample = docs.join(F.broadcast(picked), "id").select("text", "label").mapInArrow(bits, "label int, places binary").toPandas().sort_values(["places", "label"], kind="stable")
-    rows = [np.frombuffer(x, "<u4").astype(np.int64) for x in sample.places]
+    rows = [np.frombuffer(x, "<u4") for x in sample.places]
     weights, bias = _fit(rows, sample.label.to_numpy(float), ratio, epochs, l2)
+    fitted = np.bincount(sample.label.to_numpy(), minlength=2)
+    bias += math.log(texts[1] / fitted[1]) - math.log(texts[0] / fitted[0])  # the labels' shares among all rows
     return ToxicityModel(weights, bias, threshold)
 
 
@@ -150,15 +165,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_column: str =
     is broadcast.
     """
     docs = docs.drop("score", "predicted")
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.weights != 0, model.bias))
     text_at = docs.columns.index(text_column)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = sent.value
+        weights, informative, bias = sent.value
         for batch in batches:
             found = []
             for text in batch.column(text_at).to_pylist():
-                at = places(text)
+                at = places(text, informative)
                 z = weights[at].sum() + bias
                 found.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(z))))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
