@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -174,34 +175,56 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
+#: A word of these characters only is cut by the tokenizer where letters and marks meet,
+#: and lower-cased letter by letter; so its ids are those of its runs.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+")
+_RUN = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
+
+
+class _Ids(dict):
+    """Token ids (as bytes) of words without spaces; each distinct run is tokenized once, until `cached` are there."""
+
+    def __init__(self, path: str, cached: int = 500_000):
+        self.encode, self.cached, self.runs = tokenizer(path).encode, cached, {}
+
+    def encoded(self, word: str) -> bytes:
+        return array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def of_run(self, run: str) -> bytes:
+        found = self.runs.get(run)
+        if found is None:
+            if len(self.runs) >= 2 * self.cached:
+                self.runs.clear()
+            found = self.runs[run] = self.encoded(run)
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.cached:
+            self.clear()
+        plain = _PLAIN.fullmatch(word) and "<|" not in word
+        found = self[word] = b"".join(map(self.of_run, _RUN.findall(word.lower()))) if plain else self.encoded(word)
+        return found
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     """Token ids of each document, then end_id, cut into pieces of `capacity`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_batch
-        known: dict[str, bytes] = {}
-        end = np.array([end_id], "<u4").tobytes()
+        known = _Ids(path)
+        end = array("I", [end_id]).tobytes()
         row_number, task = 0, TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("uid", "id", "piece", "start", "length", "ids")}
+            out: dict[str, list] = {n: [] for n in _PIECE.names}
             size = 0
-            words = [x.replace("\n", " ").split(" ") for x in batch.column(1).to_pylist()]
-            for at in range(0, len(words), 256):
-                new = list(set().union(*words[at : at + 256]).difference(known))
-                if len(known) > 1_500_000:
-                    known, new = {}, list(set().union(*words[at : at + 256]))
-                for k in range(0, len(new), 4096):
-                    part = new[k : k + 4096]
-                    known.update(zip(part, (np.array(x.ids, "<u4").tobytes() for x in encode(part, add_special_tokens=False))))
-                for doc_id, own in zip(batch.column(0).to_pylist()[at : at + 256], words[at : at + 256]):
-                    ids = b"".join([*map(known.__getitem__, own), end])
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[start : start + 4 * capacity]
-                        for n, v in zip(out, (task + row_number, doc_id, piece, start // 4, len(part) // 4, part)):
-                            out[n].append(v)
-                        size += len(part)
-                    row_number += 1
-                if size > 16 << 20:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = b"".join([*map(known.__getitem__, text.replace("\n", " ").split(" ")), end])
+                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start : start + 4 * capacity]
+                    for n, v in zip(out, (task + row_number, doc_id, piece, start // 4, len(part) // 4, part)):
+                        out[n].append(v)
+                size += len(ids)
+                row_number += 1
+                if size > 8 << 20:
                     yield pa.RecordBatch.from_pydict(out, _PIECE)
                     out, size = {n: [] for n in out}, 0
             yield pa.RecordBatch.from_pydict(out, _PIECE)
