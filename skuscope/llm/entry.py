@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, simhash, tokens, toxicity
+from . import media, mixing, packing, simhash, tokens, toxicity, warc
 from .shared import table
 
 
@@ -44,9 +44,13 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op6_media_columns, op7_best_fit_packing, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_warc, op6_media_columns, op7_best_fit_packing, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_mix_sources": mixing.ORACLE_OP1}
+    return {"op1_mix_sources": mixing.ORACLE_OP1, "op3_warc": warc.ORACLE_OP3}
