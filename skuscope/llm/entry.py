@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, simhash, tokens, toxicity, warc
+from . import dedup, media, mixing, packing, simhash, tokens, toxicity, warc
 from .shared import table
 
 
@@ -48,8 +48,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_warc, op6_media_columns, op7_best_fit_packing, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_warc, op6_media_columns, op7_best_fit_packing, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
