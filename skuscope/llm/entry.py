@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, media, mixing, packing, simhash, tokens, toxicity, warc
+from . import dedup, hamming, media, mixing, packing, simhash, tokens, toxicity, warc
 from .shared import table
 
 
@@ -53,9 +53,13 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_warc, op6_media_columns, op7_best_fit_packing, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_warc, op5_topk_search, op6_media_columns, op7_best_fit_packing, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_mix_sources": mixing.ORACLE_OP1, "op3_warc": warc.ORACLE_OP3}
+    return {"op1_mix_sources": mixing.ORACLE_OP1, "op3_warc": warc.ORACLE_OP3, "op5_topk_search": hamming.ORACLE_OP5}
