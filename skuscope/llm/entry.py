@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, hamming, media, mixing, packing, simhash, tokens, toxicity, warc
+from . import dedup, hamming, media, mixing, packing, simhash, tokens, toxicity, warc, wrappers
 from .shared import table
 
 
@@ -57,8 +57,12 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_warc, op5_topk_search, op6_media_columns, op7_best_fit_packing, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_warc, op4_html_extraction, op5_topk_search, op6_media_columns, op7_best_fit_packing, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
