@@ -1,6 +1,64 @@
-"""The corpus pipeline (being built)."""
+"""A corpus pipeline of five stages over documents; each stage's rows are written and read again as the next one's.
+
+The first four return the columns of documents, the last the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skuscope.llm import dedup, mixing, packing, simhash, toxicity
+from skuscope.llm.entry import vocabulary
+from skuscope.llm.shared import table, written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier, trained on the labels, calls toxic."""
+    model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate group.
+
+    Shingles are five words here; two texts with a similarity of 0.8 or more
+    differ in few bits of their fingerprints. Rows without an id stay.
+    """
+    groups = simhash.near_duplicates(docs, shingle=5).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out 50-byte strings that a document with a smaller id has."""
+    left = dedup.without_repeats(docs)
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and samples documents so that sources come to their target weights."""
+    return mixing.repeated_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the mix into sequences of 2048 tokens: one row a piece, with its ids."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("simhash_near_dedup", one_of_near_copies),
+    ("suffix_array_dedup", without_repeated_passages),
+    ("mixing", mixed),
+    ("best_fit_packing", packed),
+]
+
+#: Toxicity and suffix sorting can't be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

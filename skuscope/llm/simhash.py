@@ -36,10 +36,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [fingerprint(x) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(x, shingle) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+
+    return run
 
 
 def segment_counts(fp: Column) -> Column:
@@ -110,7 +113,7 @@ def near_links(fingerprints: DataFrame, *, distance: int = 3, blocks: int = 6, c
     return links.unionByName(many.groupBy("table", "cell", "i", "j").applyInArrow(_local_stars(distance), "u long, v long")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", distance: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id, the smallest id reachable by links of at most `distance` bits.
 
     Documents with equal fingerprints are one node, so copies are never paired.
@@ -118,7 +121,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     any other; null ids get a component but never name one; repeated rows have
     a row each; an empty table gives an empty result; other columns are not read.
     """
-    marked = written(docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(_fingerprints, "id long, fp long"), "fingerprints")
+    marked = written(docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(_fingerprints(shingle), "id long, fp long"), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     parts = connected_components(near_links(nodes.select("fp"), distance=distance))
     labelled = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
