@@ -185,24 +185,27 @@ class _Ids(dict):
     """Token ids (as bytes) of words without spaces; each distinct run is tokenized once, until `cached` are there."""
 
     def __init__(self, path: str, cached: int = 500_000):
-        self.encode, self.cached, self.runs = tokenizer(path).encode, cached, {}
+        from tokenizers import normalizers, pre_tokenizers
 
-    def encoded(self, word: str) -> bytes:
-        return array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        self.encode, self.cached, self.runs = tokenizer(path).encode, cached, {}
+        bare = tokenizer(path)  # for runs, which normalizing and cutting leave as they are
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.encode_run = bare.encode
 
     def of_run(self, run: str) -> bytes:
         found = self.runs.get(run)
         if found is None:
             if len(self.runs) >= 2 * self.cached:
                 self.runs.clear()
-            found = self.runs[run] = self.encoded(run)
+            found = self.runs[run] = array("I", self.encode_run(run, add_special_tokens=False).ids).tobytes()
         return found
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.cached:
             self.clear()
         plain = _PLAIN.fullmatch(word) and "<|" not in word
-        found = self[word] = b"".join(map(self.of_run, _RUN.findall(word.lower()))) if plain else self.encoded(word)
+        found = self[word] = b"".join(map(self.of_run, _RUN.findall(word.lower()))) if plain else array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
         return found
 
 
