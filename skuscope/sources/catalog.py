@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skuscope.functions import text as t
 
@@ -106,4 +105,3 @@ def validate_uploads(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", F.when(~suffix.isin(*IMAGE_SUFFIXES), "unsupported type").when(F.col("length") > MAX_UPLOAD, "too large"))
 
 
-VEHICLE = T.StructType().add("make", "string").add("model", "string").add("year", "int")
