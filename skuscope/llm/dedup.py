@@ -3,6 +3,7 @@
 1. A document's windows of `length` bytes are cut into stretches whose least
    hashed k-gram (minimizer) is the same. Equal windows have equal minimizers,
    so all copies of a window meet at its minimizer.
+   (Exact copies of a smaller document go whole and take no further part.)
 2. Stretches whose minimizer occurs in one document only can't repeat; the
    others' bytes go to the shard of their minimizer.
 3. A shard sorts the suffixes of its distinct stretches by external induced
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shuffle_width, text_or_empty
+from .shared import shuffle_width, text_or_empty, written
 from .suffixes import sorted_suffixes
 
 LENGTH = 50
@@ -36,7 +37,7 @@ _BLOB_DDL = "place int, cols binary"
 _BLOB = pa.schema([("place", pa.int32()), ("cols", pa.binary())])
 
 #: rid: of a document's row; doc: its id; start, count: a stretch of windows.
-ANCHOR = (("h", "<u4"), ("rid", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("count", "<u4"), ("known", "u1"))
+ANCHOR = (("h", "<u4"), ("rid", "<i8"), ("start", "<u4"), ("count", "u1"), ("known", "u1"))
 STRETCH = (("h", "<u4"), ("rid", "<i8"), ("start", "<u4"), ("count", "<u4"))
 FRAGMENT = (("rid", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("count", "<u4"), ("size", "<u4"))
 
@@ -142,12 +143,16 @@ def _anchors(buckets: int, places: int):
             h, first, count = stretches(np.frombuffer(b"".join(texts), np.uint8), ends)
             owner = np.searchsorted(ends, first, side="right")
             start = first - (ends - np.array([len(x) for x in texts]))[owner]
-            columns = {"h": (h // np.uint64(buckets)).astype(np.uint32), "rid": rids[owner], "doc": docs[owner], "start": start, "count": count}
-            order = np.lexsort((columns["doc"], h))
+            pieces = -(-count // 255)  # a count is one byte
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            h, owner, start = (np.repeat(x, pieces) for x in (h, owner, start))
+            start, count = start + 255 * nth, np.minimum(np.repeat(count, pieces) - 255 * nth, 255)
+            columns = {"h": (h // np.uint64(buckets)).astype(np.uint32), "rid": rids[owner], "start": start, "count": count}
+            order = np.lexsort((docs[owner], h))
             new = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
             group = np.cumsum(new) - 1
             at = np.flatnonzero(new)
-            doc = columns["doc"][order]
+            doc = docs[owner][order]
             last = np.concatenate([at[1:], [len(h)]]) - 1 if len(h) else at
             several = doc[at] != doc[last]
             known = np.zeros(len(h), bool)
@@ -188,9 +193,9 @@ def _shared(places: int):
                 continue
             columns = joined(ANCHOR, raws)
             order = np.argsort(columns["h"], kind="stable")
-            h, doc = columns["h"][order], columns["doc"][order]
+            h, rid = columns["h"][order], columns["rid"][order]
             at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | (np.maximum.reduceat(columns["known"][order], at) > 0)
+            several = (np.minimum.reduceat(rid, at) != np.maximum.reduceat(rid, at)) | (np.maximum.reduceat(columns["known"][order], at) > 0)
             mask = np.zeros(len(h), bool)
             mask[order] = np.repeat(several, np.diff(np.append(at, len(h))))
             mask &= columns["known"] == 0  # the known ones have been passed on
@@ -339,11 +344,13 @@ def _removed(with_text: bool):
         start = columns["start"][order].astype(np.int64)
         end = start + columns["count"][order].astype(np.int64) - 1 + LENGTH
         out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
-        for own, doc, text in zip(*(left.column(n).to_pylist() for n in ("rid", "doc", "text"))):
+        for own, doc, text, copy in zip(*(left.column(n).to_pylist() for n in ("rid", "doc", "text", "copy"))):
             raw = text.encode("utf-8", "surrogatepass")
             a, b = np.searchsorted(rid, [own, own + 1]) if doc is not None else (0, 0)
             spans = []
-            if a < b:
+            if copy:
+                spans = [(0, len(raw))] if len(raw) >= LENGTH else []
+            elif a < b:
                 s, e = start[a:b], np.maximum.accumulate(end[a:b])
                 heads = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
                 spans = list(zip(s[heads].tolist(), e[np.append(heads[1:], len(s)) - 1].tolist()))
@@ -358,6 +365,19 @@ def _removed(with_text: bool):
     return run
 
 
+def with_copies(rows: DataFrame) -> DataFrame:
+    """Marks rows(doc, text) whose text a smaller doc has too (by its SHA-256). All windows of such a
+    copy are the smaller document's, and what repeats it repeats that, so copies need no sorting.
+
+    The digests that occur more than once are broadcast up to a million of them, and joined by a shuffle beyond.
+    """
+    rows = rows.withColumn("sha", F.sha2("text", 256))
+    several = rows.filter("doc is not null").groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("sha", "least")
+    several = written(several, "copies")
+    joined = rows.join(F.broadcast(several) if several.count() <= 1_000_000 else several, "sha", "left")
+    return joined.withColumn("copy", F.coalesce(F.col("doc") > F.col("least"), F.lit(False))).drop("sha", "least")
+
+
 def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), with_text: bool = False, memory: int = 32 << 20) -> DataFrame:
     """Removes each byte covered by a 50-byte string that also starts in a document with a smaller id.
 
@@ -376,8 +396,9 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     row = F.struct(F.col(id_column), *[F.col(c) for c in carry if c != id_column]).alias("row")
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), text_or_empty(docs, text_column).alias("text"), row)
     rows = rows.withColumn("rid", F.xxhash64("doc", "text").bitwiseAND(F.lit((1 << 62) - 1)))
-    held = rows.select("rid", "doc", "text", "row", F.pmod("rid", F.lit(places)).cast("int").alias("place")).repartition(width, "place")
-    anchors = rows.filter("doc is not null").select("rid", "doc", "text").mapInArrow(_anchors(buckets, places), _BLOB_DDL)
+    rows = with_copies(rows)
+    held = rows.select("rid", "doc", "text", "copy", "row", F.pmod("rid", F.lit(places)).cast("int").alias("place")).repartition(width, "place")
+    anchors = rows.filter("doc is not null and not copy").select("rid", "doc", "text").mapInArrow(_anchors(buckets, places), _BLOB_DDL)
     shared = anchors.repartition(width, "place").sortWithinPartitions("place").mapInArrow(_shared(places), _BLOB_DDL)
     sent = held.groupBy("place").cogroup(shared.groupBy("place")).applyInArrow(_stretch_texts(), _BLOB_DDL)
     marked = sent.repartition(width, "place").sortWithinPartitions("place").mapInArrow(_sorted_shards(places, memory), _BLOB_DDL)
