@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skuscope.functions import images
 from skuscope.functions import text as t
 from skuscope.functions import vectors as v
 from skuscope.operators import audit as au
@@ -15,6 +16,7 @@ from skuscope.operators import identify as ident
 from skuscope.operators import questions as qu
 from skuscope.operators import search as se
 from skuscope.plans import tables as d
+from skuscope.sources.scratch import shared_path
 from skuscope.streaming import jobs
 
 QUERIES: dict = {}
@@ -423,6 +425,51 @@ def composite_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.image_vectors(spark, sf_dir).select("row_pos", _r(v.dot(e, v.tta_average(e, r))).alias("tta"), _r(v.dot(both, twice)).alias("combined"))
 
 
+def _event_stream(spark, sf_dir):
+    """The events table as a stream of files."""
+    schema = d.read(spark, sf_dir, "events").schema
+    path = f"{sf_dir}/events.parquet"
+    if not d.read(spark, sf_dir, "events").inputFiles()[0].rstrip("/").endswith("/events.parquet"):
+        return spark.readStream.schema(schema).parquet(path)  # a folder of files
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@registered(f"WITH {AU} SELECT id, created_at, predicted_category, top_sku, embedding_backend FROM au")
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit rows appended by a stream, each id once."""
+    out, check = (shared_path(spark, n) for n in ("audit", "audit-checkpoint"))
+    events = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time zone
+    rows = d.audit_rows(events).drop("confirmed_sku", "user_id")
+    jobs.stream_audit(rows, out, check, "40 days").awaitTermination()
+    return spark.read.parquet(out).select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "predicted_category", "top_sku", "embedding_backend")
+
+
+@registered(f"WITH {IDENT} SELECT query_id, category AS predicted_category, embedding_backend_ AS embedding_backend, round(top_score, 4) AS top_score, no_match FROM (SELECT *, backend AS embedding_backend_, top_score < lim AS no_match FROM pk WHERE r = 1)")
+def stream_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identification of micro-batches of query vectors against static centroids."""
+    out, check, source = (shared_path(spark, n) for n in ("identified", "identified-checkpoint", "queries"))
+    d.predictions(spark, sf_dir).write.parquet(source)
+    stream = spark.readStream.schema(d.predictions(spark, sf_dir).schema).parquet(source)
+    centroids, vectors = _centroids(spark, sf_dir).withColumn("category_slug", F.lower("category_slug")), d.query_vectors(spark, sf_dir)
+    jobs.stream_identify(stream, lambda batch: ident.identify_batch(batch, vectors, centroids), out, check).awaitTermination()
+    return spark.read.parquet(out).select("query_id", "predicted_category", "embedding_backend", _r("top_score").alias("top_score"), "no_match")
+
+
+@registered(f"WITH {IV}, m AS (SELECT row_pos, e, list_transform(list_zip(e, list_reverse(e)), lambda p: (p[1] + p[2]) / 2) AS h FROM iv) SELECT row_pos, 'mirror' AS backend, round(h[1] / sqrt(list_inner_product(h, h)), 4) AS first, round(list_inner_product(e, h) / sqrt(list_inner_product(h, h)), 3) AS likeness FROM m")
+def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pluggable encoder over stored vectors (its mirror reads them backwards), averaged with the mirror."""
+
+    def load():
+        import numpy as np
+
+        return lambda batch, mirrored: np.array([x[::-1] if mirrored else x for x in batch])
+
+    iv = d.image_vectors(spark, sf_dir)
+    found = images.embed(iv.select("row_pos", "embedding"), load, "mirror", id_column="row_pos", column="embedding").withColumnRenamed("embedding", "made")
+    joined = found.join(iv.select("row_pos", "embedding"), "row_pos")
+    return joined.select("row_pos", "backend", _r(F.col("made")[0].cast("double")).alias("first"), _r(v.dot(F.col("embedding"), F.col("made")), 3).alias("likeness"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_batch(spark, sf_dir)
 

@@ -54,7 +54,11 @@ def fitment_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return audit_rows(read(spark, sf_dir, "events"))
+
+
+def audit_rows(e: DataFrame) -> DataFrame:
+    """Events (a table or a stream) as predictions with confirmations."""
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("predicted_category"), F.col("value").alias("confidence"), F.when(k % 4 != 0, k.cast("string")).alias("top_sku"),
