@@ -33,13 +33,14 @@ from .suffixes import sorted_suffixes
 LENGTH = 50
 GRAM = 20
 _BATCH_BYTES = 4 << 20
+SHARDS_A_PLACE = 4  # shards that travel together; a task sorts them one by one
 _BLOB_DDL = "place int, cols binary"
 _BLOB = pa.schema([("place", pa.int32()), ("cols", pa.binary())])
 
 #: rid: of a document's row; doc: its id; start, count: a stretch of windows.
 ANCHOR = (("h", "<u4"), ("rid", "<i8"), ("start", "<u4"), ("count", "u1"), ("known", "u1"))
 STRETCH = (("h", "<u4"), ("rid", "<i8"), ("start", "<u4"), ("count", "<u4"))
-FRAGMENT = (("rid", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("count", "<u4"), ("size", "<u4"))
+FRAGMENT = (("h", "<u4"), ("rid", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("count", "<u4"), ("size", "<u4"))
 
 
 def pack(fields, columns: dict[str, np.ndarray], tail: bytes = b"") -> bytes:
@@ -242,11 +243,11 @@ def _stretch_texts():
         everything = [*((v, k) for k, v in best.items()), *more]
         shard: dict[int, list] = {}
         for own, part in everything:
-            shard.setdefault(own[4], []).append((own, part))
+            shard.setdefault(own[4] // SHARDS_A_PLACE, []).append((own, part))
         out_places, out = [], []
-        for h, found in shard.items():
-            cols = {"doc": [o[0] for o, _ in found], "rid": [o[1] for o, _ in found], "start": [o[2] for o, _ in found], "count": [o[3] for o, _ in found], "size": [len(p) for _, p in found]}
-            out_places.append(h)
+        for place, found in shard.items():
+            cols = {"h": [o[4] for o, _ in found], "doc": [o[0] for o, _ in found], "rid": [o[1] for o, _ in found], "start": [o[2] for o, _ in found], "count": [o[3] for o, _ in found], "size": [len(p) for _, p in found]}
+            out_places.append(place)
             out.append(pack(FRAGMENT, {k: np.array(v) for k, v in cols.items()}, b"".join(p for _, p in found)))
         if marked:
             cols = {"h": [0] * len(marked), "rid": [m[1] for m in marked], "start": [m[2] for m in marked], "count": [m[3] for m in marked]}
@@ -280,56 +281,64 @@ def repeated_windows(fragments: list[bytes], docs: np.ndarray, counts: np.ndarra
 def _sorted_shards(places: int, memory: int):
     """Marks the windows of a shard's stretches that repeat one of a smaller document."""
 
+    def shards(raws: list[bytes]) -> list[list[tuple[tuple, bytes]]]:
+        found: dict[int, list] = {}
+        for raw in raws:
+            columns, tail = unpack(FRAGMENT, raw)
+            at = 0
+            for h, rid, doc, start, count, size in zip(*(columns[k].tolist() for k, _ in FRAGMENT)):
+                found.setdefault(h, []).append(((doc, rid, start, count), tail[at : at + size]))
+                at += size
+        return [found[h] for h in sorted(found)]
+
+    def marks(members: list[tuple[tuple, bytes]]) -> dict[str, np.ndarray]:
+        best: dict[bytes, tuple] = {}
+        more, marked = [], []
+        for own, part in members:
+            held = best.get(part)
+            if held is None:
+                best[part] = own
+            elif held[0] < own[0]:
+                marked.append(own)
+            elif held[0] > own[0]:
+                best[part] = own
+                marked.append(held)
+            else:
+                more.append((own, part))  # equal ids don't count against each other
+        fragments = list(best)
+        info = np.array([best[x] for x in fragments], np.int64)
+        flags = repeated_windows(fragments, info[:, 0], info[:, 3], memory=memory)
+        first = np.cumsum(info[:, 3]) - info[:, 3]
+        place_of = {x: k for k, x in enumerate(fragments)} if more else {}
+        rids, starts, counts = [[m[1] for m in marked]], [[m[2] for m in marked]], [[m[3] for m in marked]]
+        edges = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
+        for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
+            k = int(np.searchsorted(first, a, side="right")) - 1
+            while a < b:  # a run of windows may go on in the next stretch
+                stop = min(b, int(first[k] + info[k, 3]))
+                rids.append([info[k, 1]])
+                starts.append([info[k, 2] + a - first[k]])
+                counts.append([stop - a])
+                a, k = stop, k + 1
+        for own, part in more:
+            k = place_of[part]
+            hit = np.arange(own[3]) if best[part][0] < own[0] else np.flatnonzero(flags[first[k] : first[k] + info[k, 3]])
+            rids.append([own[1]] * len(hit))
+            starts.append(own[2] + hit)
+            counts.append([1] * len(hit))
+        return {n: np.concatenate([np.array(x, np.int64) for x in v]) for n, v in (("rid", rids), ("start", starts), ("count", counts))}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
         for place, raws in _grouped(batches):
             if place < 0:
                 yield from _rows((-1 - place, raw) for raw in raws)
-                continue
-            best: dict[bytes, tuple] = {}
-            more, marked = [], []
-            for raw in raws:
-                columns, tail = unpack(FRAGMENT, raw)
-                at = 0
-                for rid, doc, start, count, size in zip(*(columns[k].tolist() for k, _ in FRAGMENT)):
-                    part, own = tail[at : at + size], (doc, rid, start, count)
-                    at += size
-                    held = best.get(part)
-                    if held is None:
-                        best[part] = own
-                    elif held[0] < doc:
-                        marked.append(own)
-                    elif held[0] > doc:
-                        best[part] = own
-                        marked.append(held)
-                    else:
-                        more.append((own, held, part))
-            fragments = list(best)
-            info = np.array([best[x] for x in fragments], np.int64)
-            flags = repeated_windows(fragments, info[:, 0], info[:, 3], memory=memory)
-            first = np.cumsum(info[:, 3]) - info[:, 3]
-            same = {x: k for k, x in enumerate(fragments)} if more else {}
-            rids, starts, counts = [[m[1] for m in marked]], [[m[2] for m in marked]], [[m[3] for m in marked]]
-            edges = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
-            edges_on, edges_off = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-            for a, b in zip(edges_on.tolist(), edges_off.tolist()):
-                k = int(np.searchsorted(first, a, side="right")) - 1
-                while a < b:  # a run of windows may go on in the next stretch
-                    stop = min(b, int(first[k] + info[k, 3]))
-                    rids.append([info[k, 1]])
-                    starts.append([info[k, 2] + a - first[k]])
-                    counts.append([stop - a])
-                    a, k = stop, k + 1
-            for own, held, part in more:
-                if best[part][0] < own[0]:
-                    rids.append([own[1]]), starts.append([own[2]]), counts.append([own[3]])
-                    continue
-                k = same[part]
-                own_flags = np.flatnonzero(flags[first[k] : first[k] + info[k, 3]])
-                rids.append([own[1]] * len(own_flags)), starts.append(own[2] + own_flags), counts.append([1] * len(own_flags))
-            cols = {"rid": np.concatenate([np.array(x, np.int64) for x in rids]), "start": np.concatenate([np.array(x, np.int64) for x in starts]), "count": np.concatenate([np.array(x, np.int64) for x in counts])}
+            else:
+                found += [marks(members) for members in shards(raws)]
+        if found:
+            cols = {n: np.concatenate([x[n] for x in found]) for n in ("rid", "start", "count")}
             cols["h"] = np.zeros(len(cols["rid"]), np.uint32)
-            if len(cols["rid"]):
-                yield from _rows(by_place(STRETCH, cols, cols["rid"] % places))
+            yield from _rows(by_place(STRETCH, cols, cols["rid"] % places))
 
     return run
 
@@ -392,7 +401,7 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     that lost a byte goes with it).
     """
     width = shuffle_width(docs.sparkSession)
-    buckets = places = 4 * width
+    buckets, places = SHARDS_A_PLACE * width, 4 * width
     row = F.struct(F.col(id_column), *[F.col(c) for c in carry if c != id_column]).alias("row")
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), text_or_empty(docs, text_column).alias("text"), row)
     rows = rows.withColumn("rid", F.xxhash64("doc", "text").bitwiseAND(F.lit((1 << 62) - 1)))

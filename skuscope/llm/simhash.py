@@ -113,7 +113,7 @@ def near_links(fingerprints: DataFrame, *, distance: int = 3, blocks: int = 6, c
     return links.unionByName(many.groupBy("table", "cell", "i", "j").applyInArrow(_local_stars(distance), "u long, v long")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id, the smallest id reachable by links of at most `distance` bits.
 
     Documents with equal fingerprints are one node, so copies are never paired.
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     """
     marked = written(docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(_fingerprints(shingle), "id long, fp long"), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    parts = connected_components(near_links(nodes.select("fp"), distance=distance))
+    parts = connected_components(near_links(nodes.select("fp"), distance=distance, blocks=blocks))
     labelled = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     of_fp = labelled.join(named, "component").select("fp", "component_id")
