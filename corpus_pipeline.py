@@ -22,10 +22,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group.
 
-    Shingles are five words here; two texts with a similarity of 0.8 or more
-    differ in few bits of their fingerprints. Rows without an id stay.
+    The operator's three-word fingerprints, linked at five of 64 bits: near
+    copies are seldom within three (README). Rows without an id stay.
     """
-    groups = simhash.near_duplicates(docs, shingle=5).filter("doc_id = component_id").select("doc_id").distinct()
+    groups = simhash.near_duplicates(docs, distance=5, blocks=8).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
