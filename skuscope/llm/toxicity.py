@@ -27,7 +27,7 @@ from .shared import shuffle_width, written
 BITS = 20
 ORDERS = (4, 5, 6)
 SLICES = 256
-MOST_PLACES = 1 << 16
+MOST_PLACES = 1 << 15
 PRIOR = 1.0
 
 
