@@ -8,7 +8,9 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -181,56 +183,77 @@ _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+")
 _RUN = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
 
+_SIMPLE = re.compile(r"[a-zß-öø-ÿ]+")
+
+
 class _Ids(dict):
-    """Token ids (as bytes) of words without spaces; each distinct run is tokenized once, until `cached` are there."""
+    """Token ids (as bytes) of words without spaces, each tokenized once while it is among the
+    last words seen: two generations of up to `cached` words are kept."""
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 700_000):
         from tokenizers import normalizers, pre_tokenizers
 
-        self.encode, self.cached, self.runs = tokenizer(path).encode, cached, {}
+        self.encode, self.cached, self.old = tokenizer(path).encode, cached, {}
         bare = tokenizer(path)  # for runs, which normalizing and cutting leave as they are
         bare.normalizer = normalizers.Sequence([])
         bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.encode_run = bare.encode
 
-    def of_run(self, run: str) -> bytes:
-        found = self.runs.get(run)
-        if found is None:
-            if len(self.runs) >= 2 * self.cached:
-                self.runs.clear()
-            found = self.runs[run] = array("I", self.encode_run(run, add_special_tokens=False).ids).tobytes()
-        return found
-
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.cached:
+            self.old = dict(self)
             self.clear()
-        plain = _PLAIN.fullmatch(word) and "<|" not in word
-        found = self[word] = b"".join(map(self.of_run, _RUN.findall(word.lower()))) if plain else array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        found = self.old.get(word)
+        if found is None:
+            if _SIMPLE.fullmatch(word):
+                found = array("I", self.encode_run(word, add_special_tokens=False).ids).tobytes()
+            elif _PLAIN.fullmatch(word) and "<|" not in word and len(runs := _RUN.findall(word.lower())) > 1:
+                found = b"".join([self[x] for x in runs])
+            else:
+                found = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = found
         return found
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def token_ids(texts: pa.Array, known: _Ids) -> tuple[bytes, np.ndarray]:
+    """The ids of texts, one after the other, and where each text's begin (and the last one's end).
+
+    Each distinct word of the texts is looked up once; its ids are then put
+    wherever the word stands.
+    """
+    words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    coded = words.flatten().dictionary_encode()
+    parts = [known[x] for x in coded.dictionary.to_pylist()]
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    first = np.cumsum(lengths) - lengths
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    each = lengths[at]
+    begin = np.concatenate([[0], np.cumsum(each)])
+    ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(first[at] - begin[:-1], each) + np.arange(begin[-1])]
+    ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    return ids.tobytes(), begin[np.concatenate([[0], ends]).astype(np.int64)]
+
+
+def _pieces(path: str, capacity: int, end_id: int, rows: int = 2000):
     """Token ids of each document, then end_id, cut into pieces of `capacity`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Ids(path)
         end = array("I", [end_id]).tobytes()
         row_number, task = 0, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in _PIECE.names}
-            size = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = b"".join([*map(known.__getitem__, text.replace("\n", " ").split(" ")), end])
-                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start : start + 4 * capacity]
-                    for n, v in zip(out, (task + row_number, doc_id, piece, start // 4, len(part) // 4, part)):
-                        out[n].append(v)
-                size += len(ids)
-                row_number += 1
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_pydict(out, _PIECE)
-                    out, size = {n: [] for n in out}, 0
-            yield pa.RecordBatch.from_pydict(out, _PIECE)
+        for whole in batches:
+            for at in range(0, len(whole), rows):
+                batch = whole.slice(at, rows)
+                out: dict[str, list] = {n: [] for n in _PIECE.names}
+                everything, begin = token_ids(batch.column(1), known)
+                for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                    ids = everything[4 * begin[k] : 4 * begin[k + 1]] + end
+                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[start : start + 4 * capacity]
+                        for n, v in zip(out, (task + row_number, doc_id, piece, start // 4, len(part) // 4, part)):
+                            out[n].append(v)
+                    row_number += 1
+                yield pa.RecordBatch.from_pydict(out, _PIECE)
 
     return run
 
