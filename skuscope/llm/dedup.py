@@ -190,7 +190,7 @@ def _shared(places: int):
         kept = []
         for place, raws in _grouped(batches):
             if place < 0:
-                yield from _rows((-1 - place, raw) for raw in raws)
+                yield from _rows([(-1 - place, pack(STRETCH, joined(STRETCH, raws)))])
                 continue
             columns = joined(ANCHOR, raws)
             order = np.argsort(columns["h"], kind="stable")
@@ -332,7 +332,7 @@ def _sorted_shards(places: int, memory: int):
         found = []
         for place, raws in _grouped(batches):
             if place < 0:
-                yield from _rows((-1 - place, raw) for raw in raws)
+                yield from _rows([(-1 - place, pack(STRETCH, joined(STRETCH, raws)))])
             else:
                 found += [marks(members) for members in shards(raws)]
         if found:
