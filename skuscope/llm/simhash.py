@@ -81,7 +81,7 @@ def _local_stars(distance: int):
     return run
 
 
-def near_links(fingerprints: DataFrame, *, distance: int = 3, blocks: int = 6, crowded: int = 64, chunk: int = 1000) -> DataFrame:
+def near_links(fingerprints: DataFrame, *, distance: int = 3, blocks: int = 6, crowded: int = 16, chunk: int = 1000) -> DataFrame:
     """fingerprints(fp), distinct -> links(u, v) with the components of all pairs within `distance` bits.
 
     A fingerprint is embedded as its segments' bit counts. The Manhattan
