@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuscope.llm import dedup, mixing, packing, simhash, toxicity
+from skuscope.llm import dedup, mixing, nearcopies, packing, toxicity
 from skuscope.llm.entry import vocabulary
 from skuscope.llm.shared import table, written
 
@@ -22,10 +22,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group.
 
-    The operator's three-word fingerprints, linked at five of 64 bits: near
-    copies are seldom within three (README). Rows without an id stay.
+    A link is a Jaccard similarity of 0.8 or more of five-word shingles, verified
+    on the texts. Rows without an id stay.
     """
-    groups = simhash.near_duplicates(docs, distance=5, blocks=8).filter("doc_id = component_id").select("doc_id").distinct()
+    groups = nearcopies.near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
