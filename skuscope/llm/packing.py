@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, text_or_empty, written
+from .shared import text_or_empty, written
 from .tokens import tokenizer
 
 
@@ -191,13 +191,13 @@ class _Ids(dict):
     last words seen: two generations of up to `cached` words are kept."""
 
     def __init__(self, path: str, cached: int = 700_000):
-        from tokenizers import normalizers, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self.encode, self.cached, self.old = tokenizer(path).encode, cached, {}
-        bare = tokenizer(path)  # for runs, which normalizing and cutting leave as they are
-        bare.normalizer = normalizers.Sequence([])
-        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.encode_run = bare.encode
+        whole = tokenizer(path)
+        self.encode, self.tokenize, self.cached, self.old = whole.encode, whole.model.tokenize, cached, {}
+        # A run of letters is one pre-token: the model takes it in the byte-level alphabet, in which ASCII stays as it is.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.cached:
@@ -206,7 +206,7 @@ class _Ids(dict):
         found = self.old.get(word)
         if found is None:
             if _SIMPLE.fullmatch(word):
-                found = array("I", self.encode_run(word, add_special_tokens=False).ids).tobytes()
+                found = array("I", [x.id for x in self.tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes()
             elif _PLAIN.fullmatch(word) and "<|" not in word and len(runs := _RUN.findall(word.lower())) > 1:
                 found = b"".join([self[x] for x in runs])
             else:
@@ -235,12 +235,12 @@ def token_ids(texts: pa.Array, known: _Ids) -> tuple[bytes, np.ndarray]:
 
 
 def _pieces(path: str, capacity: int, end_id: int, rows: int = 2000):
-    """Token ids of each document, then end_id, cut into pieces of `capacity`."""
+    """Token ids of each document, then end_id, cut into pieces of `capacity`; nth counts the
+    pieces of the same length in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids(path)
-        end = array("I", [end_id]).tobytes()
-        row_number, task = 0, TaskContext.get().partitionId() << 40
+        known, task = _Ids(path), TaskContext.get().partitionId()
+        end, seen = array("I", [end_id]).tobytes(), [0] * (capacity + 1)
         for whole in batches:
             for at in range(0, len(whole), rows):
                 batch = whole.slice(at, rows)
@@ -250,30 +250,48 @@ def _pieces(path: str, capacity: int, end_id: int, rows: int = 2000):
                     ids = everything[4 * begin[k] : 4 * begin[k + 1]] + end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
-                        for n, v in zip(out, (task + row_number, doc_id, piece, start // 4, len(part) // 4, part)):
+                        length = len(part) // 4
+                        for n, v in zip(out, (task, seen[length], doc_id, piece, start // 4, length, part)):
                             out[n].append(v)
-                    row_number += 1
+                        seen[length] += 1
                 yield pa.RecordBatch.from_pydict(out, _PIECE)
 
     return run
 
 
-_PIECE = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary())])
+_PIECE = pa.schema([("task", pa.int32()), ("nth", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary())])
 
 
-def pack_documents(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def _by_length(capacity: int):
+    """(task, lengths, before) as one array a task, in which the place is the length less one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.zeros((len(batch), capacity), np.int64)
+            for row, (lengths, before) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                wide[row, np.array(lengths) - 1] = before
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(wide), pa.list_(pa.int64()))], names=["task", "before"])
+
+    return run
+
+
+def pack_documents(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", capacity: int = 2048, end_id: int = 0, broadcast_tasks: int = 4_000) -> DataFrame:
     """Packs documents into sequences of at most `capacity` tokens, as few as it can.
 
     1. Documents are tokenized (each distinct word once a task; white space
        parts this tokenizer's tokens, so a text's ids are its words' ids one
        after the other), end_id is added, and only documents longer than a
-       sequence are cut. The pieces, with their ids, go to a table.
+       sequence are cut. The pieces, with their ids, go to a table, each with
+       its number among the pieces of its length in its task.
     2. The number of pieces of each length, at most `capacity` rows, comes to
        the driver, which reduces that instance by dominance and packs the rest
        by best fit. The plan says for ranks within a length where they go; its
        size depends on capacity alone, and so it is broadcast.
-    3. Pieces are ranked within their length in two steps (counts by length and
-       salt, then within both), so that no length is ranked in one task.
+    3. A piece's rank within its length is its number in the task and what the
+       tasks before have of that length (at most `capacity` numbers a task).
+       These numbers are broadcast for up to `broadcast_tasks` tasks, so that
+       token ids are written once and never shuffled; beyond it pieces are
+       joined with them by a shuffle.
 
     Null or empty texts give the one token end_id; repeated rows are packed
     each; null ids stay; an empty table gives an empty result; other columns
@@ -283,17 +301,17 @@ def pack_documents(docs: DataFrame, path: str, *, id_column: str = "doc_id", tex
     sequence_id and offset.
     """
     spark = docs.sparkSession
-    schema = "uid long, id long, piece int, start long, length int, ids binary"
+    schema = "task int, nth long, id long, piece int, start long, length int, ids binary"
     pieces = written(docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(_pieces(path, capacity, end_id), schema), "pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    own = written(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
+    counts = {r["length"]: r["n"] for r in own.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.createDataFrame(plan(counts, capacity), "length int, first_rank long, end_rank long, first_bin long, each long, first_offset long").hint("broadcast")
-    salted = pieces.select("uid", "piece", "length", F.pmod(F.xxhash64("uid"), F.lit(4 * shuffle_width(spark))).alias("salt"))
-    before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    offsets = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("uid", "piece")) - 1).join(offsets, ["length", "salt"])
-    ranked = ranked.select("uid", "piece", "length", (F.col("before") + F.col("rank")).alias("rank"))
-    placed = ranked.join(slots, "length").filter("rank >= first_rank and rank < end_rank").withColumn("k", F.col("rank") - F.col("first_rank"))
-    placed = placed.select(
-        "uid", "piece", (F.col("first_bin") + F.floor(F.col("k") / F.col("each")).cast("long")).alias("sequence_id"), (F.col("first_offset") + F.col("length") * (F.col("k") % F.col("each"))).alias("offset")
-    )
-    return pieces.join(placed, ["uid", "piece"]).select(F.col("id").alias(id_column), "piece", "start", F.col("length").cast("long").alias("length"), "ids", "sequence_id", "offset")
+    before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1))
+    ahead = own.select("task", "length", F.coalesce(before, F.lit(0)).alias("before")).groupBy("task").agg(F.collect_list(F.struct("length", "before")).alias("x"))
+    ahead = written(ahead.select("task", "x.length", "x.before").mapInArrow(_by_length(capacity), "task int, before array<long>"), "piece-ranks")
+    ranked = pieces.join(F.broadcast(ahead) if ahead.count() <= broadcast_tasks else ahead, "task").withColumn("rank", F.get("before", F.col("length") - 1) + F.col("nth"))
+    k = F.col("rank") - F.col("first_rank")
+    return ranked.join(slots, "length").filter("rank >= first_rank and rank < end_rank").select(
+        F.col("id").alias(id_column), "piece", "start", F.col("length").cast("long").alias("length"), "ids",
+        (F.col("first_bin") + F.floor(k / F.col("each")).cast("long")).alias("sequence_id"), (F.col("first_offset") + F.col("length") * (k % F.col("each"))).alias("offset"),
+    )

@@ -198,6 +198,8 @@ def test_packing(docs, none):
             assert o == at
             at += n
         assert at <= 64
+    shuffled = packing.pack_documents(docs, path, capacity=64, broadcast_tasks=0)
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, got))
     assert packing.pack_documents(none, path).count() == 0
 
 
@@ -234,6 +236,8 @@ def test_dominance_keeps_an_optimum():
         assert all(sum(p) <= 20 for p, _ in fixed) and used + optimum(rest, 20) == optimum(items, 20)
         plan = packing.plan(counts, 20)
         assert all(sum(b - a for x, a, b, *_ in plan if x == y) == n for y, n in counts.items())
+        bins = {first + k for _, a, b, first, each, _ in plan for k in range(-(-(b - a) // each))}
+        assert optimum(items, 20) <= len(bins) <= optimum(items, 20) + 1
 
 
 def test_token_counts(docs, none):
