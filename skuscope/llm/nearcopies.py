@@ -116,7 +116,5 @@ def near_copies(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     more = _verified(across, marked, firsts, shingle, similarity)
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
-    labelled = nodes.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = labelled.join(named, "component").select("node", "component_id")
+    of_node = simhash.component_names(nodes.select(F.col("node").alias("key"), "first"), parts, "key").withColumnRenamed("key", "node")
     return marked.select("id", "node").join(of_node, "node").select(F.col("id").alias(id_column), "component_id").distinct()

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -286,15 +287,20 @@ def test_crowded_cells_lose_no_link(spark):
         prints.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for crowded in (1, 64, 1000):
-        links = simhash.near_links(df, crowded=crowded, chunk=20)
+    for crowded, grid in itertools.product((1, 16, 1000), ((2, 1), (6, 3), (8, 3), (10, 3))):
+        links = simhash.near_links(df, crowded=crowded, grid=grid, chunk=20)
         if crowded == 1000:
-            want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+            want = {(b, a) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
             assert {tuple(r) for r in links.collect()} == want
         found = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
         assert {found[x] for x in signed} == {min(signed)}  # each was made within three bits of another
 
 
+def test_grids_follow_the_number_of_fingerprints():
+    assert [simhash.grid_for(n, 3) for n in (0, 100_000, 1_000_000, 10_000_000, 10**9)] == [(2, 1), (2, 1), (8, 3), (10, 3), (20, 3)]
+    assert simhash.reach_of(3, 2, 1) == 1 and simhash.reach_of(3, 8, 3) == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (300, 300), (200, 150)] + [(-5, k) for k in range(1000, 1100)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
