@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shuffle_width, text_or_empty, written
+from .shared import frugal, shuffle_width, text_or_empty, written
 from .suffixes import sorted_suffixes
 
 LENGTH = 50
@@ -407,10 +407,10 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     rows = rows.withColumn("rid", F.xxhash64("doc", "text").bitwiseAND(F.lit((1 << 62) - 1)))
     rows = with_copies(rows)
     held = rows.select("rid", "doc", "text", "copy", "row", F.pmod("rid", F.lit(places)).cast("int").alias("place")).repartition(width, "place")
-    anchors = rows.filter("doc is not null and not copy").select("rid", "doc", "text").mapInArrow(_anchors(buckets, places), _BLOB_DDL)
+    anchors = rows.filter("doc is not null and not copy").select("rid", "doc", "text").mapInArrow(frugal(_anchors(buckets, places)), _BLOB_DDL)
     shared = anchors.repartition(width, "place").sortWithinPartitions("place").mapInArrow(_shared(places), _BLOB_DDL)
     sent = held.groupBy("place").cogroup(shared.groupBy("place")).applyInArrow(_stretch_texts(), _BLOB_DDL)
-    marked = sent.repartition(width, "place").sortWithinPartitions("place").mapInArrow(_sorted_shards(places, memory), _BLOB_DDL)
+    marked = sent.repartition(width, "place").sortWithinPartitions("place").mapInArrow(frugal(_sorted_shards(places, memory)), _BLOB_DDL)
     spans = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))
     schema = T.StructType().add("row", held.schema["row"].dataType)
     for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("spans", spans), ("kept", T.StringType())):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .components import connected_components
-from .shared import text_or_empty, written
+from .shared import frugal, text_or_empty, written
 
 #: Bands of so many minimal hashes; a pair at 0.8 shares no band with a chance of 0.0023.
 BANDS, BAND_ROWS = 20, 6
@@ -75,11 +75,12 @@ def _similar(shingle: int, similarity: float):
 
 def _verified(pairs: DataFrame, marked: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs(u, v) of nodes whose texts are similar."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts, "node")
-    texts = marked.join(wanted.withColumnRenamed("first", "id"), ["node", "id"]).groupBy("node").agg(F.first("text").alias("text"))
+    wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts, "node").withColumnRenamed("first", "id"), "near-wanted")
+    sent = F.broadcast(wanted) if wanted.count() <= 2_000_000 else wanted  # two longs a row
+    texts = marked.join(sent, ["node", "id"]).groupBy("node").agg(F.first("text").alias("text"))
     texts = written(texts, "candidate-texts")
     left, right = texts.select(F.col("node").alias("v"), F.col("text").alias("a")), texts.select(F.col("node").alias("u"), F.col("text").alias("b"))
-    return written(pairs.join(right, "u").join(left, "v").select("u", "v", "a", "b").mapInArrow(_similar(shingle, similarity), "u long, v long"), "verified")
+    return written(pairs.join(right, "u").join(left, "v").select("u", "v", "a", "b").mapInArrow(frugal(_similar(shingle, similarity)), "u long, v long"), "verified")
 
 
 def near_copies(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -94,7 +95,7 @@ def near_copies(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     link is verified on the texts. Rows without an id are left out.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).filter("id is not null")
-    marked = written(rows.mapInArrow(_marks(shingle), "id long, text string, node long, fp long, bands array<long>"), "near-marks")
+    marked = written(rows.mapInArrow(frugal(_marks(shingle)), "id long, text string, node long, fp long, bands array<long>"), "near-marks")
     nodes = written(marked.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp")), "near-nodes")
     firsts = nodes.select("node", "first")
     near = simhash.near_links(nodes.select("fp").distinct())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, written
+from .shared import frugal, text_or_empty, written
 from .tokens import tokenizer
 
 
@@ -190,7 +190,7 @@ class _Ids(dict):
     """Token ids (as bytes) of words without spaces, each tokenized once while it is among the
     last words seen: two generations of up to `cached` words are kept."""
 
-    def __init__(self, path: str, cached: int = 700_000):
+    def __init__(self, path: str, cached: int = 300_000):
         from tokenizers import pre_tokenizers
 
         whole = tokenizer(path)
@@ -302,7 +302,7 @@ def pack_documents(docs: DataFrame, path: str, *, id_column: str = "doc_id", tex
     """
     spark = docs.sparkSession
     schema = "task int, nth long, id long, piece int, start long, length int, ids binary"
-    pieces = written(docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(_pieces(path, capacity, end_id), schema), "pieces")
+    pieces = written(docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(frugal(_pieces(path, capacity, end_id)), schema), "pieces")
     own = written(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in own.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.createDataFrame(plan(counts, capacity), "length int, first_rank long, end_rank long, first_bin long, each long, first_offset long").hint("broadcast")

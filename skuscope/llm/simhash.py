@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import text_or_empty, written
+from .shared import frugal, text_or_empty, written
 
 SEED = 42
 _ODD_BITS = 0x5555555555555555
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     any other; null ids get a component but never name one; repeated rows have
     a row each; an empty table gives an empty result; other columns are not read.
     """
-    marked = written(docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(_fingerprints(shingle), "id long, fp long"), "fingerprints")
+    marked = written(docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(frugal(_fingerprints(shingle)), "id long, fp long"), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     of_fp = component_names(nodes, connected_components(near_links(nodes.select("fp"), distance=distance)), "fp")
     return marked.join(of_fp, "fp").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, text_or_empty
+from .shared import frugal, shuffle_width, text_or_empty
 
 #: White space that a cut before a space would part, though the tokenizer's pre-tokens hold it together.
 _INSEPARABLE = re.compile(r"\s \s|\s $")
@@ -160,7 +160,7 @@ def count_tokens(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_
     are not read.
     """
     width = shuffle_width(docs.sparkSession)
-    sent = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(_frequencies(width), _SENT_DDL)
-    part = sent.repartition(width, "bucket").mapInArrow(_counted(path), "batch string, bucket int, ids array<long>, values binary")
+    sent = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(frugal(_frequencies(width)), _SENT_DDL)
+    part = sent.repartition(width, "bucket").mapInArrow(frugal(_counted(path)), "batch string, bucket int, ids array<long>, values binary")
     total = part.repartition(width, "batch").mapInArrow(_totals, "id long, n_bytes long, n_tokens long")
     return total.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

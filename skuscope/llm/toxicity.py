@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shuffle_width, written
+from .shared import frugal, shuffle_width, written
 
 BITS = 20
 ORDERS = (4, 5, 6)
@@ -126,7 +126,7 @@ def train(docs: DataFrame, marks: DataFrame, *, max_fit_rows: int = 12_000, epoc
     docs = docs.select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = written(marks.filter("label in (0, 1) and id is not null"), "marks")
     schema = "slice int, counts binary"
-    counted = docs.join(_sent(marks), "id").select("text", "label").mapInArrow(_counts, schema).repartition(shuffle_width(docs.sparkSession), "slice").mapInArrow(_summed, schema).toPandas()
+    counted = docs.join(_sent(marks), "id").select("text", "label").mapInArrow(frugal(_counts), schema).repartition(shuffle_width(docs.sparkSession), "slice").mapInArrow(_summed, schema).toPandas()
     parts = {k: np.frombuffer(x, np.int64).reshape(2, -1) for k, x in zip(counted.slice, counted.counts)}
     if -1 not in parts or not parts[-1].all():
         return ToxicityModel(np.zeros(1 << BITS), 0.0, threshold)
