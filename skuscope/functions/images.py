@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skuscope.functions.vectors import unit_rows
+
 SIDE = 256
 
 
@@ -68,16 +70,23 @@ def embed(images: DataFrame, load: Callable[[], Callable], backend: str, *, id_c
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = load()
 
+        def vectors(inputs: list) -> list[list[float]]:
+            sides = [np.asarray(encode(inputs, mirrored), np.float64) for mirrored in ((False, True) if tta else (False,))]
+            mean = np.mean([unit_rows(x) for x in sides], axis=0)
+            return unit_rows(mean).astype("float32").tolist()
+
         def one(x):
             try:
-                vectors = [encode([x], False)] + ([encode([x], True)] if tta else [])
-                mean = np.mean([v[0] / (np.linalg.norm(v[0]) or 1) for v in vectors], axis=0)
-                return (mean / (np.linalg.norm(mean) or 1)).astype("float32").tolist(), None
+                return vectors([x])[0], None
             except Exception as e:  # noqa: BLE001  an encoder may fail in any way; the row says how
                 return None, f"{type(e).__name__}: {e}"
 
         for frame in frames:
-            found = [one(x) for x in frame[column]]
+            inputs = list(frame[column])
+            try:
+                found = [(v, None) for v in vectors(inputs)]
+            except Exception:  # noqa: BLE001  some input fails: row by row, to tell which
+                found = [one(x) for x in inputs]
             yield pd.DataFrame({id_column: frame[id_column], "embedding": [v for v, _ in found], "backend": backend, "reason": [r for _, r in found]})
 
     kind = images.schema[id_column].dataType.simpleString()
@@ -97,13 +106,13 @@ def classify(rows: DataFrame, load: Callable[[], Callable], *, id_column: str =
 
 
 def rerank(shortlists: DataFrame, load: Callable[[], Callable], n: int | Column = 3) -> DataFrame:
-    """shortlists(query_id, skus, ...) with reply (of a pluggable chooser) and choice (the SKU it names, null if none)."""
+    """shortlists(query_id, skus, ...) with reply (of a pluggable chooser: load() gives a function of a list of shortlists to their replies) and choice (the SKU it names, null if none)."""
     from skuscope.functions.text import parse_choice
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         choose = load()
         for frame in frames:
-            frame["reply"] = [choose(list(s)) for s in frame["skus"]]
+            frame["reply"] = choose([list(s) for s in frame["skus"]])
             yield frame
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shortlists.schema.fields) + ", reply string"

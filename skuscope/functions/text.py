@@ -154,7 +154,8 @@ def attributes_malformed(cell: Column) -> Column:
 
 
 def _unnegated(pattern: str, negators=NEGATORS) -> str:
-    return rf"(?<!\b(?:{'|'.join(map(re.escape, negators))})\b[^.]{{0,40}})(?:{pattern})"
+    # The look-ahead comes first: the look-behind is tried only where the word stands.
+    return rf"(?=(?:{pattern}))(?<!\b(?:{'|'.join(map(re.escape, negators))})\b[^.]{{0,40}})(?:{pattern})"
 
 
 def attribute_text(name: Column, description: Column) -> Column:

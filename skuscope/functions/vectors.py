@@ -11,10 +11,18 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with value computed once a row: higher-order functions compute what stands in their lambda for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+    def scaled(w: Column) -> Column:
+        return _bound(norm(w), lambda n: F.transform(w, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
+
+    return _bound(v, scaled)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skuscope.functions import text as t
 
+# The catalog's own columns.
 UPSERTED = ["product_name", "brand", "category", "description", "manufacturer_part_number", "attributes", "image_paths", "replacement_sku", "alternative_skus", "accessory_skus", "compatible_vehicles"]
 
 
@@ -111,6 +112,15 @@ def attach_embeddings(products: DataFrame, vectors: DataFrame, mode: str = "last
     return products.drop("embedding_768", "embedding_512", "embedding_backend").join(wide, "sku", "left")
 
 
+def unattached_vectors(products: DataFrame, vectors: DataFrame) -> DataFrame:
+    """What attach_embeddings leaves out: sku, rows and the reason (no product, unknown backend, other dimension)."""
+    reason = F.when(F.coalesce(F.col("backend"), F.lit("unknown")) == "unknown", "unknown backend").when(~F.coalesce(F.size("embedding"), F.lit(0)).isin(768, 512), "other dimension")
+    known = products.select("sku").distinct().withColumn("known", F.lit(True))
+    joined = vectors.withColumn("reason", reason).join(known, "sku", "left")
+    joined = joined.withColumn("reason", F.coalesce("reason", F.when(F.col("known").isNull(), "no product")))
+    return joined.filter("reason is not null").groupBy("sku", "reason").agg(F.count("*").alias("n"))
+
+
 def drift_report(vectors: DataFrame, products: DataFrame) -> DataFrame:
     """SKUs with vectors and no product, and the other way round."""
     a, b = vectors.select("sku").distinct(), products.select("sku").distinct()
@@ -184,5 +194,4 @@ def filter_options(products: DataFrame) -> DataFrame:
 
 def catalog_stats(products: DataFrame) -> DataFrame:
     """Products per category, per brand and in all."""
-    products.createOrReplaceTempView("catalog_stats_products")
-    return products.sparkSession.sql("SELECT category, brand, count(*) AS n FROM catalog_stats_products GROUP BY GROUPING SETS ((category), (brand), ())")
+    return products.groupingSets([["category"], ["brand"], []], "category", "brand").agg(F.count("*").alias("n"))

@@ -24,12 +24,44 @@ def worst_categories(metrics: DataFrame) -> DataFrame:
     return metrics.filter("category <> 'OVERALL'").orderBy("top1", "category")
 
 
+def quantiles(scores: DataFrame, by: str, points: tuple[float, ...], slots: int = 4096) -> DataFrame:
+    """by, n, min, max and q (the interpolated quantile at each point), exact, without holding a group's scores in one place.
+
+    Counts of equally wide slots say which slots hold the wanted ranks; only
+    their scores are ordered, as counts of equal ones.
+    """
+    scores = scores.select(by, "score").filter(F.col("score").isNotNull())
+    whole = scores.groupBy(by).agg(F.count("*").alias("n"), F.min("score").alias("min"), F.max("score").alias("max"))
+    place = F.coalesce(F.least(F.floor(F.try_divide(F.col("score") - F.col("min"), F.col("max") - F.col("min")) * slots), F.lit(slots - 1)), F.lit(0)).cast("int")
+    placed = scores.join(whole, by).select(by, "score", place.alias("slot"))
+    before = lambda *keys: W.partitionBy(by, *keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+    counted = placed.groupBy(by, "slot").agg(F.count("*").alias("c"))
+    counted = counted.withColumn("ahead", F.coalesce(F.sum("c").over(before("slot")), F.lit(0)))
+    ranks = F.array(*[f(F.lit(p) * (F.col("n") - 1)).cast("long") for p in points for f in (F.floor, F.ceil)])
+    wanted = whole.select(by, F.explode(F.array_distinct(ranks)).alias("rank"))
+    held = counted.join(wanted, by).filter((F.col("rank") >= F.col("ahead")) & (F.col("rank") < F.col("ahead") + F.col("c"))).select(by, "slot", "ahead", "rank")
+    near = placed.join(held.select(by, "slot").distinct(), [by, "slot"]).groupBy(by, "slot", "score").agg(F.count("*").alias("c"))
+    near = near.withColumn("earlier", F.coalesce(F.sum("c").over(before("slot", "score")), F.lit(0)))
+    inside = F.col("rank") - F.col("ahead")
+    at_rank = near.join(held, [by, "slot"]).filter((inside >= F.col("earlier")) & (inside < F.col("earlier") + F.col("c")))
+    values = at_rank.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "score"))).alias("at"))
+
+    def value(p: float):
+        spot = F.lit(p) * (F.col("n") - 1)
+        low, high = (F.try_element_at("at", f(spot).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (spot - F.floor(spot))
+
+    return whole.join(values, by).select(by, "n", "min", "max", F.array(*map(value, points)).alias("q"))
+
+
 def score_distribution(scores: DataFrame, by: str = "backend", approximate: bool = False) -> DataFrame:
     """n, min, p5, median, p95, max of score per group; exact percentiles interpolate."""
-    points = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
-    p = F.percentile_approx("score", [0.05, 0.5, 0.95], 10_000) if approximate else F.percentile("score", points)
-    found = scores.groupBy(by).agg(F.count("score").alias("n"), F.min("score").alias("min"), p.alias("p"), F.max("score").alias("max"))
-    return found.select(by, "n", "min", F.col("p")[0].alias("p5"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p95"), "max")
+    points = (0.05, 0.5, 0.95)
+    if approximate:
+        found = scores.groupBy(by).agg(F.count("score").alias("n"), F.min("score").alias("min"), F.percentile_approx("score", list(points), 10_000).alias("q"), F.max("score").alias("max"))
+    else:
+        found = quantiles(scores, by, points)
+    return found.select(by, "n", "min", F.col("q")[0].alias("p5"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), "max")
 
 
 def threshold_sweep(correct: DataFrame, impostor: DataFrame, lo: int = 30, hi: int = 98, *, stop_above: float = 5.0) -> DataFrame:

@@ -29,10 +29,10 @@ def route_categories(predictions: DataFrame, available: DataFrame) -> DataFrame:
     uncertain = first["probability"] < t.UNCERTAIN_BELOW
     two = uncertain & second.isNotNull()
     chosen = F.slice(resolved, 1, F.when(two, 2).otherwise(1))
-    rows = predictions.filter(F.size("ranking") > 0).select("query_id", uncertain.alias("uncertain"), F.posexplode(chosen).alias("place", "c"))
-    rows = rows.select("query_id", "place", "c.category", "c.confidence", "uncertain", t.category_slug(F.col("c.category")).alias("category_slug"))
-    primary = F.first("category_slug").over(W.partitionBy("query_id").orderBy("place"))
-    rows = rows.withColumn("primary", primary).filter((F.col("place") == 0) | (F.col("category_slug") != F.col("primary"))).drop("primary")
+    primary = t.category_slug(F.get(resolved, 0)["category"])
+    rows = predictions.filter(F.size("ranking") > 0).select("query_id", uncertain.alias("uncertain"), primary.alias("primary"), F.posexplode(chosen).alias("place", "c"))
+    rows = rows.select("query_id", "place", "c.category", "c.confidence", "uncertain", "primary", t.category_slug(F.col("c.category")).alias("category_slug"))
+    rows = rows.filter((F.col("place") == 0) | (F.col("category_slug") != F.col("primary"))).drop("primary")
     return rows.join(F.broadcast(available.select("category_slug").distinct()) if _few(available) else available.select("category_slug").distinct(), "category_slug", "left_semi")
 
 

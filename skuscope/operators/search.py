@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,18 +21,20 @@ from skuscope.functions.vectors import matrix, unit_rows
 KEY = ["category_slug", "backend", "remove_bg"]
 
 
-def _blocks(df: DataFrame, keys: list[str], rows: int) -> int:
-    """Blocks that the largest group of df needs."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return max(1, -(-largest // rows))
+def block_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], right_id: list[str], pair: Callable, schema: str, left_rows: int = 4096, right_rows: int = 8192, few_groups: int = 100_000) -> DataFrame:
+    """pair(key, left block, right block) over all pairs of blocks of each group that both sides have.
 
-
-def block_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, pair: Callable, schema: str, left_rows: int = 4096, right_rows: int = 8192) -> DataFrame:
-    """pair(key, left block, right block) over all pairs of blocks of each group that both sides have."""
-    a, b = _blocks(left, keys, left_rows), _blocks(right, keys, right_rows)
-    left = left.withColumn("lb", F.pmod(F.hash(left_id), F.lit(a))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    Each group has as many blocks as its own rows need, so small groups aren't
+    copied for the sake of large ones. The number of blocks a group is
+    broadcast for up to `few_groups` groups and joined by a shuffle beyond.
+    """
     right = right.toDF(*right.columns)  # its own columns, also where both sides come from one table
-    right = right.withColumn("rb", F.pmod(F.hash(right_id), F.lit(b))).withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
+    blocks = lambda df, rows, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    sizes = blocks(left, left_rows, "_a").join(blocks(right, right_rows, "_b"), keys)
+    if sizes.limit(few_groups + 1).count() <= few_groups:
+        sizes = F.broadcast(sizes)
+    left = left.join(sizes, keys).withColumn("lb", F.pmod(F.xxhash64(*left_id), F.col("_a")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_a", "_b")
+    right = right.join(sizes, keys).withColumn("rb", F.pmod(F.xxhash64(*right_id), F.col("_b")).cast("int")).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("_a") - 1))).drop("_a", "_b")
     on = [*keys, "lb", "rb"]
 
     def both(key, x, y):
@@ -47,12 +50,56 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (part.split() for part in schema.split(","))])
 
 
-def sku_sums(vectors: DataFrame) -> DataFrame:
-    """The sum of each SKU's vectors and their number, element by element with map-side partial sums."""
-    parts = vectors.select(*KEY, "sku", "row_pos", F.posexplode("embedding").alias("i", "x"))
-    sums = parts.groupBy(*KEY, "sku", "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"), F.min("row_pos").alias("first_pos"))
-    ordered = F.sort_array(F.collect_list(F.struct("i", "s")))
-    return sums.groupBy(*KEY, "sku").agg(F.transform(ordered, lambda e: e["s"]).alias("total"), F.max("n").alias("n_vectors"), F.min("first_pos").alias("first_pos"))
+def _partial_sums(most: int = 20_000):
+    """Sums of the vectors of each SKU that a task has, for up to `most` SKUs at a time."""
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+
+        def rows():
+            out = [(*key, total.tolist(), n, first) for key, (total, n, first) in held.items()]
+            held.clear()
+            names = [*KEY, "sku", "total", "n", "first_pos"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.float64()), pa.int64(), pa.int64()))], names=names)
+
+        for batch in batches:
+            vectors = batch.column("embedding")
+            sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+            names = list(zip(*(batch.column(c).to_pylist() for c in (*KEY, "sku"))))
+            positions = batch.column("row_pos").to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == size)
+                values = matrix(vectors.take(pa.array(at)))
+                codes: dict[tuple, int] = {}
+                code = np.fromiter((codes.setdefault(names[k], len(codes)) for k in at), np.int64, len(at))
+                order = np.argsort(code, kind="stable")
+                starts = np.searchsorted(code[order], np.arange(len(codes)))
+                sums, firsts = np.add.reduceat(values[order], starts, axis=0), np.minimum.reduceat(positions[at][order], starts)
+                counts = np.diff(np.append(starts, len(at)))
+                for key, k in codes.items():
+                    own = held.get(key)
+                    if own is None:
+                        held[key] = [sums[k], int(counts[k]), int(firsts[k])]
+                    else:
+                        total = np.zeros(max(size, len(own[0])))
+                        total[: len(own[0])] += own[0]
+                        total[:size] += sums[k]
+                        held[key] = [total, own[1] + int(counts[k]), min(own[2], int(firsts[k]))]
+            if len(held) > most:
+                yield rows()
+        if held:
+            yield rows()
+
+    return run
+
+
+def sku_sums(vectors: DataFrame, salts: int = 64) -> DataFrame:
+    """The sum of each SKU's vectors and their number: by task first, then by SKU and salt, then by SKU."""
+    parts = vectors.select(*KEY, "sku", "row_pos", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_partial_sums(), "category_slug string, backend string, remove_bg boolean, sku string, total array<double>, n long, first_pos long")
+    added = F.aggregate(F.slice(F.col("totals"), 2, F.greatest(F.size("totals") - 1, F.lit(0))), F.get("totals", 0), lambda a, x: F.zip_with(a, x, lambda p, q: F.coalesce(p, F.lit(0.0)) + F.coalesce(q, F.lit(0.0))))
+    merge = lambda df, *by: df.groupBy(*KEY, "sku", *by).agg(F.collect_list("total").alias("totals"), F.sum("n").alias("n"), F.min("first_pos").alias("first_pos")).withColumn("total", added).drop("totals")
+    salted = merge(parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))), "salt")
+    return merge(salted).select(*KEY, "sku", "total", F.col("n").alias("n_vectors"), "first_pos")
 
 
 def sku_centroids(vectors: DataFrame) -> DataFrame:
@@ -66,20 +113,17 @@ def sku_centroids(vectors: DataFrame) -> DataFrame:
 def _best(k: int, query_column: str):
     def pair(key, left, right):
         scores = matrix(left.column("embedding")) @ matrix(right.column("embedding")).T
-        skus = np.array(right.column("sku").to_pylist(), object)
-        order = np.argsort(skus, kind="stable")  # ties go to the smaller SKU
-        top = order[np.argsort(-scores[:, order], axis=1, kind="stable")]
-        rows, seen_q, seen_s, seen_v = left.column(query_column).to_pylist(), [], [], []
-        for q, name in enumerate(rows):
-            taken: dict = {}
-            for j in top[q]:
-                if skus[j] not in taken:
-                    taken[skus[j]] = scores[q, j]
-                    if len(taken) == k:
-                        break
-            seen_q += [name] * len(taken)
-            seen_s += list(taken)
-            seen_v += list(taken.values())
+        skus, code = np.unique(np.array(right.column("sku").to_pylist(), object), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        best = np.maximum.reduceat(scores[:, order], np.searchsorted(code[order], np.arange(len(skus))), axis=1)
+        least = np.partition(best, len(skus) - k, axis=1)[:, len(skus) - k] if len(skus) > k else np.full(len(best), -np.inf)
+        seen_q, seen_s, seen_v = [], [], []
+        for q, name in enumerate(left.column(query_column).to_pylist()):
+            at = np.flatnonzero(best[q] >= least[q])
+            at = at[np.argsort(-best[q, at], kind="stable")][:k]  # ties go to the smaller SKU
+            seen_q += [name] * len(at)
+            seen_s += skus[at].tolist()
+            seen_v += best[q, at].tolist()
         n = len(seen_q)
         return pa.table({query_column: pa.array(seen_q, left.schema.field(query_column).type), "category_slug": pa.array([key[0].as_py()] * n, pa.string()), "backend": pa.array([key[1].as_py()] * n, pa.string()), "sku": pa.array(seen_s, pa.string()), "similarity_score": pa.array(seen_v, pa.float64())})
 
@@ -94,12 +138,13 @@ def search_topk(queries: DataFrame, index: DataFrame, k: int | None = 10, *, sco
     Ties go to the smaller SKU. k None is the default, 0 or less gives nothing.
     """
     k = default_k if k is None else k
-    index = index.select(*KEY, "sku", F.col("embedding" if scoring == "image_max" else "centroid").alias("embedding"))
+    by_image = ["row_pos"] if scoring == "image_max" else []
+    index = index.select(*KEY, "sku", *by_image, F.col("embedding" if by_image else "centroid").alias("embedding"))
     queries = queries.select(*KEY, "query_id", "embedding")
     kind = queries.schema["query_id"].dataType.simpleString().replace("bigint", "long")
     if k <= 0:
         index = index.limit(0)
-    found = block_pairs(queries, index, KEY, "query_id", "sku", _best(max(k, 1), "query_id"), f"query_id {kind}, category_slug string, backend string, sku string, similarity_score double")
+    found = block_pairs(queries, index, KEY, ["query_id"], ["sku", *by_image], _best(max(k, 1), "query_id"), f"query_id {kind}, category_slug string, backend string, sku string, similarity_score double")
     found = found.groupBy("query_id", "category_slug", "backend", "sku").agg(F.max("similarity_score").alias("similarity_score"))
     return rank_results(found, ["query_id", "category_slug", "backend"]).filter(F.col("rank") <= k)
 
@@ -151,7 +196,7 @@ def loo_ranks(vectors: DataFrame) -> DataFrame:
     several = sums.filter("n_vectors >= 2").select(*KEY, "sku", "total", F.col("first_pos").alias("own_first"))
     queries = vectors.select(*KEY, "sku", "row_pos", "embedding").join(several, [*KEY, "sku"])
     schema = "row_pos long,category_slug string,backend string,sku string,own_score double,better long,rival string,rival_score double"
-    part = block_pairs(queries, sums.select(*KEY, "sku", "total", "first_pos"), KEY, "row_pos", "sku", _loo, schema, 2048, 4096)
+    part = block_pairs(queries, sums.select(*KEY, "sku", "total", "first_pos"), KEY, ["row_pos"], ["sku"], _loo, schema, 2048, 4096)
     best = F.max(F.when(F.col("rival").isNotNull(), F.struct("rival_score", "rival")))
     whole = part.groupBy("row_pos", "category_slug", "backend", "sku").agg(F.max("own_score").alias("own_score"), (F.sum("better") + 1).alias("rank"), best.alias("best"))
     wins = (F.col("rank") > 1) & F.col("best").isNotNull()
@@ -161,8 +206,7 @@ def loo_ranks(vectors: DataFrame) -> DataFrame:
 def _same(key, left, right):
     scores = matrix(left.column("embedding")) @ matrix(right.column("embedding")).T
     scores[left.column("row_pos").to_numpy()[:, None] == right.column("row_pos").to_numpy()[None, :]] = -np.inf
-    own = np.array(left.column("sku").to_pylist(), object)[:, None] == np.array(right.column("sku").to_pylist(), object)[None, :]
-    best = np.where(own, scores, -np.inf).max(axis=1)
+    best = scores.max(axis=1)
     keep = np.isfinite(best)
     return pa.table({"row_pos": left.column("row_pos").to_numpy()[keep], "score": best[keep]})
 
@@ -170,7 +214,7 @@ def _same(key, left, right):
 def loo_image_max(vectors: DataFrame) -> DataFrame:
     """Each image's best similarity to another image of its SKU; images that are their SKU's only one have no row."""
     side = vectors.select(*KEY, "sku", "row_pos", "embedding")
-    found = block_pairs(side, side, KEY, "row_pos", "row_pos", _same, "row_pos long,score double", 2048, 2048)
+    found = block_pairs(side, side, [*KEY, "sku"], ["row_pos"], ["row_pos"], _same, "row_pos long,score double", 2048, 2048)
     best = found.groupBy("row_pos").agg(F.max("score").alias("score"))
     return side.select("row_pos", "category_slug", "backend", "sku").join(best, "row_pos")
 
@@ -196,7 +240,7 @@ def impostor_scores(vectors: DataFrame, index: DataFrame) -> DataFrame:
     keys = ["backend", "remove_bg"]
     left = vectors.select(*keys, "category_slug", "row_pos", "embedding")
     right = index.select(*keys, "category_slug", "sku", F.col("centroid").alias("embedding"))
-    found = block_pairs(left, right, keys, "row_pos", "sku", _foreign, "row_pos long,backend string,target_slug string,score double", 2048, 4096)
+    found = block_pairs(left, right, keys, ["row_pos"], ["sku"], _foreign, "row_pos long,backend string,target_slug string,score double", 2048, 4096)
     return found.groupBy("row_pos", "backend", "target_slug").agg(F.max("score").alias("score"))
 
 

@@ -254,7 +254,7 @@ def fitment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"WITH {FY}, rq AS (SELECT c_custkey AS request_id, n_name AS make, c_mktsegment AS model, CAST(1995 + c_custkey % 7 AS INT) AS year FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT DISTINCT request_id, sku FROM rq JOIN fr USING (make, model) WHERE year BETWEEN year_start AND year_end")
 def products_for_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = d.read(spark, sf_dir, "customer"), d.read(spark, sf_dir, "nation")
-    requests = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("request_id"), F.col("n_name").alias("make"), F.col("c_mktsegment").alias("model"), (1995 + F.col("c_custkey") % 7).cast("int").alias("year"))
+    requests = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("request_id"), F.col("n_name").alias("make"), F.col("c_mktsegment").alias("model"), (1995 + F.col("c_custkey") % 7).cast("int").alias("year"))
     return fi.products_for_vehicle(_ranges(spark, sf_dir), requests)
 
 

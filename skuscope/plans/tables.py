@@ -49,7 +49,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fitment_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o, c, n = (read(spark, sf_dir, x) for x in ("lineitem", "orders", "customer", "nation"))
-    joined = li.select("l_orderkey", "l_partkey").join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = li.select("l_orderkey", "l_partkey").join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select(F.col("l_partkey").cast("string").alias("sku"), F.col("n_name").alias("make"), F.col("c_mktsegment").alias("model"), F.year("o_orderdate").alias("year"))
 
 
