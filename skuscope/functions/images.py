@@ -63,6 +63,16 @@ def mask_ok(alpha: np.ndarray, least: float = 0.02) -> bool:
     return bool((alpha >= 10).mean() >= least) if alpha.size else False
 
 
+def masks_ok(df: DataFrame, column: str = "alpha", least: float = 0.02) -> DataFrame:
+    """Adds `usable`: whether enough of a mask (an array of alphas) is foreground; a null mask isn't."""
+
+    @F.pandas_udf("boolean")
+    def usable(masks: pd.Series) -> pd.Series:
+        return masks.map(lambda m: m is not None and mask_ok(np.asarray(m), least))
+
+    return df.withColumn("usable", usable(F.col(column)))
+
+
 def embed(images: DataFrame, load: Callable[[], Callable], backend: str, *, id_column: str = "image_id", column: str = "data", tta: bool = True) -> DataFrame:
     """Vectors by a pluggable encoder: load() gives, once a task, a function of a list of inputs and a flag
     (mirrored) to a matrix. Unit length; with tta the mean with the mirror's. Rows it fails on have a reason instead."""

@@ -170,7 +170,11 @@ def extract_attributes(name: Column, description: Column, category: Column, *, r
     as yes or no (no if all mentions are negated); the colour mentioned first
     (of equal places the first by name); studs of wheel hubs.
     """
-    text = attribute_text(name, description)
+    # The text is prepared once a row, as the one element of an array that the rules are applied to.
+    return F.get(F.transform(F.array(attribute_text(name, description)), lambda text: _attributes_in(text, category, rules, presence, colours, negators)), 0)
+
+
+def _attributes_in(text: Column, category: Column, rules, presence, colours, negators) -> Column:
     found: list[tuple[str, Column]] = []
     for attribute, cases in (RULES if rules is None else rules).items():
         value = F.lit(None).cast("string")

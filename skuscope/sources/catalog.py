@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from skuscope.functions import text as t
 
+# Fixed values of the catalog format.
 CSV_COLUMNS = ["sku", "product_name", "brand", "category", "manufacturer_part_number", "compatible_vehicles", "replacement_sku", "alternative_sku", "accessory_skus", "description", "image_folder", "image_count", "attributes"]
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
 MAX_UPLOAD = 10 * 1024 * 1024
+# End of the fixed values.
 
 
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -64,33 +66,92 @@ def build_catalog_from_images(images: DataFrame) -> DataFrame:
     return rows.select(*[values.get(c, blank).alias(c) for c in CSV_COLUMNS])
 
 
+def catalog_rows(products: DataFrame) -> DataFrame:
+    """Products as flat rows of text, the way catalog_to_products reads them: lists joined by '|', a vehicle
+    entry a year, attributes as a JSON object with sorted keys. Columns that products lack are null; columns
+    that are text already stay."""
+    kind = {f.name: f.dataType.simpleString() for f in products.schema.fields}
+    plain = lambda c: F.col(c).cast("string") if c in kind else F.lit(None).cast("string")
+    joined = lambda c: F.array_join(c, "|") if kind.get(c, "").startswith("array") else plain(c)
+    values = {c: plain(c) for c in CSV_COLUMNS}
+    values |= {"accessory_skus": joined("accessory_skus"), "alternative_sku": joined("alternative_skus") if "alternative_skus" in kind else plain("alternative_sku")}
+    if kind.get("compatible_vehicles", "").startswith("array"):
+        entry = lambda v: F.concat(v["make"], F.lit(" "), v["model"], F.lit(" ("), v["year"].cast("string"), F.lit(")"))
+        values["compatible_vehicles"] = F.array_join(F.transform("compatible_vehicles", entry), "|")
+    if kind.get("attributes", "").startswith("map"):
+        values["attributes"] = F.to_json(F.map_from_entries(F.sort_array(F.map_entries("attributes"))))
+    if "image_paths" in kind and "image_count" not in kind:
+        values["image_count"] = F.size("image_paths").cast("string")
+    return products.select(*[v.alias(c) for c, v in values.items()])
+
+
 def write_catalog_csv(df: DataFrame, path: str) -> None:
-    """Writes products' attributes as JSON objects with sorted keys."""
-    sorted_map = F.map_from_entries(F.sort_array(F.map_entries("attributes")))
-    df.withColumn("attributes", F.to_json(sorted_map)).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """Writes products, or rows of a catalog CSV, as a catalog CSV."""
+    catalog_rows(df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+
+
+def _sidecars(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    files = spark.read.text(f"{folder}/*.{kind}.json", wholetext=True)
+    return files.select(F.regexp_extract(F.input_file_name(), rf"([^/]+)\.{kind}\.json", 1).alias("category_slug"), "value")
 
 
 def read_index_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """<slug>.ids.json and <slug>.meta.json -> category_slug, row_pos, sku, backend, remove_bg; without meta the backend is unknown."""
-    def read(kind):
-        files = spark.read.text(f"{folder}/*.{kind}.json", wholetext=True)
-        return files.select(F.regexp_extract(F.input_file_name(), rf"([^/]+)\.{kind}\.json", 1).alias("category_slug"), "value")
-
-    ids = read("ids").select("category_slug", F.posexplode(F.from_json("value", "array<string>")).alias("row_pos", "sku"))
-    meta = read("meta").select("category_slug", F.from_json("value", "backend string, remove_bg boolean, vectors string").alias("m")).select("category_slug", "m.*")
+    ids = _sidecars(spark, folder, "ids").select("category_slug", F.posexplode(F.from_json("value", "array<string>")).alias("row_pos", "sku"))
+    meta = _sidecars(spark, folder, "meta").select("category_slug", F.from_json("value", "backend string, remove_bg boolean, vectors string").alias("m")).select("category_slug", "m.*")
     return ids.join(meta, "category_slug", "left").fillna("unknown", ["backend"])
 
 
+def sidecar_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """category_slug and what is wrong with its sidecars: skipped ones, and those without how they were built."""
+    ids = _sidecars(spark, folder, "ids").select("category_slug", F.from_json("value", "array<string>").isNull().alias("bad_ids"))
+    meta = _sidecars(spark, folder, "meta").select("category_slug", F.from_json("value", "backend string")["backend"].isNull().alias("bad_meta"))
+    both = ids.join(meta, "category_slug", "full")
+    reason = F.when(F.col("bad_ids").isNull(), "skipped: no ids").when(F.col("bad_ids"), "skipped: ids unreadable").when(F.col("bad_meta").isNull(), "backend unknown: no meta").when(F.col("bad_meta"), "backend unknown: not in meta")
+    return both.select("category_slug", reason.alias("problem")).filter("problem is not null")
+
+
 def write_vectors(df: DataFrame, path: str, only: str | None = None) -> None:
-    """Writes vectors by category; with `only`, that category's folder alone is replaced."""
+    """Writes vectors by category, and in _built how each category's were made; with `only`, that category's folders alone are replaced."""
     rows = df if only is None else df.filter(F.col("category_slug") == only)
-    rows.write.partitionBy("category_slug").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    put = lambda part, where: part.write.partitionBy("category_slug").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(where)
+    put(rows, path)
+    kind = F.when(F.count("*") == F.countDistinct("sku"), "per_sku").otherwise("per_image")
+    put(rows.groupBy("category_slug", "backend", "remove_bg").agg(kind.alias("vectors"), F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("dim")), f"{path}/_built")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_built(spark: SparkSession, path: str) -> DataFrame:
+    """How the vectors of each category were made: backend, remove_bg, vectors (per_image or per_sku), n_vectors, dim."""
+    return spark.read.parquet(f"{path}/_built")
+
+
+def write_files(df: DataFrame, root: str) -> int:
+    """Writes each row's `data` to root/`path`, in the tasks; a task that runs again writes the same files. Returns how many."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{top}/{path}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(target) as out:
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    return df.select(F.col("path").cast("string"), F.col("data").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(path)
 
