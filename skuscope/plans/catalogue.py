@@ -16,7 +16,7 @@ from skuscope.operators import identify as ident
 from skuscope.operators import questions as qu
 from skuscope.operators import search as se
 from skuscope.plans import tables as d
-from skuscope.sources.scratch import shared_path
+from skuscope.sources.scratch import shared_path, stored
 from skuscope.streaming import jobs
 
 QUERIES: dict = {}
@@ -259,7 +259,7 @@ def products_for_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _session_fitment(spark, sf_dir):
-    return d.candidates(spark, sf_dir).select("session_id", "sku").join(_ranges(spark, sf_dir), "sku")
+    return stored(d.candidates(spark, sf_dir).select("session_id", "sku").join(_ranges(spark, sf_dir), "sku"), "session-fitment")
 
 
 @registered(f"WITH {OPT} SELECT session_id, a AS year_start, b AS year_end, array_to_string(skus, ',') AS skus FROM yo")
@@ -271,7 +271,7 @@ def year_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"WITH {OPT} SELECT session_id, facet, label, array_to_string(skus, ',') AS skus FROM opt")
 def facet_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = qu.apply_answers(d.candidates(spark, sf_dir), d.answers(spark, sf_dir))
-    rows = left.select("session_id", "sku").join(_ranges(spark, sf_dir), "sku")
+    rows = stored(left.select("session_id", "sku").join(_ranges(spark, sf_dir), "sku"), "session-fitment")
     return qu.facet_options(left, rows).select("session_id", "facet", "label", F.array_join("skus", ",").alias("skus"))
 
 

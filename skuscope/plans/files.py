@@ -154,7 +154,7 @@ def _wide_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 WV = "wv AS (SELECT CASE WHEN vec_id % 13 = 0 THEN 'X' || label ELSE CAST(label * 5 + vec_id % 5 AS VARCHAR) END AS sku, vec_id, CASE WHEN vec_id % 11 = 0 THEN 'unknown' WHEN label % 2 = 0 THEN 'dinov2' ELSE 'openclip' END AS backend, CASE WHEN label = 9 THEN 64 WHEN label % 2 = 0 THEN 768 ELSE 512 END AS dim, embedding FROM embeddings)"
 
 
-@registered(f"WITH {WV}, u AS (SELECT sku, arg_max(struct_pack(b := backend, d := dim, x := embedding[1]), vec_id) AS v FROM wv WHERE backend <> 'unknown' AND dim <> 64 GROUP BY sku) SELECT CAST(p_partkey AS VARCHAR) AS sku, v.b AS embedding_backend, CASE WHEN v.d = 768 THEN 768 WHEN v.d = 512 THEN 512 END AS dim, round(v.x, 5) AS first FROM part LEFT JOIN u ON u.sku = CAST(p_partkey AS VARCHAR)")
+@registered(f"WITH {WV}, u AS (SELECT sku, arg_max(struct_pack(b := backend, d := dim, x := CAST(embedding[1] AS DOUBLE)), vec_id) AS v FROM wv WHERE backend <> 'unknown' AND dim <> 64 GROUP BY sku) SELECT CAST(p_partkey AS VARCHAR) AS sku, v.b AS embedding_backend, CASE WHEN v.d = 768 THEN 768 WHEN v.d = 512 THEN 512 END AS dim, round(v.x, 5) AS first FROM part LEFT JOIN u ON u.sku = CAST(p_partkey AS VARCHAR)")
 def attached_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ca.attach_embeddings(d.products(spark, sf_dir), _wide_vectors(spark, sf_dir))
     held = F.coalesce("embedding_768", "embedding_512")

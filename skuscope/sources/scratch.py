@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         local = spark.sparkContext.master.split("[")[0] == "local"
         root = f"file://{tempfile.mkdtemp(prefix='skuscope-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/skuscope/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in that folder, for what is read several times in one plan."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
