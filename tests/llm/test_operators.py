@@ -248,9 +248,15 @@ def test_token_counts(docs, none):
     n = lambda t: len(encode(t or "", add_special_tokens=False).ids)
     assert got == sorted(((i, len((t or "").encode()), n(t), n(t) > 50) for i, t, *_ in rows()), key=str)
     assert tokens.count_tokens(none, path).count() == 0
-    for _ in range(400):
-        t = "".join(R.choice(["a", "b ", " ", "  ", "\n", " \n", "\t", "'s", "1", "é", ".", "<|endoftext|>", " ", "　"]) for _ in range(R.randrange(0, 12)))
-        assert sum(n(x) for x in tokens.pretokens(t)) == n(t), repr(t)
+    cut = tokens.splitter(tokens.tokenizer(path))
+    for _ in range(2000):
+        t = "".join(R.choice(["a", "b ", " ", "  ", "\n", " \n", "\t", "'s", "'S", "1", "é", ".", "<|endoftext|>", "\u00a0", "\u3000", "\x1c", "don't", "日本", "²"]) for _ in range(R.randrange(0, 12)))
+        assert "".join(cut(t)) == t and sum(n(x) for x in cut(t)) == n(t), repr(t)
+    assert len(cut("    if x:\n        return  y  ")) > 6  # indented text is no whole word
+    with pytest.raises(ValueError):
+        tokens.splitter(tokens.tokenizer(str(public_tokenizers.path("word_bpe_49k.json"))))
+    empty = docs.filter("doc_id in (43, 44)").coalesce(1)
+    assert [r["n_tokens"] for r in tokens.count_tokens(empty, path).collect()] == [0, 0]
 
 
 def brute_fingerprint(t):
