@@ -1,4 +1,4 @@
-"""Exact top-k search over 64-bit codes by incremental multi-index hashing."""
+"""Exact top-k search over binary codes by incremental multi-index hashing."""
 
 from __future__ import annotations
 
@@ -10,39 +10,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shuffle_width, written
 
-SEGMENTS, SEGMENT_BITS = 4, 16
+SEGMENT_BITS = 16
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.zeros(len(batch), np.int64)
-        for k, vector in enumerate(batch.column(1).to_pylist()):
-            signs = np.zeros(64, np.uint8)
-            signs[: len(vector or ())] = [x is not None and x > 0 for x in (vector or ())[:64]]
-            found[k] = np.packbits(signs, bitorder="little").view("<i8")[0]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "code"])
+        found = []
+        for vector in batch.column(1).to_pylist():
+            signs = np.array([x is not None and x > 0 for x in vector or ()], bool)
+            found.append(np.packbits(signs, bitorder="little").tobytes().rstrip(b"\0"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "code"])
 
 
 def binary_codes(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """id and code: bit i is set if element i (of at most 64) is above zero; null, NaN and missing elements aren't."""
-    return vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).mapInArrow(_codes, "id long, code long")
+    """id and code: bit i is set if element i is above zero; null, NaN and missing elements aren't, so codes end with their last set bit."""
+    return vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).mapInArrow(_codes, "id long, code binary")
 
 
 class SegmentIndex:
-    """Codes by the value of each of their segments."""
+    """Codes of one length by the value of each of their 16-bit segments."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.segments = codes.view("<u2").reshape(-1, SEGMENTS)
-        self.order = [np.argsort(self.segments[:, s], kind="stable") for s in range(SEGMENTS)]
+        self.words = codes  # a row of unsigned 64-bit words a code
+        self.segments = np.ascontiguousarray(codes).view("<u2").reshape(len(codes), -1)
+        self.number = self.segments.shape[1]
+        self.order = [np.argsort(self.segments[:, s], kind="stable") for s in range(self.number)]
         self.first = [np.searchsorted(self.segments[o, s], np.arange((1 << SEGMENT_BITS) + 1)) for s, o in enumerate(self.order)]
 
-    def at_radius(self, code: np.uint64, masks: np.ndarray) -> np.ndarray:
+    def distances(self, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.words[at] ^ code).sum(axis=1, dtype=np.int64)
+
+    def at_radius(self, code: np.ndarray, masks: np.ndarray) -> np.ndarray:
         """Places of the codes with a segment that differs from the query's by one of the masks."""
         found = []
-        for s, value in enumerate(np.array([code]).view("<u2")):
+        for s, value in enumerate(code.view("<u2")):
             probes = (masks ^ value).astype(np.int64)
             a, n = self.first[s][probes], self.first[s][probes + 1] - self.first[s][probes]
             n_all = n.sum()
@@ -51,22 +54,23 @@ class SegmentIndex:
                 found.append(self.order[s][at])
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
-    def nearest(self, code: np.uint64, k: int, members: np.ndarray, masks: list[np.ndarray]) -> np.ndarray:
-        """Places of all codes no farther than the k-th nearest row (a code counts as `members` rows).
+    def nearest(self, code: np.ndarray, k: int, members: np.ndarray, masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of all codes no farther than the k-th nearest row (a code counts as `members` rows).
 
-        After radius r every code within SEGMENTS * (r + 1) - 1 bits has been seen, for
+        After radius r every code within segments * (r + 1) - 1 bits has been seen, for
         in some segment it differs in r bits at most; the radius grows until the k-th
         verified distance is covered.
         """
         near = np.zeros(0, np.int64)
         for r in range(SEGMENT_BITS + 1):
             near = np.union1d(near, self.at_radius(code, masks[r]))
-            distance = np.bitwise_count(self.codes[near] ^ code)
-            seen = np.bincount(distance, members[near], 65).cumsum()
+            distance = self.distances(near, code)
+            seen = np.bincount(distance, members[near], self.number * SEGMENT_BITS + 1).cumsum()
             bound = int(np.searchsorted(seen, k))
-            if bound <= SEGMENTS * (r + 1) - 1 or len(near) == len(self.codes):
-                return near[distance <= bound]
-        return near
+            if bound <= self.number * (r + 1) - 1 or len(near) == len(self.words):
+                break
+        keep = distance <= bound
+        return near[keep], distance[keep]
 
 
 def _masks() -> list[np.ndarray]:
@@ -74,53 +78,79 @@ def _masks() -> list[np.ndarray]:
     return [np.flatnonzero(bits == r).astype(np.uint16) for r in range(SEGMENT_BITS + 1)]
 
 
-def _searched(k: int):
-    def run(key, left, right):
-        """left: queries (code); right: a shard's codes and how many rows each stands for."""
-        index = SegmentIndex(right.column("code").to_numpy().astype(np.int64).view(np.uint64))
-        members, masks = right.column("rows").to_numpy(), _masks()
-        out_query, out_code, out_distance = [], [], []
-        for q in left.column("code").to_numpy() if len(index.codes) else ():
-            code = np.int64(q).view(np.uint64)
-            at = index.nearest(code, k, members, masks)
-            out_query.append(np.full(len(at), q))
-            out_code.append(index.codes[at].view(np.int64))
-            out_distance.append(np.bitwise_count(index.codes[at] ^ code).astype(np.int32))
-        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return pa.table({"query": join(out_query, np.int64), "code": join(out_code, np.int64), "distance": join(out_distance, np.int32)})
+def _wide(codes: list[bytes], words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.ljust(8 * words, b"\0") for x in codes), "<u8").reshape(len(codes), words)
+
+
+_FOUND = pa.schema([("query", pa.binary()), ("code", pa.binary()), ("distance", pa.int32())])
+
+
+def _searched(k: int, words: int):
+    """A task has whole shards, one after the other: each shard's codes first (query false), of which the
+    index is built once, then all queries, which pass through it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks, shard, codes, rows, index, members = _masks(), None, [], [], None, None
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in _FOUND.names}
+            for own, query, code, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != shard:
+                    shard, codes, rows, index = own, [], [], None
+                if not query:
+                    codes.append(code)
+                    rows.append(n)
+                    continue
+                if not codes:
+                    continue
+                if index is None:
+                    index, members = SegmentIndex(_wide(codes, words)), np.array(rows)
+                at, distance = index.nearest(_wide([code], words)[0], k, members, masks)
+                out["query"] += [code] * len(at)
+                out["code"] += [codes[i] for i in at.tolist()]
+                out["distance"] += distance.tolist()
+            yield pa.RecordBatch.from_pydict(out, _FOUND)
 
     return run
 
 
-def top_k(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 10, every: int = 50, shard: int = 100_000, block: int = 1_000) -> DataFrame:
+def top_k(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 10, every: int = 50, shard: int = 100_000) -> DataFrame:
     """The k nearest rows by Hamming distance of the vectors' sign codes, for every row whose id is divisible by `every`.
 
     Equal codes are one entry of the index, with the number of its rows and its
     k smallest ids, which is all of it that can be in an answer. Codes are
-    dealt out to shards of about `shard`, query codes to blocks of about
-    `block`; each pair of a shard and a block searches exactly by multi-index
-    hashing, and the shards' answers are merged. Ties go to the smaller id; a
-    query is among its own neighbours. Null ids are neither queries nor
-    neighbours; repeated rows count once; an empty table gives an empty result.
+    dealt out to as many shards as the cluster has partitions, more if these
+    would have over `shard` codes. A shard's index is built once, and the query
+    codes stream through it in sorted order, searched exactly by multi-index
+    hashing; the shards' answers are merged. Ties go to the smaller id; a query
+    is among its own neighbours.
+
+    All elements of a vector count, however many; shorter vectors count as if
+    zeros followed; null, NaN and missing elements are not above zero. Null ids
+    are neither queries nor neighbours; repeated rows count once; an empty
+    table gives an empty result; other columns are not read.
 
     Returns query_id, rank (from 1), neighbour_id and distance.
     """
+    spark = vectors.sparkSession
     codes = written(binary_codes(vectors, id_column, vector_column).filter("id is not null").distinct(), "codes")
     first = codes.withColumn("n", F.row_number().over(W.partitionBy("code").orderBy("id"))).filter(F.col("n") <= k)
     entries = written(first.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
     wanted = codes.filter(F.col("id") % every == 0)
-    distinct = wanted.select("code").distinct()
-    shards, blocks = max(1, -(-entries.count() // shard)), max(1, -(-wanted.count() // block))
-    left = distinct.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = entries.select("code", F.size("ids").alias("rows")).withColumn("shard", F.pmod(F.hash("code"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_searched(k), "query long, code long, distance int")
-    rows = found.join(entries, "code").select("query", "distance", F.explode("ids").alias("neighbour_id"))
+    found = entries.agg(F.count("*").alias("n"), F.max(F.octet_length("code")).alias("size")).first()
+    words = max(1, -(-(found["size"] or 0) // 8))
+    width = shuffle_width(spark)
+    shards = max(width, -(-found["n"] // shard))
+    right = entries.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"), "code", F.size("ids").alias("rows"))
+    left = wanted.select("code").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "code", F.lit(0).alias("rows"))
+    dealt = right.unionByName(left).repartition(shards, "shard").sortWithinPartitions("shard", "query")
+    answers = dealt.mapInArrow(_searched(k, words), "query binary, code binary, distance int")
+    rows = answers.join(entries, "code").select("query", "distance", F.explode("ids").alias("neighbour_id"))
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour_id"))).filter(F.col("rank") <= k)
     return wanted.join(ranked, wanted["code"] == ranked["query"]).select(F.col("id").alias("query_id"), "rank", "neighbour_id", "distance")
 
 
 ORACLE_OP5 = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x > 0 AS INT)) AS bits FROM embeddings WHERE vec_id IS NOT NULL),
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x > 0 AND NOT isnan(x) AS INT)) AS bits FROM embeddings WHERE vec_id IS NOT NULL),
 q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
 d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(q.bits[i] - v.bits[i]))) AS INT) AS distance FROM q, v),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INT) AS rank FROM d)

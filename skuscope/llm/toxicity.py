@@ -13,6 +13,7 @@ half of that, the rows with the smallest md5 of the id).
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,6 @@ from .shared import frugal, shuffle_width, written
 BITS = 20
 ORDERS = (4, 5, 6)
 SLICES = 256
-MOST_PLACES = 1 << 15
 PRIOR = 1.0
 
 
@@ -60,6 +60,8 @@ def places(text: str | None, among: np.ndarray | None = None) -> np.ndarray:
     at = hashed(text)
     if among is not None:
         return np.unique(at[among[at]])
+    if len(at) < 1500:
+        return np.unique(at)
     seen = np.zeros(1 << BITS, bool)
     seen[at] = True
     return np.flatnonzero(seen)
@@ -88,18 +90,28 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["slice", "counts"])
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, epochs: int, l2: float) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adagrad over mini-batches; deterministic."""
+def _packed(at: np.ndarray) -> bytes:
+    """Sorted places in a few bytes each."""
+    return zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), "<u4"), dtype=np.int64)
+
+
+def _fit(rows: list[bytes], labels: np.ndarray, ratio: np.ndarray, epochs: int, l2: float) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adagrad over mini-batches of packed places; deterministic."""
     w, b = np.ones_like(ratio), math.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
     squares, bias_square = np.full_like(ratio, 1e-6), 1e-6
     order = np.random.default_rng(7)
     steps = max(1, len(rows) // 64)
     for _ in range(max(epochs, math.ceil(800 / steps))):
         for part in np.array_split(order.permutation(len(rows)), steps):
-            index = np.concatenate([rows[i] for i in part])
+            own = [_unpacked(rows[i]) for i in part]
+            index = np.concatenate(own)
             if not len(index):
                 continue
-            owner = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+            owner = np.repeat(np.arange(len(part)), list(map(len, own)))
             z = np.bincount(owner, ratio[index] * w[index], len(part)) + b
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(part)
             touched, where = np.unique(index, return_inverse=True)
@@ -119,15 +131,16 @@ def _sent(ids: DataFrame, limit: int = 2_000_000) -> DataFrame:
 def train(docs: DataFrame, marks: DataFrame, *, max_fit_rows: int = 12_000, epochs: int = 6, l2: float = 1e-4, threshold: float = 0.7) -> ToxicityModel:
     """Trains on docs(id, text) whose id is in marks(id, label), label 0 or 1, one row an id.
 
-    Null labels don't count; null and empty texts have no n-grams. With no rows
-    of either label every score is 0.5. What comes to the driver is bounded by
+    Null labels don't count; null and empty texts have no n-grams; repeated rows
+    count as often as they stand there; texts of any length count once each.
+    With no rows of either label every score is 0.5. What comes to the driver is bounded by
     2**BITS counts and by max_fit_rows texts' places.
     """
     docs = docs.select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = written(marks.filter("label in (0, 1) and id is not null"), "marks")
     schema = "slice int, counts binary"
-    counted = docs.join(_sent(marks), "id").select("text", "label").mapInArrow(frugal(_counts), schema).repartition(shuffle_width(docs.sparkSession), "slice").mapInArrow(_summed, schema).toPandas()
-    parts = {k: np.frombuffer(x, np.int64).reshape(2, -1) for k, x in zip(counted.slice, counted.counts)}
+    counted = docs.join(_sent(marks), "id").select("text", "label").mapInArrow(frugal(_counts), schema).repartition(shuffle_width(docs.sparkSession), "slice").mapInArrow(_summed, schema).toArrow()
+    parts = {k: np.frombuffer(x, np.int64).reshape(2, -1) for k, x in zip(*(c.to_pylist() for c in counted.columns))}
     if -1 not in parts or not parts[-1].all():
         return ToxicityModel(np.zeros(1 << BITS), 0.0, threshold)
     texts = parts[-1][:, 0]
@@ -137,21 +150,21 @@ def train(docs: DataFrame, marks: DataFrame, *, max_fit_rows: int = 12_000, epoc
     ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - 3 * np.sqrt(1 / toxic + 1 / clean))
     ratio[(toxic + clean) < 2 * PRIOR + 3] = 0
 
-    if np.count_nonzero(ratio) > MOST_PLACES:  # the strongest
-        ratio[np.abs(ratio) < np.partition(np.abs(ratio), -MOST_PLACES)[-MOST_PLACES]] = 0
     informative = docs.sparkSession.sparkContext.broadcast(ratio != 0)
 
     def bits(batches):
         for batch in batches:
             found = [places(x, informative.value) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([at.astype("<u4").tobytes() for at in found], pa.binary())], names=["label", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(map(_packed, found), pa.binary())], names=["label", "places"])
 
     order = F.md5(F.col("id").cast("string"))
     picked = marks.filter("label = 0").orderBy(order, "id").limit(max_fit_rows // 2).union(marks.filter("label = 1").orderBy(order, "id").limit(max_fit_rows // 2))
-    sample = docs.join(F.broadcast(picked), "id").select("text", "label").mapInArrow(bits, "label int, places binary").toPandas().sort_values(["places", "label"], kind="stable")
-    rows = [np.frombuffer(x, "<u4") for x in sample.places]
-    weights, bias = _fit(rows, sample.label.to_numpy(float), ratio, epochs, l2)
-    fitted = np.bincount(sample.label.to_numpy(), minlength=2)
+    sample = docs.join(F.broadcast(picked), "id").select("text", "label").mapInArrow(bits, "label int, places binary").toArrow()
+    rows = sorted(zip(sample.column("places").to_pylist(), sample.column("label").to_pylist()))
+    del sample
+    label = np.array([y for _, y in rows])
+    weights, bias = _fit([x for x, _ in rows], label.astype(float), ratio, epochs, l2)
+    fitted = np.bincount(label, minlength=2)
     bias += math.log(texts[1] / fitted[1]) - math.log(texts[0] / fitted[0])  # the labels' shares among all rows
     return ToxicityModel(weights, bias, threshold)
 
@@ -159,8 +172,8 @@ def train(docs: DataFrame, marks: DataFrame, *, max_fit_rows: int = 12_000, epoc
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_column: str = "text") -> DataFrame:
     """Adds `score` (0 to 1) and `predicted` (1 from model.threshold on) to docs.
 
-    Whole texts are scored, null as empty; equal texts have equal scores; all
-    columns of docs stay (columns of docs named score or predicted are
+    Whole texts of any length are scored, null as empty; equal texts have equal
+    scores; repeated rows have a row each; all columns of docs stay (columns of docs named score or predicted are
     replaced); an empty table gives an empty result. The model (a fixed 8 MB)
     is broadcast.
     """

@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -161,10 +163,24 @@ def test_top_k(spark):
         if q % 50 == 0:
             near = sorted((sum(a != b for a, b in zip(known[q], known[o])), o) for o in known)[:10]
             want += [(q, k + 1, o, d) for k, (d, o) in enumerate(near)]
-    assert sorted(map(tuple, hamming.top_k(df, shard=90, block=3).collect())) == sorted(want)
+    assert sorted(map(tuple, hamming.top_k(df, shard=90).collect())) == sorted(want)
+    assert sorted(map(tuple, hamming.top_k(df, shard=9).collect())) == sorted(want)
     assert hamming.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_long_and_odd_vectors(spark):
+    base = [[R.gauss(0, 1) for _ in range(n)] for n in (64, 65, 130, 1) for _ in range(40)]
+    base += [base[0] + [1.0], base[0] + [-1.0], [float("nan")] * 3, [float("nan"), 1.0]]
+    df = spark.createDataFrame([*enumerate(base)], "vec_id long, embedding array<double>")
+    signs = lambda v: [int(x > 0) for x in v] + [0] * (130 - len(v))
+    known = {i: signs(v) for i, v in enumerate(base)}
+    want = []
+    for q in known:
+        if q % 50 == 0:
+            want += [(q, r + 1, o, dist) for r, (dist, o) in enumerate(sorted((sum(a != b for a, b in zip(known[q], known[o])), o) for o in known)[:10])]
+    assert sorted(map(tuple, hamming.top_k(df).collect())) == sorted(want)
+
+
 def test_media(docs, none):
     got = {r["doc_id"]: r for r in media.stored_digests(docs).collect()}
     for i, t, *_ in rows():
@@ -331,5 +347,21 @@ def test_toxicity(spark, none):
     assert sum(scored[i]["predicted"] == y for i, y in held) >= 0.97 * len(held)
     assert scored[900]["score"] == scored[901]["score"] and 0 <= scored[900]["score"] <= 1
     assert toxicity.score_toxicity(none, model).count() == 0
+    # Labels of held-out rows don't reach any score.
+    other = spark.createDataFrame([(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, _, y in table] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    again = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, toxicity.train_on_labels(docs, other)).collect()}
+    assert again == {i: r["score"] for i, r in scored.items()}
+    # The scores are those of a plain classifier over the same n-grams: brute-force counts of texts by n-gram.
+    grams = lambda t: set(toxicity.hashed(t).tolist())
+    trained = [(t, y) for i, t, y in table if i != 5 and zlib.crc32(str(i).encode()) % 3 != 1] + [(table[5][1], 0)]
+    texts = [sum(y == k for _, y in trained) for k in (0, 1)]
+    counts = [Counter(g for t, y in trained if y == k for g in grams(t)) for k in (0, 1)]
+    for g in list(counts[1])[:2000]:
+        a, b = counts[1][g] + 1, counts[0][g] + 1
+        ratio = math.log(a / (texts[1] + 2)) - math.log(b / (texts[0] + 2))
+        silent = abs(ratio) <= 3 * math.sqrt(1 / a + 1 / b) or a + b < 5
+        assert (model.weights[g] == 0) == silent
+    long = spark.createDataFrame([(1, "word " * 200_000 + bad[0]), (1, "word " * 200_000 + bad[0]), (2, "")], "doc_id long, text string")
+    assert len({r["score"] for r in toxicity.score_toxicity(long, model).collect()}) == 2
     untrained = toxicity.train_on_labels(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score_toxicity(docs, untrained).collect()} == {0.5}
