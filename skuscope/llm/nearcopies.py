@@ -47,13 +47,27 @@ def bands(found: set[bytes]) -> list[int]:
 def _marks(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, keys = [], [], []
+            nodes, prints, keys, sizes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
+                found = shingles(words, shingle)
                 nodes.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True))
                 prints.append(simhash.fingerprint(text))
-                keys.append(bands(shingles(words, shingle)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text", "node", "fp", "bands"])
+                keys.append(bands(found))
+                sizes.append(len(found))
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "node", "fp", "bands", "size"])
+
+    return run
+
+
+def _hashed_shingles(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = shingles(words_of(text), shingle)
+                hashes = np.fromiter((xxhash.xxh64_intdigest(x, simhash.SEED) for x in found), np.uint64, len(found)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node)), pa.array(hashes)], names=["node", "shingle"])
 
     return run
 
@@ -73,48 +87,72 @@ def _similar(shingle: int, similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs(u, v) of nodes whose texts are similar."""
-    wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts, "node").withColumnRenamed("first", "id"), "near-wanted")
-    sent = F.broadcast(wanted) if wanted.count() <= 2_000_000 else wanted  # two longs a row
-    texts = marked.join(sent, ["node", "id"]).groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(texts, "candidate-texts")
     left, right = texts.select(F.col("node").alias("v"), F.col("text").alias("a")), texts.select(F.col("node").alias("u"), F.col("text").alias("b"))
     return written(pairs.join(right, "u").join(left, "v").select("u", "v", "a", "b").mapInArrow(frugal(_similar(shingle, similarity)), "u long, v long"), "verified")
 
 
+def _can_be_similar(similarity: float):
+    """Whether two nodes a and b can have this similarity at all: what only one of them has is not in common."""
+    common = F.least("a.shared", "b.shared")
+    return common >= similarity * (F.col("a.size") + F.col("b.size") - common)
+
+
 def near_copies(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """id and component_id, the smallest id reachable by links of texts whose `shingle`-word shingles have a
     Jaccard similarity of `similarity` or more, a row for each distinct pair of these.
 
     Texts with the same words are one node. Nodes that share a MinHash band or a
     SimHash fingerprint, or have fingerprints within the operator's reach, are in
-    one bucket. Each is compared with its bucket's first node; then, where a
-    bucket still has several components, all pairs across these are compared. So
-    a large group of near copies makes rows in proportion to its size, and every
-    link is verified on the texts. Rows without an id are left out.
+    one bucket. Shingles that no other node of any bucket has are counted, and
+    bound what two nodes can have in common: nodes, and later pairs, that can't
+    be similar go. Each node is compared with the one of its bucket that has
+    the least of its own (the original, where there is one); then, where a
+    bucket still has several components, the pairs across these that can be
+    similar are compared, each in the first bucket that has both. So a large
+    group of near copies makes rows in proportion to its size, and every link is
+    verified on the texts. Null and empty texts are one node and link to no
+    other; rows without an id are left out; texts of any length are taken
+    whole; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).filter("id is not null")
-    marked = written(rows.mapInArrow(frugal(_marks(shingle)), "id long, text string, node long, fp long, bands array<long>"), "near-marks")
-    nodes = written(marked.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp")), "near-nodes")
-    firsts = nodes.select("node", "first")
+    marked = written(rows.mapInArrow(frugal(_marks(shingle)), "id long, text string, node long, fp long, bands array<long>, size int"), "near-marks")
+    nodes = written(marked.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size")), "near-nodes")
     near = simhash.near_links(nodes.select("fp").distinct())
-    linked = near.select(F.xxhash64("u", "v").alias("key"), F.explode(F.array("u", "v")).alias("fp")).join(nodes, "fp").select("key", "node")
-    equal = nodes.select(F.xxhash64("fp").alias("key"), "node")
-    buckets = marked.select(F.explode("bands").alias("key"), "node").unionByName(equal).unionByName(linked).distinct()
-    buckets = written(buckets, "near-buckets")
-    several = buckets.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = written(buckets.join(several, "key"), "near-buckets")
-    stars = written(buckets.filter("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct(), "near-stars")
-    links = _verified(stars, marked, firsts, shingle, similarity)
+    other = F.lit(BANDS).alias("slot")
+    linked = near.select(other, F.xxhash64("u", "v").alias("key"), F.explode(F.array("u", "v")).alias("fp")).join(nodes, "fp").select("slot", "key", "node")
+    equal = nodes.select(other, F.xxhash64("fp").alias("key"), "node")
+    buckets = written(marked.select(F.posexplode("bands").alias("slot", "key"), "node").unionByName(equal).unionByName(linked).distinct(), "near-buckets")
+    several = lambda df: df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    buckets = written(buckets.join(several(buckets), "key"), "near-members")
+
+    wanted = written(buckets.select("node").distinct().join(nodes, "node").select("node", F.col("first").alias("id"), "size"), "near-wanted")
+    sent = wanted.select("node", "id")
+    texts = marked.join(F.broadcast(sent) if sent.count() <= 2_000_000 else sent, ["node", "id"])  # two longs a row
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text"), F.first("bands").alias("bands")), "candidate-texts")
+    single = texts.select("node", "text").mapInArrow(frugal(_hashed_shingles(shingle)), "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"))
+    weighed = wanted.join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")).filter((F.col("shared") > 0) & (F.col("shared") >= similarity * F.col("size")))
+    buckets = written(buckets.join(weighed, "node"), "near-weighed")
+
+    best = F.max(F.struct((F.col("shared") / F.col("size")).alias("share"), "node", "size", "shared")).alias("b")
+    heads = buckets.groupBy("key").agg(F.count("*").alias("n"), best).filter("n > 1").select("key", "b.node", "b.size", "b.shared")
+    stars = buckets.alias("a").join(heads.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") != F.col("b.node")) & _can_be_similar(similarity))
+    stars = written(stars.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "near-stars")
+    links = _verified(stars, texts, shingle, similarity)
     parts = written(connected_components(links), "near-parts")
-    cells = buckets.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+
+    cells = buckets.join(parts, "node", "left").select("key", "slot", "node", "size", "shared", F.coalesce("component", "node").alias("component"))
     open_keys = cells.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    cells = written(cells.join(open_keys, "key"), "near-cells")
-    across = cells.alias("a").join(cells.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")))
-    across = across.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    across = written(across, "near-across")
-    more = _verified(across, marked, firsts, shingle, similarity)
+    cells = written(cells.join(open_keys, "key").join(texts.select("node", "bands"), "node"), "near-cells")
+    first_slot = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True) - 1
+    first_slot = F.when(first_slot < 0, BANDS).otherwise(first_slot)
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _can_be_similar(similarity) & (F.col("a.slot") == first_slot)
+    across = cells.alias("a").join(cells.alias("b"), on).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+    done = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    across = written(across.join(done, ["u", "v"], "left_anti"), "near-across")
+    more = _verified(across, texts, shingle, similarity)
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
     of_node = simhash.component_names(nodes.select(F.col("node").alias("key"), "first"), parts, "key").withColumnRenamed("key", "node")
