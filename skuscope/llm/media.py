@@ -89,37 +89,110 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         start += size
 
 
-def probe(data: bytes | None) -> dict | None:
-    """Codec, size, duration, and the byte ranges of the samples of the first track, from the
-    sample tables alone; None where these are missing or don't fit the file."""
-    boxes: dict[bytes, tuple[int, int]] = {}
-    for path, a, b in walk(data or b""):
-        boxes.setdefault(path[-1], (a, b))
-    if not {b"stsd", b"stts", b"stsc", b"stsz", b"mdhd"} <= set(boxes) or not {b"stco", b"co64"} & set(boxes):
+class _Table:
+    """A full box's entries of `fields` big-endian integers each; no more than stand in the box."""
+
+    def __init__(self, data: bytes, span: tuple[int, int], kind: str, fields: int, skip: int = 4):
+        start = span[0] + skip + 4
+        n = struct.unpack_from(">I", data, span[0] + skip)[0] if start <= span[1] else -1
+        width = np.dtype(kind).itemsize * fields
+        self.ok = 0 <= n and start + n * width <= span[1]
+        self.values = np.frombuffer(data, kind, n * fields, start).reshape(-1, fields).astype(np.int64) if self.ok else np.zeros((0, fields), np.int64)
+
+
+def _tracks(data: bytes) -> list[dict[bytes, tuple[int, int]]]:
+    """Of each track: the first box of each kind."""
+    found: list[dict[bytes, tuple[int, int]]] = []
+    for path, a, b in walk(data):
+        if path == (b"moov", b"trak"):
+            found.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            found[-1].setdefault(path[-1], (a, b))
+    return found
+
+
+def _read_track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict | None:
+    if not {b"stsd", b"stts", b"stsc", b"mdhd"} <= set(boxes) or not {b"stco", b"co64"} & set(boxes) or not {b"stsz", b"stz2"} & set(boxes):
+        return None
+    a, b = boxes[b"stsd"]
+    if b - a < 16:
+        return None
+    codec = data[a + 12 : a + 16].decode("latin-1")
+    width, height = struct.unpack_from(">HH", data, a + 40) if boxes.get(b"hdlr") and data[boxes[b"hdlr"][0] + 8 : boxes[b"hdlr"][0] + 12] == b"vide" and a + 44 <= b else (None, None)
+    at, end = boxes[b"mdhd"]
+    long_times = end > at and data[at] == 1
+    where = at + (20 if long_times else 12)
+    scale = struct.unpack_from(">I", data, where)[0] if where + 4 <= end else 0
+    spans = _Table(data, boxes[b"stts"], ">u4", 2)
+    runs = _Table(data, boxes[b"stsc"], ">u4", 3)
+    places = _Table(data, boxes[b"stco"], ">u4", 1) if b"stco" in boxes else _Table(data, boxes[b"co64"], ">u8", 1)
+    if not scale or not (spans.ok and runs.ok and places.ok):
         return None
-    at = lambda kind, fmt, skip=4: struct.unpack_from(fmt, data, boxes[kind][0] + skip)
-    codec = data[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16].decode("latin-1")
-    width, height = struct.unpack_from(">HH", data, boxes[b"stsd"][0] + 40)
-    scale = at(b"mdhd", ">I", 12)[0]
-    spans = np.frombuffer(data, ">u4", 2 * at(b"stts", ">I")[0], boxes[b"stts"][0] + 8).reshape(-1, 2).astype(np.int64)
-    size, n = at(b"stsz", ">II")
-    sizes = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, boxes[b"stsz"][0] + 12).astype(np.int64)
-    kind, width_of = (b"stco", ">u4") if b"stco" in boxes else (b"co64", ">u8")
-    chunks = np.frombuffer(data, width_of, at(kind, ">I")[0], boxes[kind][0] + 8).astype(np.int64)
-    runs = np.frombuffer(data, ">u4", 3 * at(b"stsc", ">I")[0], boxes[b"stsc"][0] + 8).reshape(-1, 3).astype(np.int64)
-    each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
+    n = int(spans.values[:, 0].sum())
+    if b"stsz" in boxes:
+        at, end = boxes[b"stsz"]
+        if end - at < 12:
+            return None
+        size, count = struct.unpack_from(">II", data, at + 4)
+        if size:
+            if count != n or count * size > len(data):
+                return None
+            sizes = np.full(count, size, np.int64)
+        else:
+            table = _Table(data, boxes[b"stsz"], ">u4", 1, skip=8)
+            if not table.ok:
+                return None
+            sizes = table.values[:, 0]
+    else:  # compact sizes of 4, 8 or 16 bits
+        at, end = boxes[b"stz2"]
+        if end - at < 12 or data[at + 7] not in (4, 8, 16):
+            return None
+        bits, count = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+        if at + 12 + -(-count * bits // 8) > end:
+            return None
+        raw = np.frombuffer(data, np.uint8, -(-count * bits // 8), at + 12)
+        sizes = (np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[:count] if bits == 4 else raw if bits == 8 else raw.view(">u2")).astype(np.int64)
+    chunks = places.values[:, 0]
+    first, each = runs.values[:, 0], runs.values[:, 1]
+    if len(sizes) != n or n and (not len(first) or first[0] != 1 or (np.diff(first) <= 0).any() or first[-1] > len(chunks) or each.max() > n):
+        return None
+    each = np.repeat(each, np.diff(np.append(first, len(chunks) + 1))) if len(first) else each
     if each.sum() != n:
         return None
-    chunk = np.repeat(np.arange(len(chunks)), each)
+    chunk = np.repeat(np.arange(len(each)), each)
     before = np.cumsum(sizes) - sizes
-    first = np.concatenate([[0], np.cumsum(each)[:-1]])
-    starts = chunks[chunk] + before - before[first][chunk]
-    keys = np.frombuffer(data, ">u4", at(b"stss", ">I")[0], boxes[b"stss"][0] + 8).astype(np.int64) - 1 if b"stss" in boxes else np.arange(n)
-    return {"codec": codec, "width": width, "height": height, "duration": float((spans[:, 0] * spans[:, 1]).sum() / scale), "starts": starts, "ends": starts + sizes, "keys": keys}
+    starts = chunks[chunk] + before - before[np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.int64)[chunk]] if n else np.zeros(0, np.int64)
+    if n and (starts.min() < 0 or (starts + sizes).max() > len(data)):
+        return None
+    keys = np.arange(n)
+    if b"stss" in boxes:
+        table = _Table(data, boxes[b"stss"], ">u4", 1)
+        keys = table.values[:, 0] - 1
+        if not table.ok or len(keys) and (keys.min() < 0 or keys.max() >= n):
+            return None
+    duration = float((spans.values[:, 0] * spans.values[:, 1]).sum() / scale)
+    return {"codec": codec, "width": width, "height": height, "duration": duration, "starts": starts, "ends": starts + sizes, "keys": keys}
+
+
+def probe(data: bytes | None) -> dict | None:
+    """Codec, size (of pictures), duration in seconds, and the byte ranges of the samples, from the sample
+    tables alone, of the first video track, else the first track, whose tables are whole and fit the file.
+
+    None where there is none: tables are read track by track, counts are held
+    against their boxes, and samples against the file, before anything is
+    allocated. Fragments (moof) are not read: a movie that keeps its samples in
+    them has none here.
+    """
+    data = data or b""
+    found = [(track, x) for track in _tracks(data) if (x := _read_track(data, track)) is not None]
+    pictures = [x for track, x in found if x["width"] is not None]
+    return pictures[0] if pictures else found[0][1] if found else None
 
 
 def samples(data: bytes, found: dict) -> bytes:
     """The samples' bytes in order; samples that touch are read at once."""
+    if not len(found["starts"]):
+        return b""
     cut = np.flatnonzero(found["starts"][1:] != found["ends"][:-1]) + 1
     begin, stop = found["starts"][np.append(0, cut)], found["ends"][np.append(cut - 1, -1)]
     return b"".join(data[a:b] for a, b in zip(begin.tolist(), stop.tolist()))
@@ -150,7 +223,7 @@ _RANGE = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
     """Adds what the container of `column` says: codec, width, height, duration (seconds),
-    n_samples and keyframes (byte ranges), all null where it isn't such a container.
+    n_samples and keyframes (byte ranges), all null where it isn't such a container or is damaged.
     Only boxes and sample tables are read, no sample."""
     at = df.columns.index(column)
     new = {"codec": pa.string(), "width": pa.int32(), "height": pa.int32(), "duration": pa.float64(), "n_samples": pa.int64(), "keyframes": pa.list_(_RANGE)}
@@ -185,6 +258,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stored_digests(docs: DataFrame) -> DataFrame:
-    """Stores all documents as media in a table, reads that back, and digests what it holds."""
+    """Stores all documents as media in a table, reads that back, and digests what it holds.
+
+    Null and empty texts hold one sample of spaces; texts of any length are
+    stored whole; nulls stay in doc_id; repeated rows have a row each; an empty
+    table gives an empty result; other columns are not read.
+    """
     stored = written(store_as_media(docs), "media")
     return media_columns(stored).mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -195,6 +195,54 @@ def test_media(docs, none):
     assert media.probe(None) is None and media.probe(long[:900]) is None and media.probe(b"junk") is None
 
 
+def track_of(movie, kind=b"trak"):
+    at = movie.index(kind) - 4
+    return movie[at : at + int.from_bytes(movie[at : at + 4], "big")]
+
+
+def test_tracks_are_read_apart():
+    movie = media.to_media(b"x" * 192 * 30)
+    track = track_of(movie)
+    stss = track_of(track, b"stss")
+    silent = track.replace(stss, len(stss).to_bytes(4, "big") + b"free" + stss[8:]).replace(b"vide", b"soun")
+    head, moov = movie[: movie.index(b"moov") - 4], track_of(movie, b"moov")
+    rest = moov[8:].replace(track, b"")
+    both = lambda *tracks: head + media._box(b"moov", rest, *tracks)
+    assert media.probe(both(silent, track))["keys"].tolist() == [0, 12, 24]  # the video track, though second
+    assert media.probe(both(silent))["keys"].tolist() == list(range(30)) and media.probe(both(silent))["width"] is None
+    # Compact sizes say the same.
+    for bits, packed in ((8, bytes([192] * 30)), (16, b"\0\xc0" * 30)):
+        compact = media._full(b"stz2", b"\0\0\0" + bytes([bits]), (30).to_bytes(4, "big"), packed)
+        boxes = media._tracks(movie)[0]
+        del boxes[b"stsz"]
+        boxes[b"stz2"] = (len(movie) + 8, len(movie) + len(compact))
+        assert media.samples(movie, media._read_track(movie + compact, boxes)) == b"x" * 192 * 30
+    for field, value in ((b"mdhd", 12), (b"stts", 4), (b"stsz", 8), (b"stco", 4), (b"stsc", 4)):
+        at = movie.index(field) + 4 + value
+        assert media.probe(movie[:at] + b"\xff\xff\xff\xf0" + movie[at + 4 :]) is None or field == b"mdhd"
+        zero = media.probe(movie[:at] + bytes(4) + movie[at + 4 :])
+        assert zero is None
+
+
+def test_damaged_containers_never_raise(spark):
+    movie = media.to_media(bytes(range(192)) * 20)
+    r = random.Random(9)
+    damaged = []
+    for _ in range(3000):
+        raw = bytearray(movie[: r.randrange(len(movie))] if r.random() < 0.3 else movie)
+        for _ in range(r.randrange(0, 12)):
+            if raw:
+                at = r.randrange(max(0, len(raw) - 700), len(raw)) if r.random() < 0.8 else r.randrange(len(raw))
+                raw[at] = r.choice([0, 1, 255, r.randrange(256)])
+        damaged.append(bytes(raw))
+        found = media.probe(damaged[-1])
+        if found is not None:
+            assert len(found["starts"]) == len(found["ends"]) and (found["ends"] <= len(raw)).all() and (found["starts"] >= 0).all() and np.isfinite(found["duration"])
+            media.samples(damaged[-1], found)
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(damaged[:200])] + [(None, None)], "id int, media binary")
+    assert media.media_columns(df).count() == 201
+
+
 def test_packing(docs, none):
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     encode = tokens.tokenizer(path).encode
