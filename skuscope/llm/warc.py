@@ -78,15 +78,25 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(source, size: int = _CHUNK) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, a chunk at a time."""
-    engine = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or more members, at most a chunk at a time, however well they
+    were compressed; a file that ends within a member raises."""
+    engine, within = zlib.decompressobj(31), False
     while raw := source.read(size):
         while raw:
-            if out := engine.decompress(raw):
+            if out := engine.decompress(raw, size):
                 yield out
-            raw = engine.unused_data
+            within, raw = not engine.eof, engine.unused_data if engine.eof else engine.unconsumed_tail
             if engine.eof:
                 engine = zlib.decompressobj(31)
+    if within:
+        raise ValueError("the archive ends within a gzip member")
+
+
+def _moved(fs, source: str, target: str) -> None:
+    """Renames; a file that an earlier attempt of the task has put there goes first."""
+    if fs.get_file_info(target).type != pafs.FileType.NotFound:
+        fs.delete_file(target)
+    fs.move(source, target)
 
 
 def _gzip(data: bytes, level: int) -> bytes:
@@ -106,7 +116,7 @@ def _write_whole(folder: str, level: int, most: int):
             out.write(engine.flush())
             out.close()
             final = f"{root}/whole-{task:06d}-{number:04d}.warc.gz"
-            fs.move(temporary, final)
+            _moved(fs, temporary, final)
             done.append((final.rpartition("/")[2], n))
 
         for batch in batches:
@@ -145,8 +155,8 @@ def normalised(folder: str, archive: str, level: int) -> list[dict]:
             offset += len(member)
     with fs.open_output_stream(temporary[1], compression=None) as out:
         out.write("".join(json.dumps(r) + "\n" for r in rows).encode())
-    fs.move(temporary[0], f"{root}/{name}")
-    fs.move(temporary[1], f"{root}/{name}.index")
+    _moved(fs, temporary[0], f"{root}/{name}")
+    _moved(fs, temporary[1], f"{root}/{name}.index")
     return rows
 
 

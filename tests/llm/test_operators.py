@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -75,6 +76,33 @@ def test_mixing(docs, none):
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id", "text").count().count() <= docs.count() and mixing.repeated_documents(none).count() == 0
 
 
+def test_targets_are_a_water_filling(spark):
+    """Clamps the fullest sources at their cap, one after the other, and shares the rest by weight."""
+    for seed in range(6):
+        r = random.Random(seed)
+        sizes = {f"s{k:02d}": r.choice([1, 3, 20, 200, 900]) for k in range(r.randrange(1, 12))}
+        docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+        got = {x["source"]: x["target"] for x in mixing.mix_sources(docs).collect()}
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
+        target, open_, total = {}, set(sizes), 1.5 * sum(sizes.values())
+        while open_:
+            left = total - sum(target.values())
+            share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+            over = {s for s in open_ if share[s] > 2 * sizes[s]}
+            target |= {s: 2.0 * sizes[s] for s in over} if over else share
+            open_ -= over or set(share)
+        assert got == pytest.approx(target)
+
+
+def test_damaged_archives():
+    data = warc._gzip(b"a" * 5_000_000, 9) + warc._gzip(b"b", 1)
+    parts = list(warc.inflated(io.BytesIO(data), 1000))
+    assert b"".join(parts) == b"a" * 5_000_000 + b"b" and max(map(len, parts)) <= 1000
+    for cut in (data[:-3], data[:2000], data[:9]):
+        with pytest.raises(ValueError):
+            list(warc.inflated(io.BytesIO(cut), 1000))
+
+
 def brute_removal(table):
     first = {}
     out = []
