@@ -8,7 +8,7 @@
    others' bytes go to the shard of their minimizer.
 3. A shard sorts the suffixes of its distinct stretches by external induced
    sorting (`suffixes`), and marks each window that stands in a group of equal
-   ones with a smaller document.
+   ones with a smaller document. Oversized places are cut finer and dealt again.
 4. Each document removes what its marked windows cover.
 
 Hot passages stay bounded: a task sends a minimizer, and later a stretch, once
@@ -18,6 +18,7 @@ partitions and shuffles them.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import frugal, shuffle_width, text_or_empty, written
-from .suffixes import sorted_suffixes
+from .suffixes import sorted_blocks
 
 LENGTH = 50
 GRAM = 20
 _BATCH_BYTES = 4 << 20
 SHARDS_A_PLACE = 4  # shards that travel together; a task sorts them one by one
+FINER_GRAMS = (35, LENGTH)  # by which oversized places are cut
+MEMORY = 128 << 20
 _BLOB_DDL = "place int, cols binary"
 _BLOB = pa.schema([("place", pa.int32()), ("cols", pa.binary())])
 
@@ -258,38 +261,70 @@ def _stretch_texts():
     return run
 
 
-def repeated_windows(fragments: list[bytes], docs: np.ndarray, counts: np.ndarray, length: int = LENGTH, memory: int = 32 << 20) -> np.ndarray:
+def repeated_windows(fragments: list[bytes], docs: np.ndarray, counts: np.ndarray, length: int = LENGTH, memory: int = MEMORY) -> np.ndarray:
     """Of the windows at the first counts[i] places of each fragment, one after the other: which ones
-    equal a window of a fragment with a smaller document."""
-    sizes = np.array([len(x) for x in fragments], np.int64)
-    suffixes, common = sorted_suffixes(b"".join(fragments), length, memory)
-    start_of = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    is_window = np.arange(len(owner)) - start_of[owner] < counts[owner]
-    keep = is_window[suffixes]
-    # A suffix that is no window may stand between two equal ones: the least common prefix carries over.
-    group = np.cumsum(common < length)[keep]
-    suffixes = suffixes[keep]
-    doc = docs[owner[suffixes]]
-    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(doc))))
-    found = np.zeros(len(owner), bool)
-    found[suffixes] = doc > least
-    return found[is_window]
-
-
-def _sorted_shards(places: int, memory: int):
-    """Marks the windows of a shard's stretches that repeat one of a smaller document."""
-
-    def shards(raws: list[bytes]) -> list[list[tuple[tuple, bytes]]]:
-        found: dict[int, list] = {}
-        for raw in raws:
-            columns, tail = unpack(FRAGMENT, raw)
-            at = 0
-            for h, rid, doc, start, count, size in zip(*(columns[k].tolist() for k, _ in FRAGMENT)):
-                found.setdefault(h, []).append(((doc, rid, start, count), tail[at : at + size]))
-                at += size
-        return [found[h] for h in sorted(found)]
+    equal a window of a fragment with a smaller document. Suffixes come in order, block by block; those with
+    a common prefix of `length` are one group, of which only the one that is still open is held."""
+    ends = np.cumsum([len(x) for x in fragments], dtype=np.int64)
+    start_of = ends - np.array([len(x) for x in fragments], np.int64)
+    found = np.zeros(ends[-1] if len(ends) else 0, bool)
+    held, held_docs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def settle(suffixes: np.ndarray, doc: np.ndarray, group: np.ndarray) -> None:
+        if len(suffixes):
+            at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            least = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(doc))))
+            found[suffixes[doc > least]] = True
+
+    for suffixes, common in sorted_blocks(np.frombuffer(b"".join(fragments), np.uint8), length, memory):
+        owner = np.searchsorted(ends, suffixes, side="right")
+        window = suffixes - start_of[owner] < counts[owner]
+        # A suffix that is no window may stand between two equal ones: the least common prefix carries over.
+        group = np.cumsum(common < length)
+        suffixes, doc = np.concatenate([held, suffixes[window]]), np.concatenate([held_docs, docs[owner[window]]])
+        closed = np.concatenate([np.zeros(len(held), np.int64), group[window]])
+        still = closed == group[-1]
+        settle(suffixes[~still], doc[~still], closed[~still])
+        held, held_docs = suffixes[still], doc[still]
+    settle(held, held_docs, np.zeros(len(held), np.int64))
+    is_window = np.zeros(len(found) + 1, np.int64)
+    np.add.at(is_window, start_of, 1)
+    np.add.at(is_window, start_of + counts, -1)
+    return found[np.cumsum(is_window[:-1]) > 0]
+
+
+def _finer(raw: bytes, gram: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """The fragments of an oversized place by the minimizers of a longer gram: equal windows meet there as well."""
+    columns, tail = unpack(FRAGMENT, raw)
+    ends = np.cumsum(columns["size"].astype(np.int64))
+    text = np.frombuffer(tail, np.uint8)
+    h, first, count = stretches(text, ends, LENGTH, gram)
+    owner = np.searchsorted(ends, first, side="right")
+    inside = first - (ends - columns["size"])[owner]
+    count = np.minimum(count, columns["count"][owner].astype(np.int64) - inside)
+    keep = count > 0
+    h, first, count, owner, inside = h[keep], first[keep], count[keep], owner[keep], inside[keep]
+    shard = (h % np.uint64(buckets)).astype(np.int64)
+    for k in np.unique(shard).tolist():
+        at = np.flatnonzero(shard == k)
+        cols = {"h": shard[at], "rid": columns["rid"][owner[at]], "doc": columns["doc"][owner[at]], "start": columns["start"][owner[at]] + inside[at], "count": count[at], "size": count[at] - 1 + LENGTH}
+        yield k // SHARDS_A_PLACE, pack(FRAGMENT, cols, b"".join(tail[x : x + n] for x, n in zip(first[at].tolist(), cols["size"].tolist())))
+
+
+def _sorted_shards(places: int, memory: int, most: int, gram: int | None, buckets: int):
+    """Marks the windows of a shard's stretches that repeat one of a smaller document. A place with over `most`
+    bytes is not sorted (unless gram is None) but sent on, cut finer by a longer gram; of it no more than `most` is held."""
+
+    def shards(raws: list[bytes]) -> Iterator[list[tuple[tuple, bytes]]]:
+        parts = [unpack(FRAGMENT, raw) for raw in raws]
+        for h in np.unique(np.concatenate([c["h"] for c, _ in parts])).tolist():
+            found = []
+            for columns, tail in parts:
+                at = np.flatnonzero(columns["h"] == h)
+                first = np.cumsum(columns["size"].astype(np.int64)) - columns["size"]
+                for doc, rid, start, count, size, begin in zip(*(columns[k][at].tolist() for k in ("doc", "rid", "start", "count", "size")), first[at].tolist()):
+                    found.append(((doc, rid, start, count), tail[begin : begin + size]))
+            yield found
 
     def marks(members: list[tuple[tuple, bytes]]) -> dict[str, np.ndarray]:
         best: dict[bytes, tuple] = {}
@@ -329,16 +364,35 @@ def _sorted_shards(places: int, memory: int):
         return {n: np.concatenate([np.array(x, np.int64) for x in v]) for n, v in (("rid", rids), ("start", starts), ("count", counts))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for place, raws in _grouped(batches):
-            if place < 0:
-                yield from _rows([(-1 - place, pack(STRETCH, joined(STRETCH, raws)))])
-            else:
-                found += [marks(members) for members in shards(raws)]
+        found: list[dict] = []
+        held: list[bytes] = []
+        size, place, over = 0, None, False
+
+        def sort() -> None:
+            if held and not over:
+                found.extend(marks(members) for members in shards(held))
+            held.clear()
+
+        for batch in batches:
+            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p < 0:
+                    yield from _rows([(p, raw)])
+                    continue
+                if p != place:
+                    sort()
+                    place, size, over = p, 0, False
+                held.append(raw)
+                size += len(raw)
+                if size > most and gram is not None:
+                    over = True
+                    for x in held:
+                        yield from _rows(_finer(x, gram, buckets))
+                    held.clear()
+        sort()
         if found:
             cols = {n: np.concatenate([x[n] for x in found]) for n in ("rid", "start", "count")}
             cols["h"] = np.zeros(len(cols["rid"]), np.uint32)
-            yield from _rows(by_place(STRETCH, cols, cols["rid"] % places))
+            yield from _rows((-1 - p, raw) for p, raw in by_place(STRETCH, cols, cols["rid"] % places))
 
     return run
 
@@ -387,7 +441,7 @@ def with_copies(rows: DataFrame) -> DataFrame:
     return joined.withColumn("copy", F.coalesce(F.col("doc") > F.col("least"), F.lit(False))).drop("sha", "least")
 
 
-def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), with_text: bool = False, memory: int = 32 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), with_text: bool = False, memory: int = MEMORY, shard_bytes: int = 2 << 20, most: int = 32 << 20) -> DataFrame:
     """Removes each byte covered by a 50-byte string that also starts in a document with a smaller id.
 
     Texts are UTF-8 bytes; matches never cross documents; strings are judged on
@@ -396,12 +450,19 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     50 bytes stay whole; repeated rows have a row each; an empty table gives an
     empty result; columns other than the two and those in `carry` are not read.
 
+    There are as many shards and groups of documents as the texts' bytes need.
+    Where a place (SHARDS_A_PLACE shards) has over `most` bytes all the same,
+    for one frequent 20-byte string, its stretches are cut anew by minimizers of
+    35 bytes, and then by whole windows, and dealt again. A sort holds about
+    `memory` bytes, however large its shard.
+
     Returns row (a struct of the id and what is carried), n_bytes, n_removed,
     n_spans, kept_sha256, spans (start, end) and kept (with_text; a character
     that lost a byte goes with it).
     """
     width = shuffle_width(docs.sparkSession)
-    buckets, places = SHARDS_A_PLACE * width, 4 * width
+    size = docs.agg(F.sum(F.octet_length(text_or_empty(docs, text_column)))).first()[0] or 0
+    buckets, places = max(SHARDS_A_PLACE * width, size // shard_bytes), max(4 * width, size // (2 * shard_bytes))
     row = F.struct(F.col(id_column), *[F.col(c) for c in carry if c != id_column]).alias("row")
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), text_or_empty(docs, text_column).alias("text"), row)
     rows = rows.withColumn("rid", F.xxhash64("doc", "text").bitwiseAND(F.lit((1 << 62) - 1)))
@@ -410,7 +471,14 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     anchors = rows.filter("doc is not null and not copy").select("rid", "doc", "text").mapInArrow(frugal(_anchors(buckets, places)), _BLOB_DDL)
     shared = anchors.repartition(width, "place").sortWithinPartitions("place").mapInArrow(_shared(places), _BLOB_DDL)
     sent = held.groupBy("place").cogroup(shared.groupBy("place")).applyInArrow(_stretch_texts(), _BLOB_DDL)
-    marked = sent.repartition(width, "place").sortWithinPartitions("place").mapInArrow(frugal(_sorted_shards(places, memory)), _BLOB_DDL)
+    marks, left = [], sent
+    for gram in (*FINER_GRAMS, None):
+        done = written(left.repartition(width, "place").sortWithinPartitions("place").mapInArrow(frugal(_sorted_shards(places, memory, most, gram, buckets)), _BLOB_DDL), "marks")
+        marks.append(done.filter("place < 0").select((-1 - F.col("place")).alias("place"), "cols"))
+        left = done.filter("place >= 0")
+        if gram is None or left.isEmpty():
+            break
+    marked = functools.reduce(DataFrame.unionByName, marks)
     spans = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))
     schema = T.StructType().add("row", held.schema["row"].dataType)
     for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("spans", spans), ("kept", T.StringType())):

@@ -4,76 +4,181 @@ Suffix types and the induction follow the published induced-sorting scheme:
 sorted LMS suffixes give the L suffixes in one ascending pass over first
 symbols, these give the S suffixes in one descending pass. What a pass finds
 goes to a priority queue by first symbol that keeps the order of arrival and
-moves to disk beyond its memory; its tuples carry the suffix and its common
-prefix with the tuple before it in the queue, which is one more than the least
-common prefix passed since. As only the first `depth` bytes count, all common
-prefixes are cut there, and suffixes equal so far stand in any order.
+moves to disk in sorted runs beyond its memory. Over bytes its tuples carry
+the suffix and its common prefix with the tuple before it, which is one more
+than the least common prefix passed since; as only the first `depth` bytes
+count, all common prefixes are cut there.
+
+LMS suffixes get their order by recursion: a first induction sorts LMS
+substrings, equal ones get one name, and the string of names is sorted the
+same way, by inductions of its own over a large alphabet. There the queue's
+buckets hold ranges of symbols, so that a pass goes by a bucket, not by a
+symbol, at a time.
+
+Text, types, positions, names and sorted lists larger than a share of
+`memory` are files that the system maps; queues spill; and the sorted suffixes
+come out block by block. So memory stays in proportion to `memory`, and
+the files take about 40 bytes a byte of text.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
 _FAR = 255
+_BASE = 1 << 12  # names that are sorted directly
 
 
-class SpillingQueue:
-    """A priority queue of (suffix, common prefix) tuples by first symbol, first in first out within a symbol."""
-
-    def __init__(self, symbols: int, memory: int):
-        self.parts: list[list] = [[] for _ in range(symbols)]
-        self.on_disk: list[list[tuple[int, int]]] = [[] for _ in range(symbols)]
-        self.memory, self.held, self.file = memory, 0, None
-
-    def push(self, symbol: int, suffixes: np.ndarray, common: np.ndarray) -> None:
-        self.parts[symbol].append((suffixes, common))
-        self.held += suffixes.nbytes + common.nbytes
-        if self.held > self.memory:
-            self.file = self.file or tempfile.TemporaryFile()
-            for k, part in enumerate(self.parts):
-                if part:
-                    a, b = (np.concatenate(x) for x in zip(*part))
-                    self.on_disk[k].append((self.file.seek(0, 2), len(a)))
-                    self.file.write(a.astype("<i8").tobytes() + b.tobytes())
-                    self.parts[k] = []
-            self.held = 0
-
-    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
-        """All tuples of this symbol, in the order of arrival."""
-        found = []
-        for at, n in self.on_disk[symbol]:
-            self.file.seek(at)
-            found.append((np.frombuffer(self.file.read(8 * n), "<i8"), np.frombuffer(self.file.read(n), np.uint8)))
-        self.held -= sum(a.nbytes + b.nbytes for a, b in self.parts[symbol])
-        found += self.parts[symbol]
-        self.parts[symbol], self.on_disk[symbol] = [], []
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        a, b = (np.concatenate(x) for x in zip(*found))
-        return a, b
+class Scratch:
+    """Arrays and spill files of one sort, in the task's temporary folder while it lasts."""
+
+    def __init__(self, memory: int):
+        self.memory, self.block = memory, max(64, memory // 256)
+        self.files: list = []
+
+    def file(self):
+        self.files.append(tempfile.TemporaryFile())
+        return self.files[-1]
+
+    def array(self, n: int, kind) -> np.ndarray:
+        """Zeros; in a mapped file if they are large."""
+        if n * np.dtype(kind).itemsize <= self.memory // 16:
+            return np.zeros(n, kind)
+        held = self.file()
+        held.truncate(n * np.dtype(kind).itemsize)
+        return np.memmap(held, kind, "r+", shape=(n,))
+
+    def blocks(self, n: int) -> Iterator[slice]:
+        return (slice(k, min(k + self.block, n)) for k in range(0, n, self.block))
 
     def close(self) -> None:
-        if self.file:
-            self.file.close()
+        for x in self.files:
+            x.close()
+        self.files.clear()
+
+
+class Runs:
+    """Tuples (arrays of equal length) that are appended and read again block by block; on disk beyond `memory` bytes."""
+
+    def __init__(self, scratch: Scratch, kinds: tuple, memory: int | None = None, disk=None):
+        self.scratch, self.kinds, self.memory, self.disk = scratch, kinds, scratch.memory // 16 if memory is None else memory, disk
+        self.held, self.size, self.stored, self.count = [], 0, [], 0
+
+    def push(self, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.held.append(columns)
+            self.count += len(columns[0])
+            self.size += sum(x.nbytes for x in columns)
+            if self.size > self.memory:
+                self.spill()
+
+    def spill(self) -> None:
+        self.disk = self.disk or self.scratch.file()
+        for part in self._in_blocks(self.held):
+            self.stored.append((self.disk.seek(0, 2), len(part[0])))
+            self.disk.write(b"".join(np.ascontiguousarray(x, t).tobytes() for x, t in zip(part, self.kinds)))
+        self.held, self.size = [], 0
+
+    def _in_blocks(self, held: list) -> Iterator[tuple]:
+        if held:
+            whole = held[0] if len(held) == 1 else tuple(np.concatenate(x) for x in zip(*held))
+            for part in self.scratch.blocks(len(whole[0])):
+                yield tuple(x[part] for x in whole)
+
+    def _read(self, at: int, n: int) -> tuple:
+        self.disk.seek(at)
+        return tuple(np.frombuffer(self.disk.read(n * np.dtype(t).itemsize), t) for t in self.kinds)
+
+    def taken(self) -> Iterator[tuple]:
+        """All tuples in order of arrival, those too that are pushed meanwhile."""
+        done = 0
+        while done < len(self.stored) or self.held:
+            if done < len(self.stored):
+                yield self._read(*self.stored[done])
+                done += 1
+            else:
+                held, self.held, self.size = self.held, [], 0
+                yield from self._in_blocks(held)
+
+    def reversed(self) -> Iterator[tuple]:
+        for columns in reversed([*self._in_blocks(self.held)]):
+            yield tuple(x[::-1] for x in columns)
+        for at, n in reversed(self.stored):
+            yield tuple(x[::-1] for x in self._read(at, n))
+
+
+class SpillingQueue:
+    """A priority queue of tuples by bucket (a symbol, or a range of symbols), first in first out within a
+    bucket. Beyond its memory all buckets move to disk, as a run sorted by bucket."""
+
+    def __init__(self, scratch: Scratch, buckets: int, kinds: tuple):
+        self.scratch, self.kinds, self.memory = scratch, kinds, scratch.memory // 8
+        self.buckets: dict[int, Runs] = {}
+        self.disk, self.runs = None, 0
+
+    def push(self, bucket: int, *columns: np.ndarray) -> None:
+        if bucket not in self.buckets:
+            self.buckets[bucket] = Runs(self.scratch, self.kinds, 1 << 62, self.disk)
+        self.buckets[bucket].push(*columns)
+        self.runs += sum(x.nbytes for x in columns)
+        if self.runs > self.memory and sum(x.size for x in self.buckets.values()) > self.memory:
+            self.disk = self.disk or self.scratch.file()
+            for _, runs in sorted(self.buckets.items()):
+                if runs.held:
+                    runs.disk = self.disk
+                    runs.spill()
+        if self.runs > self.memory:
+            self.runs = sum(x.size for x in self.buckets.values())
+
+    def pop(self, bucket: int) -> Iterator[tuple]:
+        """The tuples of a bucket block by block, those too that are pushed meanwhile."""
+        if bucket in self.buckets:
+            yield from self.buckets[bucket].taken()
+            del self.buckets[bucket]
+
+
+def _types(text: np.ndarray, n: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the first n suffixes are small (less than the next; the last one is), and the LMS ones in order."""
+    small = scratch.array(n, bool)
+    small[n - 1] = True
+    for part in reversed([*scratch.blocks(n - 1)]):
+        here = np.asarray(text[part.start : part.stop + 1]).astype(np.int64)
+        differs = np.flatnonzero(here[:-1] != here[1:])
+        found = np.full(part.stop - part.start, small[part.stop], bool)
+        if len(differs):
+            found[: differs[-1] + 1] = np.repeat(here[differs] < here[differs + 1], np.diff(np.concatenate([[-1], differs])))
+        small[part] = found
+    kept = Runs(scratch, ("<i8",))
+    for part in scratch.blocks(n):
+        own = np.asarray(small[part])
+        before = np.concatenate([[part.start == 0 or small[part.start - 1]], own[:-1]])
+        kept.push(np.flatnonzero(own & ~before) + part.start)
+    leftmost = scratch.array(kept.count, np.int64)
+    at = 0
+    for (x,) in kept.taken():
+        leftmost[at : at + len(x)] = x
+        at += len(x)
+    return small, leftmost
 
 
 class _Induction:
-    """One pass: hands the suffixes that are scanned on to the queues of their predecessors."""
+    """One pass over bytes: hands the suffixes that are scanned on to the queues of their predecessors."""
 
-    def __init__(self, text: np.ndarray, small: np.ndarray, symbols: int, depth: int, memory: int, to_small: bool):
+    def __init__(self, text, small, symbols: int, depth: int, scratch: Scratch, to_small: bool):
         self.text, self.small, self.depth, self.to_small = text, small, depth, to_small
-        self.queue = SpillingQueue(symbols, memory)
+        self.queue = SpillingQueue(scratch, symbols, ("<i8", "u1"))
         self.least = np.full(symbols, _FAR, np.uint8)  # least common prefix scanned since a symbol's last tuple
         self.begun = np.zeros(symbols, bool)
 
-    def scan(self, symbol: int, suffixes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """common: with the suffix scanned before. Returns what goes to the same symbol, which is scanned next."""
+    def scan(self, suffixes: np.ndarray, common: np.ndarray) -> None:
+        """common: with the suffix scanned before."""
         before = suffixes - 1
         wanted = (suffixes > 0) & (self.small[before] == self.to_small)
         target = np.where(wanted, self.text[before].astype(np.int16), np.int16(-1))
-        own = np.zeros(0, np.int64), np.zeros(0, np.uint8)
         order = np.argsort(target, kind="stable")
         found, cuts = np.unique(target[order], return_index=True)
         whole = common.min()
@@ -92,12 +197,8 @@ class _Induction:
                 shared[0] = 0
             self.begun[t], untouched[t] = True, False
             self.least[t] = lows[-1] if tail else _FAR
-            if t == symbol:
-                own = before[at], shared
-            else:
-                self.queue.push(t, before[at], shared)
+            self.queue.push(t, before[at], shared)
         self.least[untouched] = np.minimum(self.least[untouched], whole)
-        return own
 
 
 def _run_length(text: np.ndarray, at: int, depth: int) -> int:
@@ -106,54 +207,50 @@ def _run_length(text: np.ndarray, at: int, depth: int) -> int:
     return int(other[0]) if len(other) else len(part)
 
 
-def _induced(text, small, seeds, seed_common, symbols: int, depth: int, memory: int):
-    """From LMS suffixes, in the wanted order within each first symbol, yields for each symbol,
-    descending, (L suffixes, common, S suffixes, common), all ascending; common is with the
-    suffix before, within the four lists."""
-    first = text[seeds]
-    order = np.argsort(first, kind="stable")
-    seeds, seed_common = seeds[order], seed_common[order]
-    cuts = np.searchsorted(first[order], np.arange(symbols + 1))
-    up = _Induction(text, small, symbols, depth, memory, False)
-    large: list[tuple[np.ndarray, np.ndarray]] = []
+def _induced(text, small, seeds: Iterator[tuple], symbols: int, depth: int, scratch: Scratch) -> Iterator[tuple]:
+    """From LMS suffixes with common prefixes, in the wanted order within each first symbol: all suffixes in
+    descending order, block by block, each with its common prefix with the one before it in that stream."""
+    shared_run = lambda x, y: min(_run_length(text, x, depth), _run_length(text, y, depth))
+    first = SpillingQueue(scratch, symbols, ("<i8", "u1"))
+    for suffixes, common in seeds:
+        target = text[suffixes]
+        order = np.argsort(target, kind="stable")
+        found, cuts = np.unique(target[order], return_index=True)
+        for t, at in zip(found.tolist(), np.split(order, cuts[1:])):
+            first.push(t, suffixes[at], common[at])
+    up = _Induction(text, small, symbols, depth, scratch, False)
+    spilled = scratch.file()
+    large = [Runs(scratch, ("<i8", "u1"), scratch.memory // (8 * symbols), spilled) for _ in range(symbols)]
     for c in range(symbols):
-        suffixes, common = up.queue.pop(c)
-        kept = []
-        while len(suffixes):
-            kept.append((suffixes, common))
-            suffixes, common = up.scan(c, suffixes, common)
-        own = slice(cuts[c], cuts[c + 1])
-        if cuts[c] < cuts[c + 1]:
-            common = seed_common[own].copy()
-            common[0] = min(_run_length(text, int(kept[-1][0][-1]), depth), _run_length(text, int(seeds[cuts[c]]), depth)) if kept else 0
-            up.scan(c, seeds[own], common)
-        large.append(tuple(np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64), np.zeros(0, np.uint8)))
-    up.queue.close()
-    down = _Induction(text, small, symbols, depth, memory, True)
+        last = None
+        for suffixes, common in up.queue.pop(c):
+            large[c].push(suffixes, common)
+            up.scan(suffixes, common)
+            last = int(suffixes[-1])
+        head = True
+        for suffixes, common in first.pop(c):
+            if head:
+                common, head = common.copy(), False
+                common[0] = 0 if last is None else shared_run(last, int(suffixes[0]))
+            up.scan(suffixes, common)
+    down = _Induction(text, small, symbols, depth, scratch, True)
     for c in reversed(range(symbols)):
-        suffixes, common = down.queue.pop(c)
-        kept = []
-        while len(suffixes):
-            kept.append((suffixes, common))
-            suffixes, common = down.scan(c, suffixes, common)
-        l_suffixes, l_common = large[c]
-        large[c] = None
-        if len(l_suffixes):
-            seam = min(_run_length(text, int(kept[-1][0][-1]), depth), _run_length(text, int(l_suffixes[-1]), depth)) if kept else 0
-            down.scan(c, l_suffixes[::-1], np.concatenate([np.array([seam], np.uint8), l_common[:0:-1]]))
-        if kept:
-            s_suffixes, s_common = (np.concatenate(x)[::-1] for x in zip(*kept))
-            s_common = np.concatenate([np.zeros(1, np.uint8), s_common[:-1]])
-            if len(l_suffixes):
-                s_common[0] = min(_run_length(text, int(l_suffixes[-1]), depth), _run_length(text, int(s_suffixes[0]), depth))
-        else:
-            s_suffixes, s_common = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        yield c, l_suffixes, l_common, s_suffixes, s_common
-    down.queue.close()
+        last = carried = None
+        for suffixes, common in down.queue.pop(c):
+            yield suffixes, common
+            down.scan(suffixes, common)
+            last = int(suffixes[-1])
+        for suffixes, common in large[c].reversed():
+            if carried is None:
+                carried = 0 if last is None else shared_run(last, int(suffixes[0]))
+            shifted = np.concatenate([np.array([carried], np.uint8), common[:-1]])  # with the next larger one
+            carried = int(common[-1])
+            yield suffixes, shifted
+            down.scan(suffixes, shifted)
 
 
 def _common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Of the strings at a and b, up to `most` bytes."""
+    """Of the strings at a and b, up to `most` symbols."""
     found = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
     k = 0
@@ -165,61 +262,227 @@ def _common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndar
     return found
 
 
-def _ordered_by_names(names: np.ndarray, reach: int) -> np.ndarray:
-    """The order of the suffixes of a string of names, by their first `reach` names: names are
-    made for pairs, recursively, so that each step doubles what a name stands for."""
-    if reach <= 1 or names.max(initial=0) + 1 == len(names):
-        return np.argsort(names, kind="stable")
+def _names(stream: Iterator[np.ndarray], text, small, leftmost, most: int, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """LMS suffixes in descending order of their LMS substrings -> the string of names of these, in the order of
+    the text, and how many names there are. Substrings are compared up to `most` symbols."""
+    total = len(leftmost)
+    names, count = scratch.array(total, np.int64), 0
+    last_at, last_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for suffixes in stream:
+        own = suffixes[(suffixes > 0) & small[suffixes]]
+        own = own[~small[own - 1]]
+        if not len(own):
+            continue
+        place = np.searchsorted(leftmost, own)
+        size = np.where(place + 1 < total, leftmost[np.minimum(place + 1, total - 1)] - own + 1, 1)
+        at, sizes = np.concatenate([last_at, own]), np.concatenate([last_size, size])
+        same = sizes[1:] == sizes[:-1]
+        compared = np.where(same, np.minimum(sizes[1:], most), 0)
+        new = ~(same & (_common_prefix(text, at[:-1], at[1:], compared) == compared))
+        if not len(last_at):
+            new = np.concatenate([[True], new])
+        names[place] = count + np.cumsum(new)
+        count += int(new.sum())
+        last_at, last_size = own[-1:], size[-1:]
+    for part in scratch.blocks(total):
+        names[part] = count - names[part]
+    return names, count
+
+
+def _parted(bucket: np.ndarray, suffixes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The suffixes of each bucket, in order."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_buckets, suffixes = bucket[order], suffixes[order]
+    cuts = [0, *(np.flatnonzero(sorted_buckets[1:] != sorted_buckets[:-1]) + 1).tolist(), len(bucket)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a < b:
+            yield int(sorted_buckets[a]), suffixes[a:b]
+
+
+class _NamePass:
+    """One induction over a string of names. Buckets are ranges of names; within one, what it induces into itself
+    is taken in where it belongs, and what goes to later buckets is sent at its end."""
+
+    def __init__(self, text, small, bucket_of, sizes, scratch: Scratch, to_small: bool):
+        self.text, self.small, self.bucket_of, self.sizes, self.to_small = text, small, bucket_of, sizes, to_small
+        self.sign = -1 if to_small else 1
+        self.queue = SpillingQueue(scratch, len(sizes), ("<i8",))
+
+    def _induces(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Predecessors of the wanted type, in order, and their names."""
+        before = suffixes[suffixes > 0] - 1
+        before = before[self.small[before] == self.to_small]
+        return before, self.text[before]
+
+    def _send(self, before: np.ndarray, bucket: np.ndarray) -> None:
+        for b, part in _parted(bucket, before):
+            self.queue.push(b, part)
+
+    def single(self, b: int, then: Iterator[tuple]) -> Iterator[tuple[np.ndarray, bool]]:
+        """A bucket of one name, block by block: (suffixes in order, whether they are of this pass's type)."""
+        for came, source in ((True, self.queue.pop(b)), (False, then)):
+            for (suffixes,) in source:
+                before, names = self._induces(suffixes)
+                self._send(before, self.bucket_of[names])
+                yield suffixes, came
+
+    def several(self, b: int, then: Iterator[tuple]) -> Iterator[tuple[np.ndarray, bool]]:
+        """A bucket of several names: the same, at once. What it induces into itself is found wave by wave; it
+        stands, within its name, after what came by the queue, in the order of what induced it; seeds stand last."""
+        queued = np.concatenate([*(x for (x,) in self.queue.pop(b)), np.zeros(0, np.int64)])
+        seeds = np.concatenate([*(x for (x,) in then), np.zeros(0, np.int64)])
+        held, kinds = [queued, seeds], [np.zeros(len(queued), np.int8), np.full(len(seeds), 2, np.int8)]
+        parents = [np.zeros(len(queued) + len(seeds), np.int64)]
+        wave, first = np.concatenate([queued, seeds]), 0
+        while len(wave):
+            before = np.maximum(wave - 1, 0)
+            inner = np.flatnonzero((wave > 0) & (self.small[before] == self.to_small))
+            inner = inner[self.bucket_of[self.text[before[inner]]] == b]
+            held.append(before[inner])
+            kinds.append(np.ones(len(inner), np.int8))
+            parents.append(inner + first)
+            first, wave = first + len(wave), before[inner]
+        whole, kind, parent = np.concatenate(held), np.concatenate(kinds), np.concatenate(parents)
+        key = self.sign * self.text[whole].astype(np.int64)
+        place = np.arange(len(whole))
+        induced = kind == 1
+        tie, rank = np.where(induced, 0, place), np.empty(len(whole), np.int64)
+        while True:
+            order = np.lexsort((tie, kind, key))
+            rank[order] = place
+            ranked = np.where(induced, rank[parent], place)
+            if (ranked == tie).all():
+                break
+            tie = ranked
+        whole, came = whole[order], kind[order] != 2
+        if len(whole):
+            before, names = self._induces(whole)
+            bucket = self.bucket_of[names]
+            later = bucket != b
+            self._send(before[later], bucket[later])
+            yield whole, came
 
-    def doubled(rank: np.ndarray, step: int) -> np.ndarray:
-        if step >= reach or rank.max() + 1 == len(rank):
-            return rank
+    def bucket(self, b: int, then: Iterator[tuple]) -> Iterator[tuple[np.ndarray, bool | np.ndarray]]:
+        return self.single(b, then) if self.sizes[b] == 1 else self.several(b, then)
+
+
+def _buckets(text: np.ndarray, names: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each name, and the number of names of each bucket: buckets of about equally many
+    suffixes, and a bucket of its own for a name that has as many as that."""
+    counts = scratch.array(names, np.int64)
+    for part in scratch.blocks(len(text)):
+        found, n = np.unique(text[part], return_counts=True)
+        counts[found] += n
+    wanted = min(1024, max(16, int(len(text) ** 0.5 / 4)))
+    each = max(1, len(text) // wanted)
+    bucket_of = scratch.array(names, np.int32)
+    passed, last, number = 0, -1, -1
+    heavy_before = True
+    for part in scratch.blocks(names):
+        n = np.asarray(counts[part])
+        slot = (passed + np.cumsum(n) - n) // each
+        heavy = n >= each
+        new = np.concatenate([[slot[0] != last], slot[1:] != slot[:-1]]) | heavy | np.concatenate([[heavy_before], heavy[:-1]])
+        bucket_of[part] = number + np.cumsum(new)
+        number, passed, last, heavy_before = int(bucket_of[part.stop - 1]), passed + int(n.sum()), int(slot[-1]), bool(heavy[-1])
+    sizes = np.zeros(number + 1, np.int64)
+    for part in scratch.blocks(names):
+        np.add.at(sizes, bucket_of[part], 1)
+    return bucket_of, sizes
+
+
+def _descending(text, small, seeds: Iterator[np.ndarray], bucket_of, sizes, scratch: Scratch) -> Iterator[np.ndarray]:
+    """From LMS suffixes, in the wanted order within each name: all suffixes of a string of names, descending."""
+    first = SpillingQueue(scratch, len(sizes), ("<i8",))
+    for suffixes in seeds:
+        for b, part in _parted(bucket_of[text[suffixes]], suffixes):
+            first.push(b, part)
+    spilled = scratch.file()
+    large = [Runs(scratch, ("<i8",), scratch.memory // (8 * len(sizes)), spilled) for _ in sizes]
+    up = _NamePass(text, small, bucket_of, sizes, scratch, False)
+    for b in range(len(sizes)):
+        for suffixes, came in up.bucket(b, first.pop(b)):
+            large[b].push(suffixes[came] if isinstance(came, np.ndarray) else suffixes if came else suffixes[:0])
+    down = _NamePass(text, small, bucket_of, sizes, scratch, True)
+    for b in reversed(range(len(sizes))):
+        for suffixes, _ in down.bucket(b, large[b].reversed()):
+            yield suffixes
+    yield np.array([len(text) - 1])  # nothing induces the last suffix
+
+
+def _by_doubling(text: np.ndarray) -> np.ndarray:
+    rank, step = np.asarray(text).astype(np.int64), 1
+    while True:
         after = np.concatenate([rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)])
-        key = rank * (len(rank) + 2) + after
-        return doubled(np.unique(key, return_inverse=True)[1].astype(np.int64), 2 * step)
+        rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64)
+        if rank.max(initial=0) + 1 == len(rank):
+            return np.argsort(rank)
+        step *= 2
 
-    return np.argsort(doubled(names.astype(np.int64), 1), kind="stable")
 
+def sorted_names(text: np.ndarray, names: int, scratch: Scratch) -> np.ndarray:
+    """All suffixes of a string of names 0 to names - 1 in ascending order; its last name is 0 and stands nowhere else."""
+    n = len(text)
+    out = scratch.array(n, np.int64)
+    if names == n:
+        for part in scratch.blocks(n):
+            out[text[part]] = np.arange(part.start, part.stop)
+        return out
+    if n <= _BASE:
+        out[:] = _by_doubling(text)
+        return out
+    small, leftmost = _types(text, n, scratch)
+    bucket_of, sizes = _buckets(text, names, scratch)
+    seeds = (np.asarray(leftmost[part]) for part in scratch.blocks(len(leftmost)))
+    shorter, fewer = _names(_descending(text, small, seeds, bucket_of, sizes, scratch), text, small, leftmost, n, scratch)
+    order = sorted_names(shorter, fewer, scratch)
+    seeds = (leftmost[np.asarray(order[part])] for part in scratch.blocks(len(order)))
+    end = n
+    for suffixes in _descending(text, small, seeds, bucket_of, sizes, scratch):
+        out[end - len(suffixes) : end] = suffixes[::-1]
+        end -= len(suffixes)
+    return out
 
-def sorted_suffixes(raw: bytes, depth: int, memory: int = 32 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of raw in the order of their first `depth` bytes, and each one's common prefix with the one before, up to depth.
 
-    raw may hold any bytes below 255.
-    """
+def sorted_blocks(raw: np.ndarray, depth: int, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Suffixes of raw in descending order of their first `depth` bytes, block by block, each with its common
+    prefix with the one before it in that stream, up to depth. raw may hold any bytes below 255."""
     n = len(raw)
-    text = np.zeros(n + 1 + depth, np.uint8)
-    text[:n] = np.frombuffer(raw, np.uint8) + 1  # 0 ends the text
-    if n == 0:
+    if not n:
+        return
+    scratch = Scratch(memory)
+    try:
+        text = scratch.array(n + 1 + depth, np.uint8)
+        symbols = 1
+        for part in scratch.blocks(n):
+            text[part] = np.asarray(raw[part]) + 1  # 0 ends the text
+            symbols = max(symbols, int(text[part].max()) + 1)
+        small, leftmost = _types(text, n + 1, scratch)
+        unknown = lambda x: np.zeros(len(x), np.uint8)
+        seeds = ((x, unknown(x)) for x in (np.asarray(leftmost[part]) for part in scratch.blocks(len(leftmost))))
+        stream = itertools.chain((suffixes for suffixes, _ in _induced(text, small, seeds, symbols, depth, scratch)), [np.array([n])])  # nothing induces the last suffix
+        names, count = _names(stream, text, small, leftmost, depth, scratch)
+        order = sorted_names(names, count, scratch)
+
+        def sorted_seeds() -> Iterator[tuple]:
+            last = np.zeros(0, np.int64)
+            for part in scratch.blocks(len(order)):
+                own = leftmost[np.asarray(order[part])]
+                both = np.concatenate([last, own])
+                common = _common_prefix(text, both[:-1], both[1:], np.full(len(both) - 1, depth)).astype(np.uint8)
+                yield own, common if len(last) else np.concatenate([unknown(own[:1]), common])
+                last = own[-1:]
+
+        for suffixes, common in _induced(text, small, sorted_seeds(), symbols, depth, scratch):
+            yield suffixes, common
+    finally:
+        scratch.close()
+
+
+def sorted_suffixes(raw: bytes, depth: int, memory: int = 32 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """All of sorted_blocks at once, ascending: suffixes, and each one's common prefix with the one before."""
+    found = [*sorted_blocks(np.frombuffer(raw, np.uint8), depth, memory)]
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    body = text[: n + 1]
-    symbols = int(body.max()) + 1
-    # A suffix is small (S) if it is less than the next: by the next different symbol, the last one is S.
-    differs = np.flatnonzero(body[:-1] != body[1:])
-    rises = body[differs] < body[differs + 1]
-    small = np.ones(n + 1, bool)
-    small[: differs[-1] + 1] = np.repeat(rises, np.diff(np.concatenate([[-1], differs])))
-    leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    is_leftmost = np.zeros(n + 1, bool)
-    is_leftmost[leftmost] = True
-    unknown = np.zeros(len(leftmost), np.uint8)
-    parts = []
-    for _, _, _, s, _ in _induced(text, small, leftmost, unknown, symbols, depth, memory):
-        parts.append(s[is_leftmost[s]])
-    parts.append(np.array([n]) if not any(len(p) and p[0] == n for p in parts) else np.zeros(0, np.int64))
-    ordered = np.concatenate(parts[::-1])  # LMS suffixes by their LMS substrings
-    if len(ordered) > 1:
-        index = np.empty(n + 1, np.int64)
-        index[leftmost] = np.arange(len(leftmost))
-        length = np.append(np.diff(leftmost) + 1, 1)[index[ordered]]
-        a, b = ordered[:-1], ordered[1:]
-        compared = np.where(length[:-1] == length[1:], np.minimum(length[1:], depth), 0)
-        equal = (length[:-1] == length[1:]) & (_common_prefix(text, a, b, compared) == compared)
-        name = np.empty(len(leftmost), np.int64)
-        name[index[ordered]] = np.concatenate([[0], np.cumsum(~equal)])
-        ordered = leftmost[_ordered_by_names(name, -(-depth // 2) + 1)]
-    common = np.zeros(len(ordered), np.uint8)
-    common[1:] = np.minimum(_common_prefix(text, ordered[:-1], ordered[1:], np.full(len(ordered) - 1, depth)), depth)
-    out = [(np.concatenate([l, s]), np.concatenate([lc, sc])) for _, l, lc, s, sc in _induced(text, small, ordered, common, symbols, depth, memory)][::-1]
-    suffixes, common = (np.concatenate(x) for x in zip(*out))
-    real = suffixes < n
-    return suffixes[real], common[real]
+    suffixes, common = (np.concatenate(x) for x in zip(*found))
+    return suffixes[::-1].copy(), np.concatenate([np.zeros(1, np.uint8), common[:0:-1]])

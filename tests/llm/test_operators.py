@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -131,15 +132,52 @@ def test_suffix_dedup(docs, none):
     assert left.columns == docs.columns and left.count() == docs.count()
 
 
-def test_suffix_sort_spills():
-    for _ in range(200):
-        raw = bytes(R.choice(R.choice([b"ab", b"abc\x00", b"a"])) for _ in range(R.randrange(0, 80)))
-        order, common = suffixes.sorted_suffixes(raw, 9, memory=40)
+def common_prefix(a, b):
+    return next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+
+
+def test_suffix_sort_recurs_and_spills(monkeypatch):
+    monkeypatch.setattr(suffixes, "_BASE", 4)  # so that names are sorted by induction, level by level
+    for k in range(250):
+        raw = bytes(R.choice(R.choice([b"ab", b"abc\x00", b"a", bytes(range(200))])) for _ in range(R.randrange(0, 200)))
+        if k % 3 == 0:
+            raw = (raw[:9] * 30)[:250] + raw
+        order, common = suffixes.sorted_suffixes(raw, 9, memory=R.choice([40, 2000, 1 << 20]))
         cut = [raw[i : i + 9] for i in order]
         assert sorted(order.tolist()) == list(range(len(raw))) and cut == sorted(cut)
-        for k in range(1, len(cut)):
-            n = next((j for j in range(min(map(len, cut[k - 1 : k + 1]))) if cut[k - 1][j] != cut[k][j]), min(map(len, cut[k - 1 : k + 1])))
-            assert common[k] == n
+        assert all(common[k] == common_prefix(cut[k - 1], cut[k]) for k in range(1, len(cut)))
+
+
+def test_suffix_sort_of_a_shard_far_larger_than_memory():
+    words = [bytes(R.choice(b"abcdefghij") for _ in range(R.randrange(2, 9))) for _ in range(3000)]
+    raw = np.frombuffer(b" ".join(R.choice(words) for _ in range(60_000)), np.uint8)
+    memory = 1 << 14
+    assert len(raw) > 20 * memory
+    tracemalloc.start()
+    want, _ = suffixes.sorted_suffixes(raw.tobytes(), 50, memory=1 << 28)
+    whole = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    data, at = raw.tobytes(), len(raw)
+    tracemalloc.start()
+    for block, _ in suffixes.sorted_blocks(raw, 50, memory):
+        for x, y in zip(block[::-1].tolist(), want[at - len(block) : at].tolist()):
+            assert x == y or data[x : x + 50] == data[y : y + 50]
+        at -= len(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == 0 and whole > 20 * len(raw) and peak < whole / 8, (peak, whole)
+
+
+def test_oversized_places_are_cut_finer(spark):
+    """One frequent string with many contexts, of which some repeat: places beyond 2,000 bytes are dealt again, twice."""
+    frequent = "the very frequent string"
+    contexts = [text(4)[:25].ljust(25, "x") for _ in range(12)]
+    table = [(i, "".join(R.choice(contexts) + frequent + R.choice(contexts) for _ in range(R.randrange(1, 8))), "en", "s", 1) for i in range(60)]
+    table += [(60 + i, contexts[0] + frequent * 9 + text(3), "en", "s", 1) for i in range(10)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for most in (2000, 1 << 25):
+        got = dedup.remove_repeats(df, most=most).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=str) == brute_removal(table)
 
 
 def test_warc(spark):
