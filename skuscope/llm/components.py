@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import temporary_tables, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,7 +23,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     shared folder. Nodes without a link (or linked to themselves only) have no row.
     """
     big, small = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    edges = written(links.filter("u <> v").select(big, small).distinct(), "links")
+    spark = links.sparkSession
+    with temporary_tables(spark) as made:  # of the rounds only the last one's table stays
+        edges = _rounds(links.filter("u <> v").select(big, small).distinct())
+        made.pop()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _rounds(links: DataFrame) -> DataFrame:
+    edges = written(links, "links")
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,5 +43,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         edges = written(stars.distinct(), "links")
         before, state = state, _state(edges)
         if state == before:
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return edges

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +34,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/skuscope/{name}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: what reads it
     no longer depends on df's shuffles, and reads only the columns it needs."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    for made in _OPEN:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Collects the paths of what is `written` within; those that are still listed at the end are deleted."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            delete(spark, path)
+
+
 def frugal(run):
     """A mapInArrow function whose worker hands freed memory back to the system at the end of the task,
     so that idle workers of earlier stages don't hold it beside the next one."""
