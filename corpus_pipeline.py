@@ -58,8 +58,8 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and samples documents so that sources come to their target weights.
 
-    Null and empty texts have no words and are taken at most once each time
-    their source is; a null source is a source of its own; repeated rows count
+    Null and empty texts have no words and come as often as their source is
+    taken whole; a null source is a source of its own; repeated rows count
     one by one; all columns stay; an empty table gives an empty table.
     """
     return mixing.repeated_documents(docs)
