@@ -36,7 +36,7 @@ GRAM = 20
 _BATCH_BYTES = 4 << 20
 SHARDS_A_PLACE = 4  # shards that travel together; a task sorts them one by one
 FINER_GRAMS = (35, LENGTH)  # by which oversized places are cut
-MEMORY = 128 << 20
+MEMORY = 512 << 20
 _BLOB_DDL = "place int, cols binary"
 _BLOB = pa.schema([("place", pa.int32()), ("cols", pa.binary())])
 
@@ -293,6 +293,21 @@ def repeated_windows(fragments: list[bytes], docs: np.ndarray, counts: np.ndarra
     return found[np.cumsum(is_window[:-1]) > 0]
 
 
+def compared(fragments: list[bytes], gram: int) -> np.ndarray:
+    """Which fragments have a minimizer that another one has too: only these can have a window in common."""
+    ends = np.cumsum([len(x) for x in fragments], dtype=np.int64)
+    h, first, _ = stretches(np.frombuffer(b"".join(fragments), np.uint8), ends, LENGTH, gram)
+    owner = np.searchsorted(ends, first, side="right")
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    several = np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at) if len(at) else new
+    found = np.zeros(len(fragments), bool)
+    found[owner[np.repeat(several, np.diff(np.append(at, len(h))))]] = True
+    return found
+
+
 def _finer(raw: bytes, gram: int, buckets: int) -> Iterator[tuple[int, bytes]]:
     """The fragments of an oversized place by the minimizers of a longer gram: equal windows meet there as well."""
     columns, tail = unpack(FRAGMENT, raw)
@@ -311,8 +326,9 @@ def _finer(raw: bytes, gram: int, buckets: int) -> Iterator[tuple[int, bytes]]:
         yield k // SHARDS_A_PLACE, pack(FRAGMENT, cols, b"".join(tail[x : x + n] for x, n in zip(first[at].tolist(), cols["size"].tolist())))
 
 
-def _sorted_shards(places: int, memory: int, most: int, gram: int | None, buckets: int):
-    """Marks the windows of a shard's stretches that repeat one of a smaller document. A place with over `most`
+def _sorted_shards(places: int, memory: int, most: int, own_gram: int, gram: int | None, buckets: int):
+    """Marks the windows of a shard's stretches that repeat one of a smaller document. Stretches whose minimizer no
+    other text has (passages that are the same wherever they stand) need no sorting. A place with over `most`
     bytes is not sorted (unless gram is None) but sent on, cut finer by a longer gram; of it no more than `most` is held."""
 
     def shards(raws: list[bytes]) -> Iterator[list[tuple[tuple, bytes]]]:
@@ -342,7 +358,10 @@ def _sorted_shards(places: int, memory: int, most: int, gram: int | None, bucket
                 more.append((own, part))  # equal ids don't count against each other
         fragments = list(best)
         info = np.array([best[x] for x in fragments], np.int64)
-        flags = repeated_windows(fragments, info[:, 0], info[:, 3], memory=memory)
+        some = compared(fragments, own_gram)
+        flags = np.zeros(info[:, 3].sum(), bool)
+        if some.any():
+            flags[np.repeat(some, info[:, 3])] = repeated_windows([x for x, ok in zip(fragments, some) if ok], info[some, 0], info[some, 3], memory=memory)
         first = np.cumsum(info[:, 3]) - info[:, 3]
         place_of = {x: k for k, x in enumerate(fragments)} if more else {}
         rids, starts, counts = [[m[1] for m in marked]], [[m[2] for m in marked]], [[m[3] for m in marked]]
@@ -472,8 +491,8 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     shared = anchors.repartition(width, "place").sortWithinPartitions("place").mapInArrow(_shared(places), _BLOB_DDL)
     sent = held.groupBy("place").cogroup(shared.groupBy("place")).applyInArrow(_stretch_texts(), _BLOB_DDL)
     marks, left = [], sent
-    for gram in (*FINER_GRAMS, None):
-        done = written(left.repartition(width, "place").sortWithinPartitions("place").mapInArrow(frugal(_sorted_shards(places, memory, most, gram, buckets)), _BLOB_DDL), "marks")
+    for own_gram, gram in zip((GRAM, *FINER_GRAMS), (*FINER_GRAMS, None)):
+        done = written(left.repartition(width, "place").sortWithinPartitions("place").mapInArrow(frugal(_sorted_shards(places, memory, most, own_gram, gram, buckets)), _BLOB_DDL), "marks")
         marks.append(done.filter("place < 0").select((-1 - F.col("place")).alias("place"), "cols"))
         left = done.filter("place >= 0")
         if gram is None or left.isEmpty():

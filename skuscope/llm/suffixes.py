@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 
 _FAR = 255
-_BASE = 1 << 12  # names that are sorted directly
+_BASE = 1 << 15  # names that are sorted directly
 
 
 class Scratch:
@@ -301,66 +301,77 @@ def _parted(bucket: np.ndarray, suffixes: np.ndarray) -> Iterator[tuple[int, np.
 
 class _NamePass:
     """One induction over a string of names. Buckets are ranges of names; within one, what it induces into itself
-    is taken in where it belongs, and what goes to later buckets is sent at its end."""
+    is taken in where it belongs, and what goes to later buckets is sent at its end. Symbols are 2 * name, and
+    one more where the suffix is small."""
 
-    def __init__(self, text, small, bucket_of, sizes, scratch: Scratch, to_small: bool):
-        self.text, self.small, self.bucket_of, self.sizes, self.to_small = text, small, bucket_of, sizes, to_small
-        self.sign = -1 if to_small else 1
+    def __init__(self, symbols: np.ndarray, bucket_of, sizes, scratch: Scratch, to_small: bool):
+        self.symbols, self.bucket_of, self.sizes, self.to_small = symbols, bucket_of, sizes, to_small
         self.queue = SpillingQueue(scratch, len(sizes), ("<i8",))
 
-    def _induces(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Predecessors of the wanted type, in order, and their names."""
-        before = suffixes[suffixes > 0] - 1
-        before = before[self.small[before] == self.to_small]
-        return before, self.text[before]
+    def _before(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each suffix: the one before it, and that one's bucket, or -1 where it isn't of the wanted type."""
+        before = suffixes - 1
+        symbol = self.symbols[before]  # of suffix 0 the last symbol, which is small and 0
+        wanted = (symbol & 1) == self.to_small
+        wanted &= before >= 0
+        return before, np.where(wanted, self.bucket_of[symbol >> 1], -1)
 
     def _send(self, before: np.ndarray, bucket: np.ndarray) -> None:
         for b, part in _parted(bucket, before):
-            self.queue.push(b, part)
+            if b >= 0:
+                self.queue.push(b, part)
 
     def single(self, b: int, then: Iterator[tuple]) -> Iterator[tuple[np.ndarray, bool]]:
         """A bucket of one name, block by block: (suffixes in order, whether they are of this pass's type)."""
         for came, source in ((True, self.queue.pop(b)), (False, then)):
             for (suffixes,) in source:
-                before, names = self._induces(suffixes)
-                self._send(before, self.bucket_of[names])
+                self._send(*self._before(suffixes))
                 yield suffixes, came
 
-    def several(self, b: int, then: Iterator[tuple]) -> Iterator[tuple[np.ndarray, bool]]:
+    def several(self, b: int, then: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A bucket of several names: the same, at once. What it induces into itself is found wave by wave; it
         stands, within its name, after what came by the queue, in the order of what induced it; seeds stand last."""
-        queued = np.concatenate([*(x for (x,) in self.queue.pop(b)), np.zeros(0, np.int64)])
-        seeds = np.concatenate([*(x for (x,) in then), np.zeros(0, np.int64)])
-        held, kinds = [queued, seeds], [np.zeros(len(queued), np.int8), np.full(len(seeds), 2, np.int8)]
-        parents = [np.zeros(len(queued) + len(seeds), np.int64)]
-        wave, first = np.concatenate([queued, seeds]), 0
-        while len(wave):
-            before = np.maximum(wave - 1, 0)
-            inner = np.flatnonzero((wave > 0) & (self.small[before] == self.to_small))
-            inner = inner[self.bucket_of[self.text[before[inner]]] == b]
-            held.append(before[inner])
-            kinds.append(np.ones(len(inner), np.int8))
-            parents.append(inner + first)
-            first, wave = first + len(wave), before[inner]
-        whole, kind, parent = np.concatenate(held), np.concatenate(kinds), np.concatenate(parents)
-        key = self.sign * self.text[whole].astype(np.int64)
-        place = np.arange(len(whole))
-        induced = kind == 1
-        tie, rank = np.where(induced, 0, place), np.empty(len(whole), np.int64)
-        while True:
-            order = np.lexsort((tie, kind, key))
-            rank[order] = place
-            ranked = np.where(induced, rank[parent], place)
-            if (ranked == tie).all():
-                break
-            tie = ranked
-        whole, came = whole[order], kind[order] != 2
-        if len(whole):
-            before, names = self._induces(whole)
-            bucket = self.bucket_of[names]
-            later = bucket != b
-            self._send(before[later], bucket[later])
-            yield whole, came
+        parts = [[x for (x,) in self.queue.pop(b)], [x for (x,) in then]]
+        if not parts[0] and not parts[1]:
+            return
+        whole = np.concatenate([*parts[0], *parts[1]])
+        queued = sum(map(len, parts[0]))
+        before, bucket = self._before(whole)
+        kind = np.where(np.arange(len(whole)) < queued, 0, 2)
+        inner = np.flatnonzero(bucket == b)
+        parent = None
+        if len(inner):
+            waves, befores, buckets, parents, first = [whole], [before], [bucket], [np.zeros(len(whole), np.int64)], 0
+            while len(inner):
+                parents.append(inner + first)
+                first += len(waves[-1])
+                waves.append(befores[-1][inner])
+                before, bucket = self._before(waves[-1])
+                befores.append(before)
+                buckets.append(bucket)
+                inner = np.flatnonzero(bucket == b)
+            whole, before, bucket, parent = (np.concatenate(x) for x in (waves, befores, buckets, parents))
+            kind = np.concatenate([kind, np.ones(len(whole) - len(kind), np.int64)])
+        m = len(whole)
+        name = (self.symbols[whole] >> 1).astype(np.int64)
+        name = name.max() - name if self.to_small else name - name.min()
+        key, place = (name * 3 + kind) * m, np.arange(m)
+        if parent is None:
+            order = np.argsort(key + place)
+        else:
+            induced = kind == 1
+            tie, rank = np.where(induced, 0, place), np.empty(m, np.int64)
+            while True:
+                order = np.argsort(key + tie, kind="stable")
+                rank[order] = place
+                ranked = np.where(induced, rank[parent], place)
+                if (ranked == tie).all():
+                    break
+                tie = ranked
+        later = bucket[order]
+        at = order[(later != b) & (later >= 0)]
+        self._send(before[at], bucket[at])
+        yield whole[order], kind[order] != 2
 
     def bucket(self, b: int, then: Iterator[tuple]) -> Iterator[tuple[np.ndarray, bool | np.ndarray]]:
         return self.single(b, then) if self.sizes[b] == 1 else self.several(b, then)
@@ -373,7 +384,7 @@ def _buckets(text: np.ndarray, names: int, scratch: Scratch) -> tuple[np.ndarray
     for part in scratch.blocks(len(text)):
         found, n = np.unique(text[part], return_counts=True)
         counts[found] += n
-    wanted = min(1024, max(16, int(len(text) ** 0.5 / 4)))
+    wanted = min(1024, max(4, int(len(text) ** 0.5 / 16)))
     each = max(1, len(text) // wanted)
     bucket_of = scratch.array(names, np.int32)
     passed, last, number = 0, -1, -1
@@ -391,23 +402,23 @@ def _buckets(text: np.ndarray, names: int, scratch: Scratch) -> tuple[np.ndarray
     return bucket_of, sizes
 
 
-def _descending(text, small, seeds: Iterator[np.ndarray], bucket_of, sizes, scratch: Scratch) -> Iterator[np.ndarray]:
+def _descending(symbols, seeds: Iterator[np.ndarray], bucket_of, sizes, scratch: Scratch) -> Iterator[np.ndarray]:
     """From LMS suffixes, in the wanted order within each name: all suffixes of a string of names, descending."""
     first = SpillingQueue(scratch, len(sizes), ("<i8",))
     for suffixes in seeds:
-        for b, part in _parted(bucket_of[text[suffixes]], suffixes):
+        for b, part in _parted(bucket_of[symbols[suffixes] >> 1], suffixes):
             first.push(b, part)
     spilled = scratch.file()
     large = [Runs(scratch, ("<i8",), scratch.memory // (8 * len(sizes)), spilled) for _ in sizes]
-    up = _NamePass(text, small, bucket_of, sizes, scratch, False)
+    up = _NamePass(symbols, bucket_of, sizes, scratch, False)
     for b in range(len(sizes)):
         for suffixes, came in up.bucket(b, first.pop(b)):
             large[b].push(suffixes[came] if isinstance(came, np.ndarray) else suffixes if came else suffixes[:0])
-    down = _NamePass(text, small, bucket_of, sizes, scratch, True)
+    down = _NamePass(symbols, bucket_of, sizes, scratch, True)
     for b in reversed(range(len(sizes))):
         for suffixes, _ in down.bucket(b, large[b].reversed()):
             yield suffixes
-    yield np.array([len(text) - 1])  # nothing induces the last suffix
+    yield np.array([len(symbols) - 1])  # nothing induces the last suffix
 
 
 def _by_doubling(text: np.ndarray) -> np.ndarray:
@@ -433,12 +444,15 @@ def sorted_names(text: np.ndarray, names: int, scratch: Scratch) -> np.ndarray:
         return out
     small, leftmost = _types(text, n, scratch)
     bucket_of, sizes = _buckets(text, names, scratch)
+    symbols = scratch.array(n, np.int64 if names >> 30 else np.int32)
+    for part in scratch.blocks(n):
+        symbols[part] = 2 * text[part] + small[part]
     seeds = (np.asarray(leftmost[part]) for part in scratch.blocks(len(leftmost)))
-    shorter, fewer = _names(_descending(text, small, seeds, bucket_of, sizes, scratch), text, small, leftmost, n, scratch)
+    shorter, fewer = _names(_descending(symbols, seeds, bucket_of, sizes, scratch), text, small, leftmost, n, scratch)
     order = sorted_names(shorter, fewer, scratch)
     seeds = (leftmost[np.asarray(order[part])] for part in scratch.blocks(len(order)))
     end = n
-    for suffixes in _descending(text, small, seeds, bucket_of, sizes, scratch):
+    for suffixes in _descending(symbols, seeds, bucket_of, sizes, scratch):
         out[end - len(suffixes) : end] = suffixes[::-1]
         end -= len(suffixes)
     return out
