@@ -59,8 +59,8 @@ def splitter(whole) -> Callable[[str], list[str]]:
     return parts
 
 
-#: Of each batch of documents: a row for each bucket of pre-tokens (which of `words` stands how
-#: often in which document), and in a bucket below zero a row with the documents' ids and sizes in bytes.
+#: Of each batch of documents: a row for each bucket of pre-tokens (in how many documents each of
+#: `words` stands, and in which of them how often), and in a bucket below zero a row with the documents' ids and sizes in bytes.
 _SENT = pa.schema([("batch", pa.string()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("word", pa.binary()), ("doc", pa.binary()), ("times", pa.binary())])
 _SENT_DDL = "batch string, bucket int, words array<string>, ids array<long>, word binary, doc binary, times binary"
 
@@ -88,11 +88,12 @@ def _frequencies(path: str, width: int):
         word = place[pairs // len(texts)]
         order = np.argsort(word, kind="stable")
         word, doc, times = word[order], (pairs % len(texts))[order].astype("<u4"), times[order].astype("<u4")
+        documents = np.bincount(word, minlength=len(words)).astype("<u4")  # of each word
         cuts = np.searchsorted(word, first)
         for k in np.flatnonzero(np.diff(first)):
             part = slice(cuts[k], cuts[k + 1])
             own = [listed[i] for i in by_bucket[first[k] : first[k + 1]]]
-            yield {"batch": batch, "bucket": int(k), "words": own, "ids": [], "word": (word[part] - first[k]).astype("<u4").tobytes(), "doc": doc[part].tobytes(), "times": times[part].tobytes()}
+            yield {"batch": batch, "bucket": int(k), "words": own, "ids": [], "word": documents[first[k] : first[k + 1]].tobytes(), "doc": doc[part].tobytes(), "times": times[part].tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, size, pretokens = TaskContext.get().partitionId(), 0, 0, splitter(tokenizer(path))
@@ -141,7 +142,7 @@ def _counted(path: str, cached: int = 1_000_000, characters: int = 64 << 20):
             for at in range(0, len(new), 4096):
                 known.update(zip(new[at : at + 4096], (len(x.ids) for x in encode(new[at : at + 4096], add_special_tokens=False))))
             pieces = np.array([known[x] for x in row["words"]], np.int64)
-            weights = pieces[np.frombuffer(row["word"], "<u4")] * np.frombuffer(row["times"], "<u4")
+            weights = np.repeat(pieces, np.frombuffer(row["word"], "<u4")) * np.frombuffer(row["times"], "<u4")
             doc = np.frombuffer(row["doc"], "<u4")
             sums = np.bincount(doc, weights).astype("<i8")
             return {"batch": row["batch"], "bucket": row["bucket"], "ids": [], "values": sums.tobytes()}
