@@ -11,6 +11,31 @@ from skuscope.operators.catalog import recommend
 from skuscope.operators.search import search_topk
 
 
+# The sentences of prompts and summaries.
+STATED = ("Predicted category: ", " (confidence: ", ")")
+UNCONFIRMED = ("Category (unconfirmed - nothing in the catalog matched): ", " at ", " confidence")
+NOT_RECOGNISED = ("Category: NOT RECOGNISED. The classifier's best guess reached only ", " confidence, which is too low to state. Do not name a category in your reply.")
+TOP_MATCHES, MATCH = "Top matched SKUs (by visual similarity):", ("  - ", " (similarity: ", ")")
+MATCHED, NO_MATCHED = "Matched catalog product: ", "No confident catalog match was found for the top SKU."
+FITS, FITS_NOTHING = "Compatible vehicles: ", "Compatible vehicles: not specified in the catalog."
+ALTERNATIVES, ACCESSORIES = "Alternative/replacement SKUs: ", "Related accessory SKUs: "
+REFUSED = "The image was not recognized as a catalog part"
+CLOSEST = ("No catalog entry cleared the ", " match threshold; the closest scored ")
+NOTHING_FOUND = "The visual search returned no catalog entries for this part"
+STRONG = ("Strong score separation from lower-ranked candidates (+", ")")
+CLOSE = ("Close score separation from the next candidate (", " apart), so confirmation is recommended")
+CATEGORY, HIGHEST = "Predicted category: ", ("Highest visual similarity among catalog candidates (", ")")
+# End of the fixed values.
+
+
+def _sentence(parts: tuple, *values):
+    """The values between the parts of a sentence."""
+    columns = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:]):
+        columns += [value, F.lit(part)]
+    return F.concat(*columns, *values[len(parts) - 1 :])
+
+
 def rank_categories(df: DataFrame, labels: list[str], strict: bool = False, column: str = "probabilities") -> DataFrame:
     """Adds ranking: (probability, label) by descending probability, ties by place; a place without a label is class_<i>, or the row goes (strict)."""
     names = F.array(*map(F.lit, labels))
@@ -95,31 +120,20 @@ def build_prompts(df: DataFrame) -> DataFrame:
     percent = lambda c: F.concat(F.bround(c * 100, 0).cast("long").cast("string"), F.lit("%"))
     confidence = percent(F.col("confidence"))
     claim = t.category_claim(F.col("no_match"), F.col("confidence"))
-    line = (
-        F.when(claim == "stated", F.concat(F.lit("Predicted category: "), "predicted_category", F.lit(" (confidence: "), confidence, F.lit(")")))
-        .when(claim == "unconfirmed", F.concat(F.lit("Category (unconfirmed - nothing in the catalog matched): "), "predicted_category", F.lit(" at "), confidence, F.lit(" confidence")))
-        .otherwise(F.concat(F.lit("Category: NOT RECOGNISED. The classifier's best guess reached only "), confidence, F.lit(" confidence, which is too low to state. Do not name a category in your reply.")))
-    )
-    shown = F.transform(F.slice("results", 1, 5), lambda r: F.concat(F.lit("  - "), r["sku"], F.lit(" (similarity: "), percent(r["similarity_score"]), F.lit(")")))
-    matched = F.concat(F.lit("Matched catalog product: "), "product.sku", F.lit(" — "), "product.product_name", F.lit(" ("), "product.brand", F.lit(")"))
-    fits = F.when(F.coalesce(F.col("product.fitment"), F.lit("")) != "", F.concat(F.lit("Compatible vehicles: "), "product.fitment")).otherwise("Compatible vehicles: not specified in the catalog.")
-    body = F.when(F.col("product").isNotNull(), F.array(F.lit(""), matched, fits)).otherwise(F.array(F.lit(""), F.lit("No confident catalog match was found for the top SKU.")))
+    line = F.when(claim == "stated", _sentence(STATED, F.col("predicted_category"), confidence)).when(claim == "unconfirmed", _sentence(UNCONFIRMED, F.col("predicted_category"), confidence)).otherwise(_sentence(NOT_RECOGNISED, confidence))
+    shown = F.transform(F.slice("results", 1, 5), lambda r: _sentence(MATCH, r["sku"], percent(r["similarity_score"])))
+    matched = F.concat(F.lit(MATCHED), "product.sku", F.lit(" — "), "product.product_name", F.lit(" ("), "product.brand", F.lit(")"))
+    fits = F.when(F.coalesce(F.col("product.fitment"), F.lit("")) != "", F.concat(F.lit(FITS), "product.fitment")).otherwise(FITS_NOTHING)
+    body = F.when(F.col("product").isNotNull(), F.array(F.lit(""), matched, fits)).otherwise(F.array(F.lit(""), F.lit(NO_MATCHED)))
     listed = lambda c, label: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
-    tail = F.array_compact(F.array(listed("alternatives", "Alternative/replacement SKUs: "), listed("accessories", "Related accessory SKUs: ")))
-    return df.select("query_id", F.array_join(F.concat(F.array(line, F.lit("Top matched SKUs (by visual similarity):")), shown, body, tail), "\n").alias("prompt"))
+    tail = F.array_compact(F.array(listed("alternatives", ALTERNATIVES), listed("accessories", ACCESSORIES)))
+    return df.select("query_id", F.array_join(F.concat(F.array(line, F.lit(TOP_MATCHES)), shown, body, tail), "\n").alias("prompt"))
 
 
 def summary_lines(df: DataFrame) -> DataFrame:
     """df(query_id, predicted_category, no_match, no_match_threshold, top_score, gap) -> the lines that sum a result up."""
-    refused = F.array(
-        F.lit("The image was not recognized as a catalog part"),
-        F.when(F.col("top_score").isNotNull(), F.concat(F.lit("No catalog entry cleared the "), t.format_percent(F.col("no_match_threshold")), F.lit(" match threshold; the closest scored "), t.format_percent(F.col("top_score")))).otherwise("The visual search returned no catalog entries for this part"),
-    )
-    strong = F.concat(F.lit("Strong score separation from lower-ranked candidates (+"), t.format_gap(F.col("gap")), F.lit(")"))
-    close = F.concat(F.lit("Close score separation from the next candidate ("), t.format_gap(F.col("gap")), F.lit(" apart), so confirmation is recommended"))
-    matched = F.array_compact(F.array(
-        F.concat(F.lit("Predicted category: "), t.format_category(F.col("predicted_category"))),
-        F.when(F.col("top_score").isNotNull(), F.concat(F.lit("Highest visual similarity among catalog candidates ("), t.format_percent(F.col("top_score")), F.lit(")"))),
-        F.when(F.col("gap") >= 0.08, strong).when(F.col("gap").isNotNull(), close),
-    ))
+    score, gap = F.col("top_score"), F.col("gap")
+    refused = F.array(F.lit(REFUSED), F.when(score.isNotNull(), _sentence(CLOSEST, t.format_percent(F.col("no_match_threshold")), t.format_percent(score))).otherwise(NOTHING_FOUND))
+    apart = F.when(gap >= 0.08, _sentence(STRONG, t.format_gap(gap))).when(gap.isNotNull(), _sentence(CLOSE, t.format_gap(gap)))
+    matched = F.array_compact(F.array(F.concat(F.lit(CATEGORY), t.format_category(F.col("predicted_category"))), F.when(score.isNotNull(), _sentence(HIGHEST, t.format_percent(score))), apart))
     return df.select("query_id", F.when(F.col("no_match"), refused).otherwise(matched).alias("lines"))
