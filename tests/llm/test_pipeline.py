@@ -1,5 +1,6 @@
 """The pipeline on a small corpus: decisions take effect, clean documents stay, whole tables go through."""
 
+import os
 import random
 
 import corpus_pipeline
@@ -38,3 +39,45 @@ def test_stages(spark, tmp_path):
     assert {r["text"] for r in kept["mixing"].collect()} <= set(texts.values())
     bins = kept["best_fit_packing"].groupBy("sequence_id").sum("length").collect()
     assert bins and all(r[1] <= 2048 for r in bins)
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, rid long, id long, place int, size long, node long, component_id long, fp long, bands string, component string, row string, label int"
+
+
+def through(spark, folder, rows):
+    spark.createDataFrame(rows, CLASH).repartition(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs, found = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, folder), name)
+        assert name == "best_fit_packing" or docs.columns == columns
+        found[name] = docs
+    return found
+
+
+def test_clashing_columns_repeated_rows_and_long_texts(spark, tmp_path):
+    extra = (0.25, 9, 1, 2, 3, 4, 5, 6, 7, "b", "c", "r", 8)
+    long = sentence(20_000)
+    rows = [(i, sentence(40), "en", "s0", 1, *extra) for i in range(8)]
+    rows += [(100, long, "en", "s1", 1, *extra)] * 2 + [(3, rows[3][1], "en", "s0", 1, *extra), (None, None, None, None, None, *extra)]
+    found = through(spark, str(tmp_path), rows)
+    near = found["simhash_near_dedup"]
+    assert {(r["score"], r["predicted"], r["row"]) for r in near.collect()} == {(0.25, 9, "r")}
+    assert sorted(r["doc_id"] for r in near.filter("doc_id is not null").collect()) == [*range(8), 100]  # repeated rows stay once
+    assert near.filter("doc_id is null").count() == 1
+    assert {r["text"] for r in found["suffix_array_dedup"].filter("doc_id = 100").collect()} == {long}
+    assert found["best_fit_packing"].count() > 20
+
+
+def test_empty_table(spark, tmp_path):
+    assert {name: docs.count() for name, docs in through(spark, str(tmp_path), []).items()} == dict.fromkeys([n for n, _ in corpus_pipeline.STAGES], 0)
+
+
+def test_run_leaves_its_result_only(spark, tmp_path):
+    rows = [(i, sentence(40), "en", "s0", 1, *[None] * 13) for i in range(6)]
+    through(spark, str(tmp_path), rows)
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/skuscope"
+    before = set(os.listdir(root))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert len([x for x in set(os.listdir(root)) - before if not x.startswith(".")]) == 1
