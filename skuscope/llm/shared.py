@@ -65,19 +65,24 @@ def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
             delete(spark, path)
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def frugal(run):
-    """A mapInArrow function whose worker hands freed memory back to the system at the end of the task,
-    so that idle workers of earlier stages don't hold it beside the next one."""
+    """A mapInArrow function whose worker hands freed memory back at the end of the task, so that idle
+    workers of earlier stages don't hold it beside the next one."""
 
     @functools.wraps(run)
     def tidied(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return tidied
 

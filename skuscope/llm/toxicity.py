@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import frugal, shuffle_width, written
+from .shared import frugal, give_back, shuffle_width, written
 
 BITS = 20
 ORDERS = (4, 5, 6)
@@ -161,11 +161,15 @@ def train(docs: DataFrame, marks: DataFrame, *, max_fit_rows: int = 12_000, epoc
     picked = marks.filter("label = 0").orderBy(order, "id").limit(max_fit_rows // 2).union(marks.filter("label = 1").orderBy(order, "id").limit(max_fit_rows // 2))
     sample = docs.join(F.broadcast(picked), "id").select("text", "label").mapInArrow(bits, "label int, places binary").toArrow()
     rows = sorted(zip(sample.column("places").to_pylist(), sample.column("label").to_pylist()))
-    del sample
+    del sample, counted, parts, toxic, clean
+    give_back()
     label = np.array([y for _, y in rows])
     weights, bias = _fit([x for x, _ in rows], label.astype(float), ratio, epochs, l2)
     fitted = np.bincount(label, minlength=2)
     bias += math.log(texts[1] / fitted[1]) - math.log(texts[0] / fitted[0])  # the labels' shares among all rows
+    informative.destroy()
+    del rows
+    give_back()
     return ToxicityModel(weights, bias, threshold)
 
 
