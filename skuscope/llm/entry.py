@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators and their SQL."""
+"""The registered queries of the numbered operators and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, hamming, media, mixing, packing, simhash, tokens, toxicity, warc, wrappers
+from . import dedup, hamming, media, mixing, online, packing, periods, ranked, simhash, tokens, toxicity, warc, wrappers
 from .shared import table
 
 
@@ -61,9 +61,28 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = online.pack_online(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(periods.periodic_runs(periods.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_QUERIES = (
+    op1_mix_sources, op2_suffix_dedup, op3_warc, op4_html_extraction, op5_topk_search, op6_media_columns, op7_best_fit_packing,
+    op8_token_counts, op9_simhash, op10_toxicity, op11_online_packing, op12_periodic_runs, op13_ranked_search,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_warc, op4_html_extraction, op5_topk_search, op6_media_columns, op7_best_fit_packing, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {"op1_mix_sources": mixing.ORACLE_OP1, "op3_warc": warc.ORACLE_OP3, "op5_topk_search": hamming.ORACLE_OP5}
+    return {"op1_mix_sources": mixing.ORACLE_OP1, "op3_warc": warc.ORACLE_OP3, "op5_topk_search": hamming.ORACLE_OP5, "op13_ranked_search": ranked.ORACLE_OP13}
