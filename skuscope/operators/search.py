@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skuscope.functions.vectors import matrix, unit_rows
+from skuscope.functions.vectors import l2_normalize, matrix, unit_rows
+from skuscope.sources.scratch import stored
 
 KEY = ["category_slug", "backend", "remove_bg"]
 
@@ -46,7 +47,7 @@ def block_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: lis
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (part.split() for part in schema.split(","))])
 
 
@@ -104,10 +105,13 @@ def sku_sums(vectors: DataFrame, salts: int = 64) -> DataFrame:
 
 def sku_centroids(vectors: DataFrame) -> DataFrame:
     """The unit mean of each SKU's vectors; a zero mean stays as it is."""
-    from skuscope.functions.vectors import l2_normalize
+    return centroids_of(sku_sums(vectors))
 
+
+def centroids_of(sums: DataFrame) -> DataFrame:
+    """The centroids of a table of `sku_sums`."""
     mean = F.transform("total", lambda x: x / F.col("n_vectors"))
-    return sku_sums(vectors).select(*KEY, "sku", l2_normalize(mean).alias("centroid"), "n_vectors", "first_pos")
+    return sums.select(*KEY, "sku", l2_normalize(mean).alias("centroid"), "n_vectors", "first_pos")
 
 
 def _best(k: int, query_column: str):
@@ -117,15 +121,12 @@ def _best(k: int, query_column: str):
         order = np.argsort(code, kind="stable")
         best = np.maximum.reduceat(scores[:, order], np.searchsorted(code[order], np.arange(len(skus))), axis=1)
         least = np.partition(best, len(skus) - k, axis=1)[:, len(skus) - k] if len(skus) > k else np.full(len(best), -np.inf)
-        seen_q, seen_s, seen_v = [], [], []
-        for q, name in enumerate(left.column(query_column).to_pylist()):
-            at = np.flatnonzero(best[q] >= least[q])
-            at = at[np.argsort(-best[q, at], kind="stable")][:k]  # ties go to the smaller SKU
-            seen_q += [name] * len(at)
-            seen_s += skus[at].tolist()
-            seen_v += best[q, at].tolist()
-        n = len(seen_q)
-        return pa.table({query_column: pa.array(seen_q, left.schema.field(query_column).type), "category_slug": pa.array([key[0].as_py()] * n, pa.string()), "backend": pa.array([key[1].as_py()] * n, pa.string()), "sku": pa.array(seen_s, pa.string()), "similarity_score": pa.array(seen_v, pa.float64())})
+        row, column = np.nonzero(best >= least[:, None])
+        order = np.lexsort((column, -best[row, column], row))  # ties go to the smaller SKU
+        row, column = row[order], column[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, column = row[keep], column[keep]
+        return pa.table({query_column: left.column(query_column).take(pa.array(row)), "category_slug": pa.array([key[0].as_py()] * len(row), pa.string()), "backend": pa.array([key[1].as_py()] * len(row), pa.string()), "sku": pa.array(skus[column].tolist(), pa.string()), "similarity_score": best[row, column]})
 
     return pair
 
@@ -184,15 +185,15 @@ def _loo(key, left, right):
     })
 
 
-def loo_ranks(vectors: DataFrame) -> DataFrame:
+def loo_ranks(vectors: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """Leave-one-out: each image of a SKU with two or more is a query against its category's centroids,
     its own SKU's made without it: rank of the true SKU, and the best SKU with its score.
 
     A centroid without one image is the SKU's sum less that image, scaled to
     unit length. SKUs of one image are only rivals. Equal scores rank the SKU
-    that came first.
+    that came first. sums: a stored table of the vectors' `sku_sums`, which is made where there is none.
     """
-    sums = sku_sums(vectors)
+    sums = stored(sku_sums(vectors), "sums") if sums is None else sums
     several = sums.filter("n_vectors >= 2").select(*KEY, "sku", "total", F.col("first_pos").alias("own_first"))
     queries = vectors.select(*KEY, "sku", "row_pos", "embedding").join(several, [*KEY, "sku"])
     schema = "row_pos long,category_slug string,backend string,sku string,own_score double,better long,rival string,rival_score double"

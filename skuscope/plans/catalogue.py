@@ -13,6 +13,7 @@ from skuscope.operators import catalog as ca
 from skuscope.operators import evaluate as ev
 from skuscope.operators import fitment as fi
 from skuscope.operators import identify as ident
+from skuscope.operators import pruned as pr
 from skuscope.operators import questions as qu
 from skuscope.operators import search as se
 from skuscope.plans import tables as d
@@ -80,8 +81,13 @@ def _r(c, n: int = 4):
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
+def _sums(spark, sf_dir):
+    """Sums of the vectors by SKU as a table: all that reads them, or how many there are of each group, sums no vectors again."""
+    return stored(se.sku_sums(d.image_vectors(spark, sf_dir)), "sums")
+
+
 def _centroids(spark, sf_dir):
-    return se.sku_centroids(d.image_vectors(spark, sf_dir))
+    return se.centroids_of(_sums(spark, sf_dir))
 
 
 def _ranges(spark, sf_dir):
@@ -104,6 +110,13 @@ def search_image_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.search_topk(d.queries(spark, sf_dir), d.image_vectors(spark, sf_dir), 3, scoring="image_max").select("query_id", "sku", "rank", _r("similarity_score").alias("score"))
 
 
+@registered(ORACLE["search_image_max"])
+def search_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index in blocks, of which those whose bound is too low are left out."""
+    cut = pr.cut_index(d.image_vectors(spark, sf_dir), rows_a_block=64)
+    return pr.search_pruned(d.queries(spark, sf_dir), cut, 3)[0].select("query_id", "sku", "rank", _r("similarity_score").alias("score"))
+
+
 @registered(f"WITH {IV} SELECT category_slug, count(*) AS n_vectors, count(DISTINCT sku) AS n_skus, CAST(max(len(e)) AS INT) AS dim, max(backend) AS backend, CASE WHEN count(*) <> count(DISTINCT sku) THEN 'per_image' ELSE 'per_sku' END AS vectors, count(*) = count(DISTINCT sku) AS one_each FROM iv GROUP BY category_slug")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.index_stats(d.image_vectors(spark, sf_dir))
@@ -136,6 +149,13 @@ def impostor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.impostor_scores(d.image_vectors(spark, sf_dir), _centroids(spark, sf_dir)).select("row_pos", "target_slug", _r("score").alias("score"))
 
 
+@registered(ORACLE["impostor_scores"])
+def impostors_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centroids = _centroids(spark, sf_dir).withColumn("row_pos", F.col("first_pos")).withColumnRenamed("centroid", "embedding")
+    found = pr.impostors_pruned(d.image_vectors(spark, sf_dir), pr.cut_index(centroids, rows_a_block=2))
+    return found.select("row_pos", "target_slug", _r("score").alias("score"))
+
+
 @registered(f"WITH {IMP} SELECT backend, count(*) AS n, round(min(score), 4) AS min, round(quantile_cont(score, 0.05), 4) AS p5, round(quantile_cont(score, 0.5), 4) AS median, round(quantile_cont(score, 0.95), 4) AS p95, round(max(score), 4) AS max FROM imp GROUP BY backend")
 def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ev.score_distribution(se.impostor_scores(d.image_vectors(spark, sf_dir), _centroids(spark, sf_dir)))
@@ -143,9 +163,9 @@ def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sweep(spark, sf_dir):
-    iv = d.image_vectors(spark, sf_dir)
-    correct = se.loo_ranks(iv).select("backend", F.col("own_score").alias("score"))
-    return ev.threshold_sweep(correct, se.impostor_scores(iv, _centroids(spark, sf_dir)))
+    iv, sums = d.image_vectors(spark, sf_dir), _sums(spark, sf_dir)
+    correct = se.loo_ranks(iv, sums).select("backend", F.col("own_score").alias("score"))
+    return ev.threshold_sweep(correct, se.impostor_scores(iv, se.centroids_of(sums)))
 
 
 @registered(f"WITH {SWEEP} SELECT backend, threshold, round(rejected, 4) AS rejected, round(caught, 4) AS caught FROM sw")
