@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,12 +62,13 @@ RULES = {
     "damper_style": [("Shock Absorber", [("air-strut", r"\bair[- ]ride\b|\bair spring\b|\bair suspension\b"), ("remote-reservoir", r"\bremote[- ]reservoir\b|\bpiggyback\b"), ("strut-assembly", r"\bstrut\b"), ("shock-absorber", r"\bshock absorber\b")])],
     "throttle_control": [("Throttle Body", [("cable-operated", r"\bcable[- ]operated\b|\bthrottle cable\b"), ("electronic", r"\belectronic\b|\bdrive[- ]by[- ]wire\b|\bmotor\b")])],
 }
+#: attribute -> (pattern, category)
 PRESENCE = {
-    "abs_sensor": ("Wheel Hub Assembly", r"\babs\b"),
-    "integrated_reservoir": ("Power Steering Pump", r"\breservoir\b"),
-    "catalytic_converter": ("Exhaust Manifold", r"\bcatalytic converter\b"),
-    "wear_sensor": ("Brake Pads", r"\bwear[- ]sensor\b|\bwear indicator\b"),
-    "pulley_fitted": ("Power Steering Pump", r"\bpulley\b"),
+    "abs_sensor": (r"\babs\b", "Wheel Hub Assembly"),
+    "integrated_reservoir": (r"\breservoir\b", "Power Steering Pump"),
+    "catalytic_converter": (r"\bcatalytic converter\b", "Exhaust Manifold"),
+    "wear_sensor": (r"\bwear[- ]sensor\b|\bwear indicator\b", "Brake Pads"),
+    "pulley_fitted": (r"\bpulley\b", "Power Steering Pump"),
 }
 COLOURS = {
     "black": r"\bblack\b", "blue": r"\bblue\b", "silver": r"\bsilver\b", "chrome": r"\bchrome(?:-plated)?\b", "red": r"\bred\b", "yellow": r"\byellow\b",
@@ -153,48 +155,94 @@ def attributes_malformed(cell: Column) -> Column:
     return blank_to_null(cell).isNotNull() & F.from_json(cell, "map<string,string>").isNull()
 
 
-def _unnegated(pattern: str, negators=NEGATORS) -> str:
-    # The look-ahead comes first: the look-behind is tried only where the word stands.
-    return rf"(?=(?:{pattern}))(?<!\b(?:{'|'.join(map(re.escape, negators))})\b[^.]{{0,40}})(?:{pattern})"
-
-
 def attribute_text(name: Column, description: Column) -> Column:
     text = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(description, F.lit(""))))
     return F.regexp_replace(text, BRAND_PHRASES, " ")
 
 
+_LUGS = r"\b(\d)-lug\b"
+
+
+def _longest(pattern: str) -> int:
+    """The most characters that a pattern's match can have."""
+    width = _parser.parse(pattern).getwidth()[1]
+    if width > 1000:
+        raise ValueError(f"a pattern with a bounded match is needed: {pattern}")
+    return width
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, if those beside each other are all it has."""
+    parts, depth = [""], 0
+    for c in re.findall(r"\\.|\[[^\]]*\]|.", pattern):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def mentions(text: Column, patterns: list[str], negators=NEGATORS) -> Column:
+    """Where any of the patterns matches in a text, in order: an array of negated (one of the negators stands within 40
+    characters before, in the same sentence) and window (the character before, the match and the character after at least).
+
+    One scan over the text marks the places; letters of any script are letters.
+    """
+    alternatives = [x for p in dict.fromkeys(patterns) for x in _alternatives(p)]
+    most = max(map(_longest, alternatives), default=0) + 1
+    first = [re.match(r"\\b(\w|\\d)", x) for x in alternatives]
+    if alternatives and all(first):  # what can't begin a word of theirs is passed by
+        found = rf"(?=[{''.join(sorted({m[1] for m in first}))}])\b(?=" + "|".join(x.removeprefix(r"\b") for x in alternatives) + ")"
+    else:
+        found = "(?=" + "|".join(alternatives or ["(?!)"]) + ")"
+    place = rf"(?sU){found}(?=(.{{0,{most}}}))(?<=(.))(?:(?<=\b({'|'.join(map(re.escape, negators))})\b[^.]{{0,40}}))?"
+    marked = F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace(text, "[\x01\x02]", " ")), place, "\x01$3\x02$2$1\x01")
+    places = F.filter(F.split(marked, "\x01"), lambda x: x.contains("\x02"))
+    return F.transform(places, lambda x: F.struct((F.substring_index(x, "\x02", 1) != "").alias("negated"), F.substring_index(x, "\x02", -1).alias("window")))
+
+
+def _matches(pattern: str):
+    """Whether a mention is one of the pattern."""
+    return lambda mention: mention["window"].rlike(rf"(?sU)^.(?:{pattern})")
+
+
 def extract_attributes(name: Column, description: Column, category: Column, *, rules=None, presence=None, colours=None, negators=NEGATORS) -> Column:
     """Attributes of a product from its prose, as a map.
 
     By rule the first value with a mention that isn't negated; present features
     as yes or no (no if all mentions are negated); the colour mentioned first
-    (of equal places the first by name); studs of wheel hubs.
+    (of equal places the first by name); studs of wheel hubs. The text is
+    scanned once for all mentions, and the rules choose from their list.
     """
-    # The text is prepared once a row, as the one element of an array that the rules are applied to.
-    return F.get(F.transform(F.array(attribute_text(name, description)), lambda text: _attributes_in(text, category, rules, presence, colours, negators)), 0)
-
-
-def _attributes_in(text: Column, category: Column, rules, presence, colours, negators) -> Column:
-    found: list[tuple[str, Column]] = []
-    for attribute, cases in (RULES if rules is None else rules).items():
+    rules, presence, colours = (RULES if rules is None else rules), (PRESENCE if presence is None else presence), (COLOURS if colours is None else colours)
+    patterns = [p for cases in rules.values() for _, values in cases for _, p in values] + [p for p, _ in presence.values()] + [*colours.values(), _LUGS.replace("(", "").replace(")", "")]
+    found = mentions(attribute_text(name, description), patterns, negators)
+    none = F.create_map().cast("map<string,string>")
+    # The list is made once a row, as the one element of an array that the rules are applied to.
+    return F.get(F.transform(F.array(found), lambda m: F.when(F.size(m) == 0, none).otherwise(_attributes_in(m, category, rules, presence, colours))), 0)
+
+
+def _attributes_in(found: Column, category: Column, rules, presence, colours) -> Column:
+    said = F.filter(found, lambda m: ~m["negated"])
+    entries: list[tuple[str, Column]] = []
+    for attribute, cases in rules.items():
         value = F.lit(None).cast("string")
         for only, values in reversed(cases):
             for label, pattern in reversed(values):
-                hit = text.rlike(_unnegated(pattern, negators))
-                value = F.when(hit if only is None else hit & (category == only), F.lit(label)).otherwise(value)
-        found.append((attribute, value))
-    for attribute, (only, pattern) in (PRESENCE if presence is None else presence).items():
-        value = F.when(text.rlike(_unnegated(pattern, negators)), "yes").when(text.rlike(pattern), "no")
-        found.append((attribute, F.when(category == only, value) if only else value))
-    table = COLOURS if colours is None else colours
-    if table:
-        spots = [F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.lit(c).alias("colour")) for c, p in table.items()]
-        first = F.array_min(F.filter(F.array(*spots), lambda s: s["at"] > 0))
-        found.append(("primary_colour", first["colour"]))
-    lugs = F.nullif(F.regexp_extract(text, r"\b(\d)-lug\b", 1), F.lit(""))
-    found.append(("lug_count", F.when(category == "Wheel Hub Assembly", lugs)))
-    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in found]), lambda e: e["value"].isNotNull())
-    return F.map_from_entries(entries)
+                hit = F.exists(said, _matches(pattern))
+                value = F.when(hit if only is None else (category == only) & hit, F.lit(label)).otherwise(value)
+        entries.append((attribute, value))
+    for attribute, (pattern, only) in presence.items():
+        value = F.when(F.exists(said, _matches(pattern)), "yes").when(F.exists(found, _matches(pattern)), "no")
+        entries.append((attribute, F.when(category == only, value) if only else value))
+    if colours:
+        named = F.transform(found, lambda m: F.coalesce(*[F.when(_matches(colours[c])(m), F.lit(c)) for c in sorted(colours)]))
+        entries.append(("primary_colour", F.get(F.filter(named, lambda x: x.isNotNull()), 0)))
+    lugs = F.filter(F.transform(found, lambda m: F.regexp_extract(m["window"], rf"(?sU)^.{_LUGS}", 1)), lambda x: x != "")
+    entries.append(("lug_count", F.when(category == "Wheel Hub Assembly", F.get(lugs, 0))))
+    listed = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in entries])
+    return F.map_from_entries(F.filter(listed, lambda e: e["value"].isNotNull()))
 
 
 def clean_attributes(attributes: Column) -> Column:

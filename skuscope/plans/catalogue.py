@@ -388,14 +388,14 @@ def windowed_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("window_start", "n", _r("refusal_rate").alias("refusal_rate"), _r("correction_rate").alias("correction_rate"))
 
 
-@registered(r"""WITH x AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', '_', 'g')) AS x FROM documents),
+@registered(r"""WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\x00-\x7f\P{L}]|[^\x00-\x7f\P{M}]|[^\x00-\x7f\P{N}]', '_', 'g'), '[^\x00-\x7f]', ',', 'g') AS x FROM documents),
 w AS (SELECT doc_id, x, string_split_regex(x, '\bidiot\b') AS a, string_split_regex(x, '\bclown\b') AS b FROM x),
 h AS (SELECT doc_id, list_bool_or(list_transform(range(1, len(a)), lambda i: NOT regexp_matches(array_to_string(a[1:i], 'idiot'), '\b(and|of|the)\b[^.]{0,40}$'))) AS idiot, len(a) > 1 AS ai, list_bool_or(list_transform(range(1, len(b)), lambda i: NOT regexp_matches(array_to_string(b[1:i], 'clown'), '\b(and|of|the)\b[^.]{0,40}$'))) AS clown, len(b) > 1 AS bi FROM w)
 SELECT doc_id, CASE WHEN idiot THEN 'one' WHEN clown THEN 'two' END AS kind, CASE WHEN idiot THEN 'yes' WHEN ai THEN 'no' END AS named FROM h""")
 def extract_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = d.read(spark, sf_dir, "documents").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7f]", "_"))  # word ends beyond ASCII differ between regular expressions
+    docs = d.read(spark, sf_dir, "documents")
     found = t.extract_attributes(
-        F.lit(""), F.col("text"), F.lit("x"), rules={"kind": [(None, [("one", r"\bidiot\b"), ("two", r"\bclown\b")])]}, presence={"named": (None, r"\bidiot\b")}, colours={}, negators=("and", "of", "the")
+        F.lit(""), F.col("text"), F.lit("x"), rules={"kind": [(None, [("one", r"\bidiot\b"), ("two", r"\bclown\b")])]}, presence={"named": (r"\bidiot\b", None)}, colours={}, negators=("and", "of", "the")
     )
     return docs.select("doc_id", found.alias("m")).select("doc_id", F.try_element_at("m", F.lit("kind")).alias("kind"), F.try_element_at("m", F.lit("named")).alias("named"))
 

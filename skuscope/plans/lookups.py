@@ -242,7 +242,7 @@ def _rules_sql() -> str:
     for attribute, cases in t.RULES.items():
         whens = [f"WHEN {'' if only is None else f'kind = {only!r} AND '}{_unnegated_sql(pattern)} THEN '{label}'" for only, values in cases for label, pattern in values]
         columns.append(f"CASE {' '.join(whens)} END AS {attribute}")
-    for attribute, (only, pattern) in t.PRESENCE.items():
+    for attribute, (pattern, only) in t.PRESENCE.items():
         columns.append(f"CASE WHEN kind <> '{only}' THEN NULL WHEN {_unnegated_sql(pattern)} THEN 'yes' WHEN regexp_matches(x, '{pattern}') THEN 'no' END AS {attribute}")
     spots = ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN struct_pack(spot := length(regexp_extract(x, '^(.*?)({p})', 1)), colour := '{c}') END" for c, p in t.COLOURS.items())
     columns.append(f"list_min(list_filter([{spots}], lambda s: s IS NOT NULL)).colour AS primary_colour")
@@ -268,9 +268,12 @@ def attributes_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attributes(rows, "p_partkey")
 
 
-@registered(f"WITH g AS (SELECT doc_id, {_sql_of(KINDS, 'doc_id % 10')} AS kind, regexp_replace(' ' || lower(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7f]', '_', 'g')), '{t.BRAND_PHRASES}', ' ', 'g') AS x FROM documents) SELECT doc_id, {_rules_sql()} FROM g".replace("'^(.*?)(", "'(?s)^(.*?)("))
+#: The SQL's regular expressions know letters of ASCII only: other letters, marks and digits become underscores there, all other characters commas.
+PLAIN = r"regexp_replace(regexp_replace({x}, '[^\x00-\x7f\P{{L}}]|[^\x00-\x7f\P{{M}}]|[^\x00-\x7f\P{{N}}]', '_', 'g'), '[^\x00-\x7f]', ',', 'g')"
+
+
+@registered(f"WITH g AS (SELECT doc_id, {_sql_of(KINDS, 'doc_id % 10')} AS kind, regexp_replace(' ' || {PLAIN.format(x="lower(coalesce(text, ''))")}, '{t.BRAND_PHRASES}', ' ', 'g') AS x FROM documents) SELECT doc_id, {_rules_sql()} FROM g".replace("'^(.*?)(", "'(?s)^(.*?)("))
 def attributes_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog's own rules over all documents (letters beyond ASCII as underscores, as word ends differ between regular expressions)."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7f]", "_")
-    rows = d.read(spark, sf_dir, "documents").select("doc_id", t.extract_attributes(F.lit(""), text, _of(KINDS, F.col("doc_id") % 10)).alias("m"))
+    """The catalog's own rules over all documents as they are."""
+    rows = d.read(spark, sf_dir, "documents").select("doc_id", t.extract_attributes(F.lit(""), F.col("text"), _of(KINDS, F.col("doc_id") % 10)).alias("m"))
     return _attributes(rows, "doc_id")

@@ -1,5 +1,9 @@
 """Column functions over catalog text."""
 
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from skuscope.functions import text as t
@@ -50,3 +54,44 @@ def test_labels(spark):
     assert one(spark, t.parse_choice(F.col("a"), F.lit(3)), a="I pick #2, not 3") == 1
     assert one(spark, t.parse_choice(F.col("a"), F.lit(3)), a="none") is None
     assert one(spark, t.category_claim(F.lit(True), F.lit(0.88))) == "unconfirmed"
+
+
+WORDS = ["front", "rear", "cast iron", "cast-iron", "stainless steel", "electric motor", "electro-hydraulic", "golden", "gold", "chrome-plated", "Black", "no", "not", "without", "omits", "5-lug", "15-lug", "duralast gold", "abs", "ABSé", "éabs", "wear sensor", "wear_sensor", "throttle cable-operated", "motor.", ".", "long tube header", "Übergroß", "naïve", "x" * 45, "—", "٣-lug", "pair", "set", "\x01", "\n"]
+
+
+def in_python(text, category):
+    """The rules mention by mention, with Python's regular expressions."""
+    text = re.sub(t.BRAND_PHRASES, " ", (" " + text).lower())
+    negation = re.compile(rf"\b({'|'.join(t.NEGATORS)})\b[^.]{{0,40}}\Z")
+    free = lambda p: [not negation.search(text[: m.start()]) for m in re.finditer(p, text)]
+    out = {}
+    for attribute, cases in t.RULES.items():
+        values = [v for only, values in cases if only in (None, category) for v, p in values if any(free(p))]
+        out |= {attribute: values[0]} if values else {}
+    for attribute, (p, only) in t.PRESENCE.items():
+        if only == category and free(p):
+            out[attribute] = "yes" if any(free(p)) else "no"
+    colours = [(m.start(), c) for c, p in t.COLOURS.items() if (m := re.search(p, text))]
+    out |= {"primary_colour": min(colours)[1]} if colours else {}
+    lugs = re.search(r"\b(\d)-lug\b", text)
+    return out | ({"lug_count": lugs[1]} if lugs and category == "Wheel Hub Assembly" else {})
+
+
+def test_attributes_of_any_text_are_pythons(spark):
+    r = random.Random(6)
+    categories = sorted({c for cases in t.RULES.values() for c, _ in cases if c} | {c for _, c in t.PRESENCE.values()})
+    rows = [(i, "".join(r.choice(WORDS) + r.choice([" ", " ", "", ", ", "-"]) for _ in range(r.randrange(0, 40))), r.choice(categories)) for i in range(600)]
+    rows += [(1000, None, "Brake Pads"), (1001, "", None), (1002, "front " * 20000, None)]
+    got = {x.id: x.m for x in spark.createDataFrame(rows, "id long, text string, category string").select("id", t.extract_attributes(F.lit(None).cast("string"), F.col("text"), F.col("category")).alias("m")).collect()}
+    for i, text, category in rows:
+        assert got[i] == in_python(text or "", category), (text, category)
+    assert sum("abs_sensor" in m for m in got.values()) > 5 and sum("lug_count" in m for m in got.values()) > 5
+
+
+def test_rules_with_odd_patterns(spark):
+    rules = {"kind": [(None, [("one", r"(?:ab|b)c"), ("two", r"b|c{1,2}d{0,3}")])]}
+    found = t.extract_attributes(F.lit(""), F.col("a"), F.lit("x"), rules=rules, presence={"there": (r"z\|z", None)}, colours={}, negators=("nope",))
+    for text, want in (("abc", {"kind": "one"}), ("xbx z|z", {"kind": "two", "there": "yes"}), ("nope abc. cd", {"kind": "two"}), ("nope z|z", {"there": "no"}), ("", {})):
+        assert one(spark, found, a=text) == want
+    with pytest.raises(ValueError):
+        t.mentions(F.col("a"), ["a+"])
