@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +21,40 @@ def history_with_images(audit: DataFrame, products: DataFrame) -> DataFrame:
     return audit.join(images, "top_sku", "left")
 
 
+CONFIRMED = ("confirmed_sku", "confirmed_at", "disambiguation")
+
+
 def apply_confirmations(audit: DataFrame, confirmations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets confirmed_sku, confirmed_at and corrected by the last confirmation of each id; and the confirmations of unknown ids."""
-    last = confirmations.groupBy("id").agg(F.max(F.struct("confirmed_at", "confirmed_sku")).alias("c"))
+    """Sets confirmed_sku, confirmed_at, disambiguation (the transcript of the questions that led to it, a string or null) and
+    corrected by the last confirmation of each id; and the confirmations of unknown ids."""
+    if "disambiguation" not in confirmations.columns:
+        confirmations = confirmations.withColumn("disambiguation", F.lit(None).cast("string"))
+    last = confirmations.groupBy("id").agg(F.max(F.struct("confirmed_at", "confirmed_sku", "disambiguation")).alias("c"))
     unknown = confirmations.join(audit.select("id"), "id", "left_anti")
-    joined = audit.drop("confirmed_sku", "confirmed_at").join(last, "id", "left")
+    joined = audit.drop(*CONFIRMED).join(last, "id", "left")
     corrected = F.coalesce(F.col("c.confirmed_sku") != F.col("top_sku"), F.col("c.confirmed_sku").isNotNull(), F.lit(False))
-    return joined.select(*[c for c in audit.columns if c not in ("confirmed_sku", "confirmed_at")], F.col("c.confirmed_sku").alias("confirmed_sku"), F.col("c.confirmed_at").alias("confirmed_at"), corrected.alias("corrected")), unknown
+    return joined.select(*[c for c in audit.columns if c not in CONFIRMED], *[F.col(f"c.{c}").alias(c) for c in CONFIRMED], corrected.alias("corrected")), unknown
+
+
+def history_after(audit: DataFrame, cursor: tuple | None = None, limit: int = 50) -> DataFrame:
+    """The page of `history` after cursor (created_at and id of the last row seen; None: the first page), out of a table by day.
+
+    Only rows of the cursor's day and before are looked at, newest days first: the last day, then two, four and so on
+    until they have a page, so that days that aren't needed are never read. Rows without a time are on no page.
+    """
+    limit = min(max(limit, 1), 200)
+    found = {dt.date.fromisoformat(x) for path in audit.inputFiles() for x in re.findall(r"/day=(\d{4}-\d\d-\d\d)/", path)}  # of the folders, no file is opened
+    days = sorted((d for d in found if cursor is None or d <= cursor[0].date()), reverse=True)
+    wide = 1
+    while True:
+        page = audit.filter(F.col("day").isin(days[:wide])) if days else audit.limit(0)
+        if cursor is not None:
+            at = F.lit(cursor[0]).cast(audit.schema["created_at"].dataType)
+            page = page.filter((F.col("created_at") < at) | (F.col("created_at") == at) & (F.col("id") < cursor[1]))
+        page = page.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+        if wide >= len(days) or page.count() == limit:
+            return page
+        wide *= 2
 
 
 def delete_audit(audit: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -100,14 +100,14 @@ def apply_product_changes(products: DataFrame, changes: DataFrame) -> tuple[Data
 def attach_embeddings(products: DataFrame, vectors: DataFrame, mode: str = "last") -> DataFrame:
     """vectors(sku, row_pos, embedding, backend) into the column of their dimension; of several a SKU the last row,
     or with mode "centroid" their unit mean. Unknown backends and dimensions are left out."""
-    from skuscope.functions.vectors import l2_normalize
+    from skuscope.operators.search import sku_centroids
 
     usable = vectors.filter((F.col("backend") != "unknown") & F.size("embedding").isin(768, 512))
     if mode == "last":
         one = usable.groupBy("sku").agg(F.max_by(F.struct("embedding", "backend"), "row_pos").alias("v")).select("sku", "v.*")
     else:
-        parts = usable.select("sku", "backend", F.posexplode("embedding").alias("i", "x")).groupBy("sku", "backend", "i").agg(F.avg("x").alias("x"))
-        one = parts.groupBy("sku", "backend").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("m")).select("sku", "backend", l2_normalize(F.col("m")).cast("array<float>").alias("embedding"))
+        sides = usable.select(F.lit("").alias("category_slug"), F.concat_ws("/", "backend", F.size("embedding")).alias("backend"), F.lit(False).alias("remove_bg"), "sku", "row_pos", "embedding")
+        one = sku_centroids(sides).select("sku", F.split("backend", "/")[0].alias("backend"), F.col("centroid").cast("array<float>").alias("embedding"))
     wide = one.groupBy("sku").agg(*[F.max(F.when(F.size("embedding") == d, F.col("embedding"))).alias(f"embedding_{d}") for d in (768, 512)], F.max("backend").alias("embedding_backend"))
     return products.drop("embedding_768", "embedding_512", "embedding_backend").join(wide, "sku", "left")
 

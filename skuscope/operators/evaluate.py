@@ -64,26 +64,34 @@ def score_distribution(scores: DataFrame, by: str = "backend", approximate: bool
     return found.select(by, "n", "min", F.col("q")[0].alias("p5"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), "max")
 
 
-def threshold_sweep(correct: DataFrame, impostor: DataFrame, lo: int = 30, hi: int = 98, *, stop_above: float = 5.0) -> DataFrame:
-    """For each threshold of lo..hi hundredths and each backend: per cent of correct and of impostor
-    scores below it, up to and including the first that rejects over stop_above per cent.
+#: lo, hi and step of the grids, in hundredths: of stored vectors, and of the calibration over images.
+STORED_GRID, CALIBRATION_GRID = (30, 98, 1), (30, 95, 1)
 
-    One pass buckets each score by the first threshold above it; running sums
-    over the few buckets give the counts. No impostors give null.
-    """
-    n = hi - lo + 1
-    grid = F.array(*[F.lit(t / 100) for t in range(lo, hi + 1)])
 
-    def bucket(df, name):
-        first = F.size(F.filter(grid, lambda t: t <= F.col("score")))  # the threshold at this place is above the score
-        return df.groupBy("backend", first.alias("k")).agg(F.count("*").alias(name))
+def threshold_sweep(correct: DataFrame, impostor: DataFrame, lo: int = 30, hi: int = 98, step: int = 1, *, stop_above: float = 5.0) -> DataFrame:
+    """For each threshold of lo, lo + step, ... hi hundredths and each backend: per cent of correct and of impostor
+    scores below it, up to and including the first that rejects over stop_above per cent.
 
-    counted = bucket(correct, "c").join(bucket(impostor, "i"), ["backend", "k"], "full")
-    frame = counted.select("backend").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    counted = frame.join(counted, ["backend", "k"], "left").fillna(0, ["c", "i"])
+    One pass over both buckets each score by the first threshold above it; running
+    sums over the few buckets give the counts. No impostors give null. Scores
+    may have a column n, how often they count (`sketches.scores_of`).
+    """
+    points = [t / 100 for t in range(lo, hi + 1, step)]
+    n = len(points)
+    grid = F.array(*map(F.lit, points))
+
+    first = F.size(F.filter(grid, lambda t: t <= F.col("score")))  # the threshold at this place is above the score
+    side = lambda df, c, i: df.select("backend", "score", c(df).alias("c"), i(df).alias("i"))
+    times, none = (lambda df: F.col("n") if "n" in df.columns else F.lit(1)), lambda _: F.lit(0)
+    both = side(correct, times, none).unionByName(side(impostor, none, times)).filter("score is not null")
+    counted = both.groupBy("backend", first.alias("k")).agg(F.sum("c").alias("c"), F.sum("i").alias("i"))
+    # Every place has a row, with nothing where no score is.
+    places = counted.groupBy("backend").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("c", "i")))).alias("m")).select("backend", "m", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
+    at = F.try_element_at("m", F.col("k"))
+    counted = places.select("backend", "k", F.coalesce(at["c"], F.lit(0)).alias("c"), F.coalesce(at["i"], F.lit(0)).alias("i"))
     upto, whole = W.partitionBy("backend").orderBy("k"), W.partitionBy("backend")
     sums = counted.select("backend", "k", F.sum("c").over(upto).alias("c"), F.sum("i").over(upto).alias("i"), F.sum("c").over(whole).alias("nc"), F.sum("i").over(whole).alias("ni"))
-    rows = sums.filter(F.col("k") < n).select("backend", ((F.col("k") + lo) / 100).alias("threshold"), F.try_divide(F.col("c") * 100.0, F.col("nc")).alias("rejected"), F.try_divide(F.col("i") * 100.0, F.col("ni")).alias("caught"))
+    rows = sums.filter(F.col("k") < n).select("backend", F.get(grid, F.col("k")).alias("threshold"), F.try_divide(F.col("c") * 100.0, F.col("nc")).alias("rejected"), F.try_divide(F.col("i") * 100.0, F.col("ni")).alias("caught"))
     earlier = W.partitionBy("backend").orderBy("threshold").rowsBetween(W.unboundedPreceding, -1)
     over = F.coalesce(F.max((F.col("rejected") > stop_above).cast("int")).over(earlier), F.lit(0))
     return rows.withColumn("over", over).filter("over = 0").drop("over")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skuscope.functions.text import facet_prompt
 from skuscope.operators.fitment import filter_fitment_rows, year_options
+from skuscope.sources.scratch import stored
 
 SEPARATION = 0.08
 
@@ -43,15 +44,15 @@ def facet_options(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     return plain.withColumn("year_start", none).withColumn("year_end", none).unionByName(years)
 
 
-def next_question(candidates: DataFrame, fitment: DataFrame, answers: DataFrame, skipped: DataFrame) -> DataFrame:
+def next_question(candidates: DataFrame, fitment: DataFrame, answers: DataFrame, skipped: DataFrame, left: DataFrame | None = None) -> DataFrame:
     """The next question of each session that has one: session_id, facet, prompt, hint, n_options, worst.
 
     Vehicle questions only if all remaining candidates have fitment; none that
     was asked or skipped (skipped: session_id, facet); only those where some
     answer rules something out; the easiest to answer first, then by the
-    largest option, then by the number of options.
+    largest option, then by the number of options. left: what the answers leave, where that is known.
     """
-    left = apply_answers(candidates, answers)
+    left = apply_answers(candidates, answers) if left is None else left
     rows = filter_fitment_rows(fitment.join(left.select("session_id", "sku"), ["session_id", "sku"], "left_semi"), answers)
     has_fitment = fitment.select("session_id", "sku").distinct().withColumn("fits", F.lit(1))
     sizes = left.join(has_fitment, ["session_id", "sku"], "left").groupBy("session_id").agg(F.count("*").alias("n"), (F.count("fits") == F.count("*")).alias("all_fit"))
@@ -66,18 +67,29 @@ def next_question(candidates: DataFrame, fitment: DataFrame, answers: DataFrame,
     return best.select("session_id", F.col("q.facet").alias("facet"), prompt["prompt"].alias("prompt"), prompt["hint"].alias("hint"), F.col("q.n_options").alias("n_options"), F.col("q.worst").alias("worst"))
 
 
-def separation(results: DataFrame, by: str = "query_id", score: str = "similarity_score") -> DataFrame:
-    """Of each query's first two ranks: gap, whether the leader is decisive, and whether to ask for confirmation."""
+CONFIRM_WITHIN, HIGH_CONFIDENCE = 0.05, 0.9
+
+
+def separation(results: DataFrame, by: str = "query_id", score: str = "similarity_score", confidence: str | None = None, no_match: str | None = None) -> DataFrame:
+    """Of each query's first two ranks: gap, whether the leader is decisive, whether to ask for confirmation, and the SKU that is
+    taken without asking (the leader, unless confirmation is needed). With confidence and no_match (columns of results, the
+    same in a query's rows) a refused query takes no SKU and needs no confirmation, and high_confidence says whether a match
+    without confirmation has a confidence of 0.9 or more."""
     w = W.partitionBy(by).orderBy(F.desc(score), "sku")
     top = results.withColumn("r", F.row_number().over(w)).withColumn("next_score", F.lead(score).over(w)).filter("r = 1")
     gap = F.col(score) - F.col("next_score")
-    return top.select(by, F.col("sku").alias("leader"), F.col(score).alias("leader_score"), gap.alias("gap"), F.coalesce(gap >= SEPARATION, F.lit(False)).alias("decisive"), F.when(gap >= SEPARATION, "strong").when(gap.isNotNull(), "close").alias("label"), F.coalesce(gap < 0.05, F.lit(False)).alias("requires_confirmation"))
+    matched = ~F.coalesce(F.col(no_match), F.lit(False)) if no_match else F.lit(True)
+    confirm = matched & F.coalesce(gap < CONFIRM_WITHIN, F.lit(False))
+    found = [by, F.col("sku").alias("leader"), F.col(score).alias("leader_score"), gap.alias("gap"), F.coalesce(gap >= SEPARATION, F.lit(False)).alias("decisive"), F.when(gap >= SEPARATION, "strong").when(gap.isNotNull(), "close").alias("label"), confirm.alias("requires_confirmation"), F.when(matched & ~confirm, F.col("sku")).alias("selected_sku")]
+    if confidence:
+        found.append((matched & ~confirm & F.coalesce(F.col(confidence) >= HIGH_CONFIDENCE, F.lit(False))).alias("high_confidence"))
+    return top.select(*found)
 
 
-def visual_mismatch(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+def visual_mismatch(candidates: DataFrame, answers: DataFrame, left: DataFrame | None = None) -> DataFrame:
     """Sessions whose decisive leader the answers ruled out while others are left: leader_sku and best_survivor_sku."""
     lead = separation(candidates, "session_id", "similarity").filter("decisive")
-    left = apply_answers(candidates, answers)
+    left = apply_answers(candidates, answers) if left is None else left
     best = left.groupBy("session_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "sku"))["sku"].alias("best_survivor_sku"), F.collect_set("sku").alias("all"))
     return lead.join(best, "session_id").filter(~F.array_contains("all", F.col("leader"))).select("session_id", F.col("leader").alias("leader_sku"), "best_survivor_sku")
 
@@ -85,10 +97,10 @@ def visual_mismatch(candidates: DataFrame, answers: DataFrame) -> DataFrame:
 def session_state(candidates: DataFrame, fitment: DataFrame, turns: DataFrame) -> DataFrame:
     """session_id, status, n_remaining, remaining, resolved_sku, facet (of the question), leader_sku and best_survivor_sku of a mismatch."""
     answers, skipped = turns.filter("not skipped"), turns.filter("skipped")
-    left = apply_answers(candidates, answers)
+    left = stored(apply_answers(candidates, answers), "left")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "sku"))), lambda e: e["sku"])
     remaining = left.groupBy("session_id").agg(ordered.alias("remaining"))
-    state = candidates.select("session_id").distinct().join(remaining, "session_id", "left").join(next_question(candidates, fitment, answers, skipped).select("session_id", "facet"), "session_id", "left").join(visual_mismatch(candidates, answers), "session_id", "left")
+    state = candidates.select("session_id").distinct().join(remaining, "session_id", "left").join(next_question(candidates, fitment, answers, skipped, left).select("session_id", "facet"), "session_id", "left").join(visual_mismatch(candidates, answers, left), "session_id", "left")
     n = F.coalesce(F.size("remaining"), F.lit(0))
     n = F.when(F.col("remaining").isNull(), 0).otherwise(n)
     status = F.when(n == 1, "resolved").when(F.col("facet").isNotNull(), "asking").otherwise("exhausted")

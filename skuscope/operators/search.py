@@ -245,10 +245,17 @@ def impostor_scores(vectors: DataFrame, index: DataFrame) -> DataFrame:
     return found.groupBy("row_pos", "backend", "target_slug").agg(F.max("score").alias("score"))
 
 
-def index_stats(vectors: DataFrame) -> DataFrame:
-    """Per category: vectors, SKUs, dimension, backend, per_image or per_sku, and whether every SKU has one vector."""
-    found = vectors.groupBy("category_slug").agg(F.count("*").alias("n_vectors"), F.countDistinct("sku").alias("n_skus"), F.max(F.size("embedding")).alias("dim"), F.max("backend").alias("backend"))
-    return found.withColumn("vectors", F.when(F.col("n_vectors") != F.col("n_skus"), "per_image").otherwise("per_sku")).withColumn("one_each", F.col("n_vectors") == F.col("n_skus"))
+def index_stats(vectors: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Per category: vectors, SKUs, dimension, how many vectors have each dimension, backend, per_image or per_sku, whether
+    every SKU has one vector; with ids (category_slug, row_pos, sku) their number, and whether it differs from the vectors'."""
+    by_size = vectors.groupBy("category_slug", F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    dims = by_size.groupBy("category_slug").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dim", "n")))).alias("n_by_dim"))
+    found = vectors.groupBy("category_slug").agg(F.count("*").alias("n_vectors"), F.countDistinct("sku").alias("n_skus"), F.max(F.size("embedding")).alias("dim"), F.max("backend").alias("backend")).join(dims, "category_slug")
+    found = found.withColumn("vectors", F.when(F.col("n_vectors") != F.col("n_skus"), "per_image").otherwise("per_sku")).withColumn("one_each", F.col("n_vectors") == F.col("n_skus"))
+    if ids is None:
+        return found
+    known = ids.groupBy("category_slug").agg(F.count("*").alias("n_ids"))
+    return found.join(known, "category_slug", "full").fillna(0, ["n_ids", "n_vectors"]).withColumn("mismatch", F.col("n_ids") != F.col("n_vectors"))
 
 
 def dominant_backend(products: DataFrame) -> DataFrame:

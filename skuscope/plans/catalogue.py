@@ -117,9 +117,16 @@ def search_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.search_pruned(d.queries(spark, sf_dir), cut, 3)[0].select("query_id", "sku", "rank", _r("similarity_score").alias("score"))
 
 
-@registered(f"WITH {IV} SELECT category_slug, count(*) AS n_vectors, count(DISTINCT sku) AS n_skus, CAST(max(len(e)) AS INT) AS dim, max(backend) AS backend, CASE WHEN count(*) <> count(DISTINCT sku) THEN 'per_image' ELSE 'per_sku' END AS vectors, count(*) = count(DISTINCT sku) AS one_each FROM iv GROUP BY category_slug")
+@registered(
+    f"WITH {IV}, s AS (SELECT category_slug, count(*) AS n_vectors, count(DISTINCT sku) AS n_skus, CAST(max(len(e)) AS INT) AS dim, max(backend) AS backend, CASE WHEN count(*) <> count(DISTINCT sku) THEN 'per_image' ELSE 'per_sku' END AS vectors, count(*) = count(DISTINCT sku) AS one_each, 32 || '=' || count(*) FILTER (WHERE row_pos % 6 = 0) || ',' || 64 || '=' || count(*) FILTER (WHERE row_pos % 6 <> 0) AS n_by_dim, count(*) FILTER (WHERE category_slug <> 'C3' OR row_pos % 20 <> 3) AS n_ids FROM iv GROUP BY category_slug) SELECT *, n_ids <> n_vectors AS mismatch FROM s"
+)
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.index_stats(d.image_vectors(spark, sf_dir))
+    """Statistics of an index in which one vector in six is shorter and a category lacks some ids."""
+    iv = d.image_vectors(spark, sf_dir)
+    vectors = iv.withColumn("embedding", F.when(F.col("row_pos") % 6 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    found = se.index_stats(vectors, iv.filter((F.col("category_slug") != "C3") | (F.col("row_pos") % 20 != 3)))
+    shown = F.array_join(F.transform(F.map_entries("n_by_dim"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return found.withColumn("n_by_dim", shown)
 
 
 @registered("WITH p AS (SELECT lower(p_type) AS category, CASE WHEN p_size % 3 = 0 THEN 'dinov2' ELSE 'openclip' END AS backend, count(*) AS n_products FROM part GROUP BY ALL) SELECT category, backend, n_products FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n_products DESC, backend) AS r FROM p) WHERE r = 1")
@@ -173,6 +180,16 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sweep(spark, sf_dir).select("backend", "threshold", _r("rejected").alias("rejected"), _r("caught").alias("caught"))
 
 
+@registered(f"WITH {SWEEP.replace('range(30, 99) r(x)', 'range(30, 96, 5) r(x)')} SELECT backend, threshold, round(rejected, 4) AS rejected, round(caught, 4) AS caught FROM sw")
+def calibration_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibration's grid, in steps of five hundredths."""
+    lo, hi, _ = ev.CALIBRATION_GRID
+    iv, sums = d.image_vectors(spark, sf_dir), _sums(spark, sf_dir)
+    correct = se.loo_ranks(iv, sums).select("backend", F.col("own_score").alias("score"))
+    found = ev.threshold_sweep(correct, se.impostor_scores(iv, se.centroids_of(sums)), lo, hi, 5)
+    return found.select("backend", "threshold", _r("rejected").alias("rejected"), _r("caught").alias("caught"))
+
+
 @registered(f"WITH {SWEEP} SELECT backend, round(max(CASE WHEN rejected <= 1.5 THEN threshold END), 2) AS threshold, round(max(CASE WHEN rejected <= 1.5 THEN caught END), 4) AS caught FROM sw GROUP BY backend")
 def recommend_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.recommend_threshold(_sweep(spark, sf_dir), 1.5).select("backend", "threshold", _r("caught").alias("caught"))
@@ -253,10 +270,16 @@ def ring_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.ring_alternatives(d.products(spark, sf_dir).select("sku", "category"))
 
 
-@registered("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, p_name AS resolved, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM part")
+LABELS = ["brake_pad", " Brake Pads", "OIL-FILTER", "throttle body", "Wheel  Hub Assembly", "Timing Belt", ""]
+
+
+@registered(
+    f"WITH l AS (SELECT p_partkey, p_name, ({LABELS!r})[p_partkey % {len(LABELS)} + 1] AS label FROM part), s AS (SELECT *, regexp_replace(regexp_replace(lower(trim(label)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM l) SELECT p_partkey, slug, CASE slug {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in t.CATEGORY_ALIASES.items())} ELSE label END AS resolved, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM s"
+)
 def category_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = d.read(spark, sf_dir, "part")
-    return p.select("p_partkey", t.category_slug(F.col("p_name")).alias("slug"), t.resolve_category(F.col("p_name")).alias("resolved"), t.format_category(F.col("p_name")).alias("label"))
+    """Labels that are aliases of a category, written in several ways, and others."""
+    p = d.read(spark, sf_dir, "part").withColumn("raw", F.get(F.array(*map(F.lit, LABELS)), (F.col("p_partkey") % len(LABELS)).cast("int")))
+    return p.select("p_partkey", t.category_slug(F.col("raw")).alias("slug"), t.resolve_category(F.col("raw")).alias("resolved"), t.format_category(F.col("p_name")).alias("label"))
 
 
 @registered("WITH x AS (SELECT p_partkey, 1990 + p_size % 20 AS a, 1995 + p_size % 13 AS b, p_name FROM part) SELECT p_partkey, string_split(p_name, ' ')[1] AS make, array_to_string(string_split(p_name, ' ')[2:], ' ') AS model, CAST(y AS INT) AS year FROM (SELECT *, unnest(range(a, b + 1)) AS y FROM x) UNION ALL SELECT p_partkey, 'Solo', 'Solo', 2001 FROM x")
@@ -339,19 +362,27 @@ def enriched_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.enrich_candidates(found, d.products(spark, sf_dir)).withColumn("score", _r("similarity_score")).drop("similarity_score")
 
 
-@registered(f"WITH {TOP} SELECT query_id, sku AS leader, round(gap, 4) AS gap, gap >= 0.08 AS decisive, CASE WHEN gap >= 0.08 THEN 'strong' ELSE 'close' END AS label, gap < 0.05 AS requires_confirmation FROM (SELECT *, s - lead(s) OVER (PARTITION BY query_id ORDER BY rank) AS gap FROM top) WHERE rank = 1")
+@registered(
+    f"WITH {TOP}, t AS (SELECT *, s - lead(s) OVER (PARTITION BY query_id ORDER BY rank) AS gap, query_id % 5 <> 0 AS m, ((query_id * 37) % 100) / 100.0::DOUBLE AS c FROM top QUALIFY rank = 1), u AS (SELECT *, m AND gap < 0.05 AS rc FROM t) SELECT query_id, sku AS leader, round(gap, 4) AS gap, gap >= 0.08 AS decisive, CASE WHEN gap >= 0.08 THEN 'strong' ELSE 'close' END AS label, rc AS requires_confirmation, CASE WHEN m AND NOT rc THEN sku END AS selected_sku, m AND NOT rc AND c >= 0.9 AS high_confidence FROM u"
+)
 def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the first two are apart, and what follows, for results of which one in five was refused."""
     found = se.search_topk(d.queries(spark, sf_dir), _centroids(spark, sf_dir), 5)
-    return qu.separation(found).select("query_id", "leader", _r("gap").alias("gap"), "decisive", "label", "requires_confirmation")
+    found = found.withColumn("refused", F.col("query_id") % 5 == 0).withColumn("confidence", F.col("query_id") * 37 % 100 / 100)
+    shown = qu.separation(found, confidence="confidence", no_match="refused")
+    return shown.select("query_id", "leader", _r("gap").alias("gap"), "decisive", "label", "requires_confirmation", "selected_sku", "high_confidence")
 
 
-@registered(f"WITH {AU} SELECT id, predicted_category, top_sku, confirmed_sku, coalesce(confirmed_sku IS DISTINCT FROM top_sku AND confirmed_sku IS NOT NULL, false) AS corrected FROM au")
+@registered(f"WITH {AU} SELECT id, predicted_category, top_sku, confirmed_sku, CASE WHEN confirmed_sku IS NOT NULL AND id % 2 = 0 THEN '[{{\"facet\":\"brand\",\"label\":\"' || confirmed_sku || '\"}}]' END AS disambiguation, coalesce(confirmed_sku IS DISTINCT FROM top_sku AND confirmed_sku IS NOT NULL, false) AS corrected FROM au")
 def apply_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmations, of each id an early and a late one, with the questions that led to every second."""
     a = d.audit(spark, sf_dir)
-    early = a.filter("confirmed_sku is not null").select("id", F.lit("early").alias("confirmed_sku"), F.col("created_at").alias("confirmed_at"))
-    late = a.filter("confirmed_sku is not null").select("id", "confirmed_sku", (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("confirmed_at"))
+    confirmed = a.filter("confirmed_sku is not null")
+    asked = F.when(F.col("id") % 2 == 0, F.to_json(F.array(F.struct(F.lit("brand").alias("facet"), F.col("confirmed_sku").alias("label")))))
+    early = confirmed.select("id", F.lit("early").alias("confirmed_sku"), F.col("created_at").alias("confirmed_at"), F.lit("[]").alias("disambiguation"))
+    late = confirmed.select("id", "confirmed_sku", (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("confirmed_at"), asked.alias("disambiguation"))
     found, _ = au.apply_confirmations(a.drop("confirmed_sku"), early.unionByName(late))
-    return found.select("id", "predicted_category", "top_sku", "confirmed_sku", "corrected")
+    return found.select("id", "predicted_category", "top_sku", "confirmed_sku", "disambiguation", "corrected")
 
 
 @registered(f"WITH {AU} SELECT id, created_at, predicted_category FROM au ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 20")

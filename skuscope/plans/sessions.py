@@ -178,19 +178,6 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(F.broadcast(till), F.col("session_end") < F.col("till")).select("user_id", plain("session_start"), plain("session_end"), "n_turns")
 
 
-RANKED = ", ".join(f"list_sort(list(confidence))[CAST(greatest(1, ceil({p} * count(*))) AS INT)] AS {n}" for p, n in ((0.05, "p5"), (0.5, "median"), (0.95, "p95")))
-
-
-@registered(f"WITH {AU} SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP) AS window_start, count(*) AS n, round(avg(CASE WHEN top_sku IS NULL THEN 1.0 ELSE 0 END), 4) AS refusal_rate, round(avg(confidence), 4) AS mean_confidence, {RANKED} FROM au GROUP BY 1")
-def quality_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality by day out of a stream of audit rows: rates, mean confidence and its percentiles."""
-    a = d.audit(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp")).drop("user_id")
-    name = "quality_" + shared_path(spark, "q").rsplit("-", 1)[1]
-    jobs.stream_quality(_stream(spark, a, "audited"), name).awaitTermination()
-    rounded = lambda c: F.round(c, 4).alias(c)
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", rounded("refusal_rate"), rounded("mean_confidence"), "p5", "median", "p95")
-
-
 def _soft(batch):
     """A stand-in for a classifier: shares of the squares of the first ten values."""
     m = np.array([np.asarray(x[:10], np.float64) ** 2 for x in batch])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skuscope.functions import text as t
@@ -156,8 +156,17 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(path)
 
 
-def append_audit(df: DataFrame, path: str) -> None:
-    df.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+def append_audit(df: DataFrame, path: str, batch: str) -> None:
+    """Appends rows by day; a batch that is appended again replaces its own rows."""
+    rows = df.withColumn("day", F.to_date("created_at")).withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(path)
+
+
+def write_counted(df: DataFrame, path: str, **counts: Column) -> dict[str, int]:
+    """Writes df and counts, in the same pass, the rows for which each condition is true; `rows` is how many there are."""
+    seen = Observation("written")
+    df.observe(seen, F.count("*").alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()]).write.parquet(path)
+    return seen.get
 
 
 def validate_uploads(files: DataFrame) -> DataFrame:

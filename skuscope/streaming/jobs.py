@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skuscope.operators import sketches
+
 
 def stream_identify(queries: DataFrame, identify: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     """Identifies each micro-batch of queries into a folder of its own (batch_id=...), which a batch that is
@@ -24,6 +26,38 @@ def stream_audit(rows: DataFrame, path: str, checkpoint: str, delay: str = "1 ho
     return once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def audit_problem() -> Column:
+    """Why a row can't be recorded; null if it can."""
+    blank = F.coalesce(F.trim("predicted_category"), F.lit("")) == ""
+    return F.when(F.col("id").isNull(), "no id").when(F.col("created_at").isNull(), "no time").when(blank, "no category").when(F.col("confidence").isNull() | F.isnan("confidence"), "no confidence")
+
+
+def record_audit(rows: DataFrame, path: str, dead: str, checkpoint: str):
+    """Records finished predictions once each, by id and day; rows that can't be recorded go to `dead` with a reason and don't stop the others.
+
+    Each micro-batch has folders of its own (batch_id=...), which it replaces if it
+    is run again. A row whose id was recorded for its day before, or stands there
+    twice, is recorded once.
+    """
+    spark = rows.sparkSession
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        checked = batch.withColumn("problem", audit_problem()).withColumn("day", F.to_date("created_at")).persist()
+        try:
+            bad = checked.filter("problem is not null").drop("day").withColumnRenamed("problem", "reason")
+            bad.write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}")
+            good = checked.filter("problem is null").drop("problem").dropDuplicates(["id", "day"])
+            if batch_id:
+                days = [r[0] for r in good.select("day").distinct().collect()]  # of one batch
+                before = spark.read.schema(good.schema.add("batch_id", "long")).parquet(path).filter((F.col("batch_id") < batch_id) & F.col("day").isin(days)).select("id", "day")
+                good = good.join(before, ["id", "day"], "left_anti")
+            good.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            checked.unpersist()
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def join_confirmations(predictions: DataFrame, confirmations: DataFrame, within: str = "1 day") -> DataFrame:
     """Predictions (id, created_at, ...) with their confirmation (id, confirmed_at, confirmed_sku) of at most
     `within` later; those without come out once the watermark has passed. Batch tables join the same way."""
@@ -50,5 +84,33 @@ def windowed_quality(audit: DataFrame, window: str = "1 day", slide: str | None
     return found.select(F.col("w.start").alias("window_start"), "n", (F.col("refused") / F.col("n")).alias("refusal_rate"), F.try_divide("corrected", "confirmed").alias("correction_rate"), "mean_confidence", F.col("q")[0].alias("p5"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"))
 
 
-def stream_quality(audit: DataFrame, name: str, window: str = "1 day"):
-    return windowed_quality(audit, window).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def partial_quality(audit: DataFrame, window: str = "1 day") -> DataFrame:
+    """Counts by window and slot of the confidence (null without one), which add up over any batches: what
+    `quality_of` needs, with quantiles as a sketch."""
+    confirmed = F.col("confirmed_sku").isNotNull()
+    found = audit.filter("created_at is not null").groupBy(F.window("created_at", window)["start"].alias("window_start"), sketches.slot_of(F.col("confidence")).alias("slot"))
+    return found.agg(F.count("*").alias("n"), F.count_if(F.col("top_sku").isNull()).alias("refused"), F.count_if(confirmed & ~F.col("confirmed_sku").eqNullSafe(F.col("top_sku"))).alias("corrected"), F.count_if(confirmed).alias("confirmed"), F.sum("confidence").alias("total"))
+
+
+def quality_of(partials: DataFrame, by: Column | None = None) -> DataFrame:
+    """Quality by window out of `partial_quality` rows of any batches; by: a coarser span of window_start (as date_trunc gives it).
+
+    p5, median and p95 are within the sketch's accuracy of values at these ranks."""
+    spans = partials.withColumn("window_start", F.col("window_start") if by is None else by)
+    sums = spans.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in ("n", "refused", "corrected", "confirmed", "total")], F.sum(F.when(F.col("slot").isNotNull(), F.col("n"))).alias("valued"))
+    q = sketches.quantiles(spans.filter("slot is not null").select("window_start", "slot", "n"), ["window_start"], (0.05, 0.5, 0.95)).select("window_start", "q")
+    at = lambda k, name: F.get("q", k).alias(name)
+    return sums.join(q, "window_start", "left").select("window_start", "n", (F.col("refused") / F.col("n")).alias("refusal_rate"), F.try_divide("corrected", "confirmed").alias("correction_rate"), F.try_divide("total", "valued").alias("mean_confidence"), at(0, "p5"), at(1, "median"), at(2, "p95"))
+
+
+def stream_quality(audit: DataFrame, path: str, checkpoint: str, window: str = "1 day"):
+    """Writes each micro-batch's `partial_quality` to a folder of its own (batch_id=...), which it replaces if it is run again.
+
+    `quality_of` over the folder is the state; nothing of it is held in memory,
+    and rows count however late they come.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        partial_quality(batch, window).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return audit.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
