@@ -6,8 +6,9 @@ a toxic text than in a clean one; the classifier is a logistic regression over
 r * presence, so places that tell nothing weigh nothing at the start.
 
 Counts for r are taken over all labelled training rows; the regression itself
-is fitted on at most `max_fit_rows` of them (a documented bound: for each label
-half of that, the rows with the smallest md5 of the id).
+is fitted on at most `max_fit_rows` of them and `max_fit_bytes` of their places
+(documented bounds: for each label half of that, the rows with the smallest md5
+of the id).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import frugal, give_back, shuffle_width, written
+from .shared import frugal, shuffle_width, written
 
 BITS = 20
 ORDERS = (4, 5, 6)
@@ -68,26 +69,42 @@ def places(text: str | None, among: np.ndarray | None = None) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: in how many texts of each label each place occurs, in slices of places; slice -1 has the texts."""
-    totals = np.zeros((2, 1 << BITS), np.int64)
-    rows = np.zeros((2, 1), np.int64)
+    """Per task: in how many texts of each label each place that occurs does, in slices of places; slice -1 has the texts."""
+    totals = np.zeros((2, 1 << BITS), np.uint32)
+    rows = np.zeros((2, 1), np.uint32)
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             totals[label, places(text)] += 1
             rows[label] += 1
     if rows.any():
         for k, part in [(-1, rows), *enumerate(np.split(totals, SLICES, axis=1))]:
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.ascontiguousarray(part).tobytes()], pa.binary())], names=["slice", "counts"])
+            at = np.flatnonzero(part.any(axis=0))
+            if len(at):
+                yield _slice(k, at, part[:, at])
+
+
+def _slice(k: int, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([k], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([counts.astype("<u4").tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "places", "counts"])
+
+
+_SLICE = "slice int, places binary, counts binary"
+
+
+def _unsliced(places: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(places, "<u2").astype(np.int64), np.frombuffer(counts, "<u4").reshape(2, -1)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up what came for each slice, a row at a time."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
+        for k, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            at, part = _unsliced(places, counts)
+            sums.setdefault(k, np.zeros((2, (1 << BITS) // SLICES), np.uint32))[:, at] += part
     for k, counts in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["slice", "counts"])
+        at = np.flatnonzero(counts.any(axis=0))
+        yield _slice(k, at, counts[:, at])
 
 
 def _packed(at: np.ndarray) -> bytes:
@@ -128,61 +145,81 @@ def _sent(ids: DataFrame, limit: int = 2_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= limit else ids
 
 
-def train(docs: DataFrame, marks: DataFrame, *, max_fit_rows: int = 12_000, epochs: int = 6, l2: float = 1e-4, threshold: float = 0.7) -> ToxicityModel:
+def train(docs: DataFrame, marks: DataFrame, *, max_fit_rows: int = 12_000, max_fit_bytes: int = 32 << 20, epochs: int = 6, l2: float = 1e-4, threshold: float = 0.7) -> ToxicityModel:
     """Trains on docs(id, text) whose id is in marks(id, label), label 0 or 1, one row an id.
 
     Null labels don't count; null and empty texts have no n-grams; repeated rows
     count as often as they stand there; texts of any length count once each.
     With no rows of either label every score is 0.5. What comes to the driver is bounded by
-    2**BITS counts and by max_fit_rows texts' places.
+    2**BITS counts, and by max_fit_rows texts' places of at most max_fit_bytes in all:
+    each label has half of both, for its first rows in the order of md5.
     """
     docs = docs.select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = written(marks.filter("label in (0, 1) and id is not null"), "marks")
-    schema = "slice int, counts binary"
-    counted = docs.join(_sent(marks), "id").select("text", "label").mapInArrow(frugal(_counts), schema).repartition(shuffle_width(docs.sparkSession), "slice").mapInArrow(_summed, schema).toArrow()
-    parts = {k: np.frombuffer(x, np.int64).reshape(2, -1) for k, x in zip(*(c.to_pylist() for c in counted.columns))}
-    if -1 not in parts or not parts[-1].all():
+    counted = docs.join(_sent(marks), "id").select("text", "label").mapInArrow(frugal(_counts), _SLICE).repartition(shuffle_width(docs.sparkSession), "slice").mapInArrow(_summed, _SLICE).toArrow()
+    wide = (1 << BITS) // SLICES
+    totals, texts = np.full((2, 1 << BITS), PRIOR), np.zeros(2)
+    for k, places_, counts in zip(*(c.to_pylist() for c in counted.columns)):
+        at, part = _unsliced(places_, counts)
+        if k < 0:
+            texts = part[:, 0].astype(float)
+        else:
+            totals[:, k * wide + at] += part
+    del counted
+    if not texts.all():
         return ToxicityModel(np.zeros(1 << BITS), 0.0, threshold)
-    texts = parts[-1][:, 0]
-    clean, toxic = np.concatenate([parts[k] for k in range(SLICES)], axis=1) + PRIOR
+    clean, toxic = totals
     ratio = np.log(toxic / (texts[1] + 2 * PRIOR)) - np.log(clean / (texts[0] + 2 * PRIOR))
     # What chance alone explains says nothing: ratios shrink by three standard errors.
     ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - 3 * np.sqrt(1 / toxic + 1 / clean))
     ratio[(toxic + clean) < 2 * PRIOR + 3] = 0
+    del totals, clean, toxic
 
     informative = docs.sparkSession.sparkContext.broadcast(ratio != 0)
 
     def bits(batches):
         for batch in batches:
             found = [places(x, informative.value) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(map(_packed, found), pa.binary())], names=["label", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(map(_packed, found), pa.binary())], names=["label", "turn", "places"])
 
     order = F.md5(F.col("id").cast("string"))
     picked = marks.filter("label = 0").orderBy(order, "id").limit(max_fit_rows // 2).union(marks.filter("label = 1").orderBy(order, "id").limit(max_fit_rows // 2))
-    sample = docs.join(F.broadcast(picked), "id").select("text", "label").mapInArrow(bits, "label int, places binary").toArrow()
-    rows = sorted(zip(sample.column("places").to_pylist(), sample.column("label").to_pylist()))
-    del sample, counted, parts, toxic, clean
-    give_back()
-    label = np.array([y for _, y in rows])
-    weights, bias = _fit([x for x, _ in rows], label.astype(float), ratio, epochs, l2)
+    sample = docs.join(F.broadcast(picked), "id").select("text", "label", order.alias("turn")).mapInArrow(bits, "label int, turn string, places binary")
+    rows, label = _bounded(written(sample, "fit-sample"), max_fit_bytes)
+    weights, bias = _fit(rows, label.astype(float), ratio, epochs, l2)
     fitted = np.bincount(label, minlength=2)
     bias += math.log(texts[1] / fitted[1]) - math.log(texts[0] / fitted[0])  # the labels' shares among all rows
     informative.destroy()
-    del rows
-    give_back()
     return ToxicityModel(weights, bias, threshold)
 
 
+def _bounded(sample: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The places and labels of sample's first rows in turn, of each label up to half of `most` bytes, one row at least."""
+    sizes = sorted((r.label, r.turn, r.n) for r in sample.select("label", "turn", F.length("places").alias("n")).collect())
+    last: dict[int, str] = {}
+    for label in {x for x, _, _ in sizes}:
+        held = 0
+        for _, turn, n in (x for x in sizes if x[0] == label):
+            held += n
+            if held > most // 2 and label in last:
+                break
+            last[label] = turn
+    within = [(F.col("label") == label) & (F.col("turn") <= turn) for label, turn in last.items()]
+    found = sample.filter(within[0] | within[-1]).select("places", "label").toArrow()
+    rows = sorted(zip(found.column("places").to_pylist(), found.column("label").to_pylist()))
+    return [x for x, _ in rows], np.array([y for _, y in rows])
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_column: str = "text") -> DataFrame:
     """Adds `score` (0 to 1) and `predicted` (1 from model.threshold on) to docs.
 
     Whole texts of any length are scored, null as empty; equal texts have equal
     scores; repeated rows have a row each; all columns of docs stay (columns of docs named score or predicted are
-    replaced); an empty table gives an empty result. The model (a fixed 8 MB)
+    replaced); an empty table gives an empty result. The model (a fixed 5 MB)
     is broadcast.
     """
     docs = docs.drop("score", "predicted")
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.weights != 0, model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.weights != 0, model.bias))
     text_at = docs.columns.index(text_column)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +228,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_column: str =
             found = []
             for text in batch.column(text_at).to_pylist():
                 at = places(text, informative)
-                z = weights[at].sum() + bias
+                z = weights[at].sum(dtype=np.float64) + bias
                 found.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(z))))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
 

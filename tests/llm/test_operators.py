@@ -479,3 +479,11 @@ def test_toxicity(spark, none):
     assert len({r["score"] for r in toxicity.score_toxicity(long, model).collect()}) == 2
     untrained = toxicity.train_on_labels(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score_toxicity(docs, untrained).collect()} == {0.5}
+    # A bound on bytes keeps the first rows of each label, and some of both.
+    small = toxicity.train_on_labels(docs, labels, max_fit_bytes=20_000)
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, small).collect()}
+    assert sum(found[i] == y for i, y in held) >= 0.95 * len(held)
+    sample = spark.createDataFrame([(y, f"{i:03}", bytes(50 + i)) for i in range(40) for y in (0, 1)], "label int, turn string, places binary")
+    for most, n in ((1 << 20, 80), (400, 6), (1, 2)):
+        rows, marks = toxicity._bounded(sample, most)
+        assert len(rows) == n and sorted(marks.tolist()) == [0] * (n // 2) + [1] * (n // 2) and (n == 2 or sum(map(len, rows)) <= most)
