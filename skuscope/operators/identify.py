@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,29 +13,33 @@ from skuscope.operators.catalog import recommend
 from skuscope.operators.search import search_topk
 
 
-# The sentences of prompts and summaries.
-STATED = ("Predicted category: ", " (confidence: ", ")")
-UNCONFIRMED = ("Category (unconfirmed - nothing in the catalog matched): ", " at ", " confidence")
-NOT_RECOGNISED = ("Category: NOT RECOGNISED. The classifier's best guess reached only ", " confidence, which is too low to state. Do not name a category in your reply.")
-TOP_MATCHES, MATCH = "Top matched SKUs (by visual similarity):", ("  - ", " (similarity: ", ")")
-MATCHED, NO_MATCHED = "Matched catalog product: ", "No confident catalog match was found for the top SKU."
-FITS, FITS_NOTHING = "Compatible vehicles: ", "Compatible vehicles: not specified in the catalog."
-ALTERNATIVES, ACCESSORIES = "Alternative/replacement SKUs: ", "Related accessory SKUs: "
+# The sentences of prompts and summaries, with %s where a value stands.
+STATED = "Predicted category: %s (confidence: %s)"
+UNCONFIRMED = "Category (unconfirmed - nothing in the catalog matched): %s at %s confidence"
+NOT_RECOGNISED = "Category: NOT RECOGNISED. The classifier's best guess reached only %s confidence, which is too low to state. Do not name a category in your reply."
+TOP_MATCHES = "Top matched SKUs (by visual similarity):"
+MATCH = "  - %s (similarity: %s)"
+MATCHED = "Matched catalog product: %s — %s (%s)"
+NO_MATCHED = "No confident catalog match was found for the top SKU."
+FITS = "Compatible vehicles: %s"
+FITS_NOTHING = "Compatible vehicles: not specified in the catalog."
+ALTERNATIVES = "Alternative/replacement SKUs: %s"
+ACCESSORIES = "Related accessory SKUs: %s"
 REFUSED = "The image was not recognized as a catalog part"
-CLOSEST = ("No catalog entry cleared the ", " match threshold; the closest scored ")
+CLOSEST = "No catalog entry cleared the %s match threshold; the closest scored %s"
 NOTHING_FOUND = "The visual search returned no catalog entries for this part"
-STRONG = ("Strong score separation from lower-ranked candidates (+", ")")
-CLOSE = ("Close score separation from the next candidate (", " apart), so confirmation is recommended")
-CATEGORY, HIGHEST = "Predicted category: ", ("Highest visual similarity among catalog candidates (", ")")
+CATEGORY = "Predicted category: %s"
+HIGHEST = "Highest visual similarity among catalog candidates (%s)"
+STRONG = "Strong score separation from lower-ranked candidates (+%s)"
+CLOSE = "Close score separation from the next candidate (%s apart), so confirmation is recommended"
 # End of the fixed values.
 
 
-def _sentence(parts: tuple, *values):
-    """The values between the parts of a sentence."""
-    columns = [F.lit(parts[0])]
-    for value, part in zip(values, parts[1:]):
-        columns += [value, F.lit(part)]
-    return F.concat(*columns, *values[len(parts) - 1 :])
+def _sentence(template: str, *values) -> Column:
+    """A sentence with its values; null if one of them is."""
+    columns = [F.col(v) if isinstance(v, str) else v for v in values]
+    known = reduce(lambda a, b: a & b, [c.isNotNull() for c in columns])
+    return F.when(known, F.format_string(template, *columns))
 
 
 def rank_categories(df: DataFrame, labels: list[str], strict: bool = False, column: str = "probabilities") -> DataFrame:
@@ -122,10 +128,10 @@ def build_prompts(df: DataFrame) -> DataFrame:
     claim = t.category_claim(F.col("no_match"), F.col("confidence"))
     line = F.when(claim == "stated", _sentence(STATED, F.col("predicted_category"), confidence)).when(claim == "unconfirmed", _sentence(UNCONFIRMED, F.col("predicted_category"), confidence)).otherwise(_sentence(NOT_RECOGNISED, confidence))
     shown = F.transform(F.slice("results", 1, 5), lambda r: _sentence(MATCH, r["sku"], percent(r["similarity_score"])))
-    matched = F.concat(F.lit(MATCHED), "product.sku", F.lit(" — "), "product.product_name", F.lit(" ("), "product.brand", F.lit(")"))
-    fits = F.when(F.coalesce(F.col("product.fitment"), F.lit("")) != "", F.concat(F.lit(FITS), "product.fitment")).otherwise(FITS_NOTHING)
+    matched = _sentence(MATCHED, "product.sku", "product.product_name", "product.brand")
+    fits = F.when(F.coalesce(F.col("product.fitment"), F.lit("")) != "", _sentence(FITS, "product.fitment")).otherwise(FITS_NOTHING)
     body = F.when(F.col("product").isNotNull(), F.array(F.lit(""), matched, fits)).otherwise(F.array(F.lit(""), F.lit(NO_MATCHED)))
-    listed = lambda c, label: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
+    listed = lambda c, label: F.when(F.size(c) > 0, _sentence(label, F.array_join(c, ", ")))
     tail = F.array_compact(F.array(listed("alternatives", ALTERNATIVES), listed("accessories", ACCESSORIES)))
     return df.select("query_id", F.array_join(F.concat(F.array(line, F.lit(TOP_MATCHES)), shown, body, tail), "\n").alias("prompt"))
 
@@ -135,5 +141,5 @@ def summary_lines(df: DataFrame) -> DataFrame:
     score, gap = F.col("top_score"), F.col("gap")
     refused = F.array(F.lit(REFUSED), F.when(score.isNotNull(), _sentence(CLOSEST, t.format_percent(F.col("no_match_threshold")), t.format_percent(score))).otherwise(NOTHING_FOUND))
     apart = F.when(gap >= 0.08, _sentence(STRONG, t.format_gap(gap))).when(gap.isNotNull(), _sentence(CLOSE, t.format_gap(gap)))
-    matched = F.array_compact(F.array(F.concat(F.lit(CATEGORY), t.format_category(F.col("predicted_category"))), F.when(score.isNotNull(), _sentence(HIGHEST, t.format_percent(score))), apart))
+    matched = F.array_compact(F.array(_sentence(CATEGORY, t.format_category(F.col("predicted_category"))), F.when(score.isNotNull(), _sentence(HIGHEST, t.format_percent(score))), apart))
     return df.select("query_id", F.when(F.col("no_match"), refused).otherwise(matched).alias("lines"))

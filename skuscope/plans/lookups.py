@@ -137,7 +137,7 @@ def mirror_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    f"WITH {IV}, q AS (SELECT row_pos AS query_id, category_slug, e, row_pos % 2 AS wide FROM iv WHERE row_pos % 10 IN (0, 5)), s AS (SELECT q.query_id, CAST(p.row_pos AS VARCHAR) AS sku, list_inner_product(q.e, p.e) * CASE WHEN wide = 1 THEN 12 ELSE 8 END AS score FROM q JOIN iv p ON q.category_slug = p.category_slug AND q.wide = p.row_pos % 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sku) AS rank FROM s) SELECT query_id, sku, CAST(rank AS INT) AS rank, round(score, 3) AS score FROM r WHERE rank <= 4"
+    f"WITH {IV}, q AS (SELECT row_pos AS query_id, category_slug, e, row_pos % 2 AS wide FROM iv), s AS (SELECT q.query_id, CAST(p.row_pos AS VARCHAR) AS sku, list_inner_product(q.e, p.e) * CASE WHEN wide = 1 THEN 12 ELSE 8 END AS score FROM q JOIN iv p ON q.category_slug = p.category_slug AND q.wide = p.row_pos % 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sku) AS rank FROM s) SELECT query_id, sku, CAST(rank AS INT) AS rank, round(score, 3) AS score FROM r WHERE rank <= 4"
 )
 def search_products_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products' own vectors of two dimensions, searched by queries of both."""
@@ -145,7 +145,7 @@ def search_products_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.col("row_pos") % 2 == 1
     repeated = lambda n: F.flatten(F.array_repeat("embedding", n))
     products = iv.select(F.col("row_pos").cast("string").alias("sku"), F.upper("category_slug").alias("category"), F.when(wide, repeated(12)).alias("embedding_768"), F.when(~wide, repeated(8)).alias("embedding_512"))
-    queries = iv.filter("row_pos % 10 in (0, 5)").select(F.col("row_pos").alias("query_id"), F.lower("category_slug").alias("category"), F.when(wide, repeated(12)).otherwise(repeated(8)).alias("embedding"))
+    queries = iv.select(F.col("row_pos").alias("query_id"), F.lower("category_slug").alias("category"), F.when(wide, repeated(12)).otherwise(repeated(8)).alias("embedding"))
     return se.search_products_table(queries, products, 4).select("query_id", "sku", "rank", F.round("similarity_score", 3).alias("score"))
 
 
