@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from skuscope.operators import sketches
 
@@ -49,7 +50,7 @@ def record_audit(rows: DataFrame, path: str, dead: str, checkpoint: str):
             good = checked.filter("problem is null").drop("problem").dropDuplicates(["id", "day"])
             if batch_id:
                 days = [r[0] for r in good.select("day").distinct().collect()]  # of one batch
-                before = spark.read.schema(good.schema.add("batch_id", "long")).parquet(path).filter((F.col("batch_id") < batch_id) & F.col("day").isin(days)).select("id", "day")
+                before = spark.read.schema(StructType([*good.schema.fields, StructField("batch_id", LongType())])).parquet(path).filter((F.col("batch_id") < batch_id) & F.col("day").isin(days)).select("id", "day")
                 good = good.join(before, ["id", "day"], "left_anti")
             good.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
         finally:
