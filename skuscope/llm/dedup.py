@@ -92,14 +92,14 @@ def stretches(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     n = len(raw)
     if n < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    base, code, size = np.uint64(0x9E3779B97F4A7C15), raw.astype(np.uint64), 1
+    base, code, size = 0x9E3779B97F4A7C15, raw.astype(np.uint64), 1
     single, power = code, base
     for bit in bin(gram)[3:]:
-        code, size = code[: n - 2 * size + 1] * power + code[size:], 2 * size
-        power = power * power
+        code, size = code[: n - 2 * size + 1] * np.uint64(power) + code[size:], 2 * size
+        power = power * power % (1 << 64)
         if bit == "1":
-            code, size = code[: n - size] * base + single[size:], size + 1
-            power = power * base
+            code, size = code[: n - size] * np.uint64(base) + single[size:], size + 1
+            power = power * base % (1 << 64)
     code ^= code >> np.uint64(31)
     code *= np.uint64(0xBF58476D1CE4E5B9)
     code ^= code >> np.uint64(29)
@@ -186,11 +186,29 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
         yield place, held
 
 
+class _Held:
+    """Columns of STRETCH that wait to be sent together; they go when they have `most` bytes, however many places a task has."""
+
+    def __init__(self, most: int = 64 << 20):
+        self.most, self.size, self.parts = most, 0, []
+
+    def add(self, columns: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        self.parts.append(columns)
+        self.size += sum(x.nbytes for x in columns.values())
+        if self.size >= self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[dict[str, np.ndarray]]:
+        parts, self.parts, self.size = self.parts, [], 0
+        if parts:
+            yield {k: np.concatenate([x[k] for x in parts]) for k, _ in STRETCH}
+
+
 def _shared(places: int):
     """Passes on the stretches whose minimizer is in two documents or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = []
+        kept = _Held()
         for place, raws in _grouped(batches):
             if place < 0:
                 yield from _rows([(-1 - place, pack(STRETCH, joined(STRETCH, raws)))])
@@ -205,10 +223,10 @@ def _shared(places: int):
             mask &= columns["known"] == 0  # the known ones have been passed on
             found = {k: columns[k][mask] for k, _ in STRETCH}
             found["h"] = np.full(mask.sum(), place, np.uint32)
-            kept.append(found)
-        if kept:
-            all_kept = {k: np.concatenate([x[k] for x in kept]) for k, _ in STRETCH}
-            yield from _rows(by_place(STRETCH, all_kept, all_kept["rid"] % places))
+            for whole in kept.add(found):
+                yield from _rows(by_place(STRETCH, whole, whole["rid"] % places))
+        for whole in kept.rest():
+            yield from _rows(by_place(STRETCH, whole, whole["rid"] % places))
 
     return run
 
@@ -327,8 +345,8 @@ def _finer(raw: bytes, gram: int, buckets: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _sorted_shards(places: int, memory: int, most: int, own_gram: int, gram: int | None, buckets: int):
-    """Marks the windows of a shard's stretches that repeat one of a smaller document. Stretches whose minimizer no
-    other text has (passages that are the same wherever they stand) need no sorting. A place with over `most`
+    """Marks the windows of a shard's stretches that repeat one of a smaller document. Stretches whose minimizers, of
+    GRAM bytes and of 35, no other text has (passages that are the same wherever they stand) need no sorting. A place with over `most`
     bytes is not sorted (unless gram is None) but sent on, cut finer by a longer gram; of it no more than `most` is held."""
 
     def shards(raws: list[bytes]) -> Iterator[list[tuple[tuple, bytes]]]:
@@ -359,6 +377,8 @@ def _sorted_shards(places: int, memory: int, most: int, own_gram: int, gram: int
         fragments = list(best)
         info = np.array([best[x] for x in fragments], np.int64)
         some = compared(fragments, own_gram)
+        if own_gram < FINER_GRAMS[0] and some.any():  # of these, those that have a longer gram in common as well
+            some[some] = compared([x for x, ok in zip(fragments, some) if ok], FINER_GRAMS[0])
         flags = np.zeros(info[:, 3].sum(), bool)
         if some.any():
             flags[np.repeat(some, info[:, 3])] = repeated_windows([x for x, ok in zip(fragments, some) if ok], info[some, 0], info[some, 3], memory=memory)
@@ -383,13 +403,19 @@ def _sorted_shards(places: int, memory: int, most: int, own_gram: int, gram: int
         return {n: np.concatenate([np.array(x, np.int64) for x in v]) for n, v in (("rid", rids), ("start", starts), ("count", counts))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[dict] = []
+        found = _Held()
         held: list[bytes] = []
         size, place, over = 0, None, False
 
-        def sort() -> None:
+        def sent(whole: dict) -> Iterator[pa.RecordBatch]:
+            return _rows((-1 - p, raw) for p, raw in by_place(STRETCH, whole, whole["rid"] % places))
+
+        def sort() -> Iterator[pa.RecordBatch]:
             if held and not over:
-                found.extend(marks(members) for members in shards(held))
+                for members in shards(held):
+                    columns = marks(members)
+                    for whole in found.add({**columns, "h": np.zeros(len(columns["rid"]), np.uint32)}):
+                        yield from sent(whole)
             held.clear()
 
         for batch in batches:
@@ -398,7 +424,7 @@ def _sorted_shards(places: int, memory: int, most: int, own_gram: int, gram: int
                     yield from _rows([(p, raw)])
                     continue
                 if p != place:
-                    sort()
+                    yield from sort()
                     place, size, over = p, 0, False
                 held.append(raw)
                 size += len(raw)
@@ -407,11 +433,9 @@ def _sorted_shards(places: int, memory: int, most: int, own_gram: int, gram: int
                     for x in held:
                         yield from _rows(_finer(x, gram, buckets))
                     held.clear()
-        sort()
-        if found:
-            cols = {n: np.concatenate([x[n] for x in found]) for n in ("rid", "start", "count")}
-            cols["h"] = np.zeros(len(cols["rid"]), np.uint32)
-            yield from _rows((-1 - p, raw) for p, raw in by_place(STRETCH, cols, cols["rid"] % places))
+        yield from sort()
+        for whole in found.rest():
+            yield from sent(whole)
 
     return run
 
