@@ -18,8 +18,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round hangs the larger neighbours of every node on its smallest one
     (large star), then the smaller ones (small star), until nothing changes:
     a number of rounds that grows with the logarithm of the longest path. A
-    node's smallest neighbour is a grouped minimum that is joined back, so a
-    hub's links are never gathered in one task. Rounds are cut by tables in the
+    node's smallest neighbour is a grouped minimum that is joined back: a hub's
+    links pass through that join one by one, in one task unless adaptive execution
+    splits it, and are never held as a group. Rounds are cut by tables in the
     shared folder. Nodes without a link (or linked to themselves only) have no row.
     """
     big, small = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")

@@ -224,9 +224,10 @@ _RANGE = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
     """Adds what the container of `column` says: codec, width, height, duration (seconds),
     n_samples and keyframes (byte ranges), all null where it isn't such a container or is damaged.
-    Only boxes and sample tables are read, no sample."""
-    at = df.columns.index(column)
+    Only boxes and sample tables are read, no sample. Columns of df with these names are replaced."""
     new = {"codec": pa.string(), "width": pa.int32(), "height": pa.int32(), "duration": pa.float64(), "n_samples": pa.int64(), "keyframes": pa.list_(_RANGE)}
+    df = df.drop(*(n for n in new if n != column))
+    at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -487,3 +487,16 @@ def test_toxicity(spark, none):
     for most, n in ((1 << 20, 80), (400, 6), (1, 2)):
         rows, marks = toxicity._bounded(sample, most)
         assert len(rows) == n and sorted(marks.tolist()) == [0] * (n // 2) + [1] * (n // 2) and (n == 2 or sum(map(len, rows)) <= most)
+
+
+def test_media_columns_replace_columns_of_their_names(docs):
+    stored = media.store_as_media(docs).withColumn("codec", F.lit(1)).withColumn("keyframes", F.lit("x"))
+    row = media.media_columns(stored).filter("id = 41").select("codec", "keyframes", "n_samples").first()
+    assert isinstance(row.codec, str) and row.keyframes and row.n_samples > 0
+
+
+def test_warc_of_repeated_rows(spark):
+    rows = [(5, "http://h/", "same"), (5, "http://h/", "same"), (3, "http://h/", "same"), (7, "http://h/", "other"), (7, "http://h/", "other"), (None, "http://h/", "same")]
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    # Rows with the payload's largest id are responses, however often they stand there, as are rows without an id.
+    assert got == {(5, "response", None): 2, (3, "revisit", 5): 1, (7, "response", None): 2, (None, "response", None): 1}
