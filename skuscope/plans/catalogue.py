@@ -318,11 +318,16 @@ def facet_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qu.facet_options(left, rows).select("session_id", "facet", "label", F.array_join("skus", ",").alias("skus"))
 
 
-@registered(f"WITH {OPT} SELECT session_id, facet, n_options, worst FROM nxt")
+def _prompt_sql(k: int) -> str:
+    quoted = {facet: x[k].replace("'", "''") for facet, x in t.PROMPTS.items()}
+    return f"CASE facet {' '.join(f'WHEN {facet!r} THEN ' + chr(39) + x + chr(39) for facet, x in quoted.items())} END"
+
+
+@registered(f"WITH {OPT} SELECT session_id, facet, {_prompt_sql(0)} AS prompt, {_prompt_sql(1)} AS hint, n_options, worst FROM nxt")
 def next_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = d.answers(spark, sf_dir)
     found = qu.next_question(d.candidates(spark, sf_dir), _session_fitment(spark, sf_dir), a, a.filter("skipped"))
-    return found.select("session_id", "facet", "n_options", "worst")
+    return found.select("session_id", "facet", "prompt", "hint", "n_options", "worst")
 
 
 @registered(f"WITH {CA} SELECT session_id, sku FROM rem")

@@ -117,24 +117,24 @@ def repointed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sidecars(spark: SparkSession, sf_dir: str) -> str:
-    """Sidecars of each category: C9 has no meta, C8's meta says nothing."""
+    """Sidecars of each category: C9 has no meta, C8's meta says nothing, C7's ids can't be read, C6 has none."""
     root = shared_path(spark, "sidecars")
     iv = d.image_vectors(spark, sf_dir)
     skus = F.transform(F.sort_array(F.collect_list(F.struct("row_pos", "sku"))), lambda e: e["sku"])
     groups = iv.groupBy("category_slug", "backend").agg(F.to_json(skus).alias("ids"))
-    ids = groups.select(F.concat("category_slug", F.lit(".ids.json")).alias("path"), F.col("ids").alias("data"))
+    ids = groups.filter("category_slug <> 'C6'").select(F.concat("category_slug", F.lit(".ids.json")).alias("path"), F.when(F.col("category_slug") == "C7", "[cut").otherwise(F.col("ids")).alias("data"))
     said = F.to_json(F.struct("backend", F.lit(True).alias("remove_bg"), F.lit("per_image").alias("vectors")))
     meta = groups.filter("category_slug <> 'C9'").select(F.concat("category_slug", F.lit(".meta.json")).alias("path"), F.when(F.col("category_slug") == "C8", "{}").otherwise(said).alias("data"))
     src.write_files(ids.unionByName(meta), root)
     return root
 
 
-@registered(f"WITH {IV} SELECT category_slug, CAST(row_number() OVER (PARTITION BY category_slug ORDER BY row_pos) - 1 AS INT) AS row_pos, sku, CASE WHEN category_slug IN ('C8', 'C9') THEN 'unknown' ELSE backend END AS backend, CASE WHEN category_slug NOT IN ('C8', 'C9') THEN true END AS remove_bg FROM iv")
+@registered(f"WITH {IV} SELECT category_slug, CAST(row_number() OVER (PARTITION BY category_slug ORDER BY row_pos) - 1 AS INT) AS row_pos, sku, CASE WHEN category_slug IN ('C8', 'C9') THEN 'unknown' ELSE backend END AS backend, CASE WHEN category_slug NOT IN ('C8', 'C9') THEN true END AS remove_bg FROM iv WHERE category_slug NOT IN ('C6', 'C7')")
 def index_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.read_index_sidecars(spark, _sidecars(spark, sf_dir)).select("category_slug", "row_pos", "sku", "backend", "remove_bg")
 
 
-@registered(f"WITH {IV} SELECT DISTINCT category_slug, CASE category_slug WHEN 'C8' THEN 'backend unknown: not in meta' ELSE 'backend unknown: no meta' END AS problem FROM iv WHERE category_slug IN ('C8', 'C9')")
+@registered(f"WITH {IV} SELECT DISTINCT category_slug, CASE category_slug WHEN 'C6' THEN 'skipped: no ids' WHEN 'C7' THEN 'skipped: ids unreadable' WHEN 'C8' THEN 'backend unknown: not in meta' ELSE 'backend unknown: no meta' END AS problem FROM iv WHERE category_slug IN ('C6', 'C7', 'C8', 'C9')")
 def sidecar_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.sidecar_problems(spark, _sidecars(spark, sf_dir))
 

@@ -176,3 +176,17 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 7
     confirmations = rows.limit(1).select("id", (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("confirmed_at"), F.lit("z").alias("confirmed_sku"))
     assert jobs.join_confirmations(rows.dropDuplicates(["id"]), confirmations).filter("confirmed_sku is not null").count() == 1
+
+
+def test_ranges_in_first_seen_order(spark):
+    rows = [(1, "Ford", 2012), (2, "Audi", 2015), (3, "Ford", 2013), (4, "Ford", 2017), (5, "Audi", 2014), (0, "Seat", None)]
+    years = spark.createDataFrame([("a", make, "M", year, at) for at, make, year in rows], "sku string, make string, model string, year int, at int")
+    got = fi.collapse_fitment_years(years, order="at").orderBy("seen_at", "year_start").collect()
+    assert [(r.make, r.year_start, r.year_end, r.seen_at) for r in got] == [("Ford", 2012, 2013, 1), ("Ford", 2017, 2017, 1), ("Audi", 2014, 2015, 2)]
+
+
+def test_strict_ranking_rejects_unknown_places(spark):
+    rows = spark.createDataFrame([(1, [0.2, 0.8]), (2, [0.1, 0.2, 0.7]), (3, [0.5, 0.5])], "query_id long, probabilities array<double>")
+    shown = lambda df: {r.query_id: [x.label for x in r.ranking] for r in df.collect()}
+    assert shown(ident.rank_categories(rows, ["a", "b"])) == {1: ["b", "a"], 2: ["class_2", "b", "a"], 3: ["a", "b"]}
+    assert shown(ident.rank_categories(rows, ["a", "b"], strict=True)) == {1: ["b", "a"], 3: ["a", "b"]}
