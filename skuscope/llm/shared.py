@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import tempfile
@@ -34,7 +35,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/skuscope/{name}-{uuid.uuid4().hex}"
 
 
-_OPEN: list[list[str]] = []
+#: The lists of the temporary_tables that are open in this thread, so that jobs of other threads keep theirs.
+_OPEN: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open_tables", default=())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     no longer depends on df's shuffles, and reads only the columns it needs."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    for made in _OPEN:
+    for made in _OPEN.get():
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,11 +58,11 @@ def delete(spark: SparkSession, path: str) -> None:
 def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
     """Collects the paths of what is `written` within; those that are still listed at the end are deleted."""
     made: list[str] = []
-    _OPEN.append(made)
+    before = _OPEN.set((*_OPEN.get(), made))
     try:
         yield made
     finally:
-        _OPEN.remove(made)
+        _OPEN.reset(before)
         for path in made:
             delete(spark, path)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import frugal, shuffle_width, text_or_empty
 
 _BYTES_A_BATCH = 32 << 20
-_BUCKETS_A_PARTITION = 8
+_BUCKETS_A_PARTITION, _MOST_BUCKETS = 8, 4096  # of pre-tokens; a batch has a row for each bucket, so their number doesn't grow with the cluster
 # Fixed value: how a byte-level pre-tokenizer with its own pattern cuts a text.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -195,7 +195,7 @@ def count_tokens(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_
     are not read.
     """
     width = shuffle_width(docs.sparkSession)
-    buckets = _BUCKETS_A_PARTITION * width  # several a partition, so that none is empty and none has much more than others
+    buckets = min(_BUCKETS_A_PARTITION * width, _MOST_BUCKETS)  # several a partition, so that none is empty and none has much more than others
     sent = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(frugal(_frequencies(path, buckets)), _SENT_DDL)
     part = sent.repartition(width, "bucket").mapInArrow(frugal(_counted(path)), "batch string, bucket int, ids array<long>, values binary")
     total = part.repartition(width, "batch").mapInArrow(_totals, "id long, n_bytes long, n_tokens long")
