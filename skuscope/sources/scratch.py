@@ -8,13 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset, a temporary folder in local sessions and the warehouse elsewhere."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local sessions and the warehouse elsewhere, which it is then set to."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         local = spark.sparkContext.master.split("[")[0] == "local"
         root = f"file://{tempfile.mkdtemp(prefix='skuscope-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/skuscope/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/skuscope/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
