@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, written
+from .shared import frugal, text_or_empty, written
 
 #: A sample is one 8 x 8 picture of 8-bit red, green and blue.
 SIDE, SAMPLE = 8, 192
@@ -215,7 +215,7 @@ def store_as_media(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     Null texts are empty, which gives one sample of spaces; nulls stay in id;
     repeated rows have a row each; other columns are not read.
     """
-    return docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(_store, "id long, n_bytes long, media binary")
+    return docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(frugal(_store), "id long, n_bytes long, media binary")
 
 
 _RANGE = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -242,20 +242,20 @@ def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, new[n]) for n, v in out.items())], names=[*batch.schema.names, *new])
 
     fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "codec string", "width int", "height int", "duration double", "n_samples long", "keyframes array<struct<start: bigint, end: bigint>>"]
-    return df.mapInArrow(run, ", ".join(fields))
+    return df.mapInArrow(frugal(run), ", ".join(fields))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(row: dict) -> dict:
+        data = row["media"]
+        payload = samples(data, probe(data))
+        keys = [v for r in row["keyframes"] for v in (r["start"], r["end"])]
+        feature = f"{row['codec'].strip()} {row['width']}x{row['height']} {row['duration']:.2f}s {row['n_samples']} samples {len(keys) // 2} keyframes {zlib.crc32(_numbers(keys, '>u8')):08x}"
+        return {"doc_id": row["id"], "n_bytes": row["n_bytes"], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": feature}
+
     for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            data = row["media"]
-            payload = samples(data, probe(data))
-            keys = [v for r in row["keyframes"] for v in (r["start"], r["end"])]
-            feature = f"{row['codec'].strip()} {row['width']}x{row['height']} {row['duration']:.2f}s {row['n_samples']} samples {len(keys) // 2} keyframes {zlib.crc32(_numbers(keys, '>u8')):08x}"
-            rows.append({"doc_id": row["id"], "n_bytes": row["n_bytes"], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": feature})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows)
+        for k in range(0, len(batch), 512):
+            yield pa.RecordBatch.from_pylist([digest(row) for row in batch.slice(k, 512).to_pylist()])
 
 
 def stored_digests(docs: DataFrame) -> DataFrame:
@@ -266,4 +266,4 @@ def stored_digests(docs: DataFrame) -> DataFrame:
     table gives an empty result; other columns are not read.
     """
     stored = written(store_as_media(docs), "media")
-    return media_columns(stored).mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media_columns(stored).mapInArrow(frugal(_digest), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
