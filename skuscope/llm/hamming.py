@@ -82,7 +82,8 @@ def _wide(codes: list[bytes], words: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(8 * words, b"\0") for x in codes), "<u8").reshape(len(codes), words)
 
 
-_FOUND = pa.schema([("query", pa.binary()), ("code", pa.binary()), ("distance", pa.int32())])
+_FOUND = pa.schema([("query", pa.binary()), ("code", pa.binary()), ("distance", pa.int32()), ("rows", pa.int64())])
+_LEAST_SHARDS = 32  # where one would do, so that small tables are searched by several tasks
 
 
 def _searched(k: int, words: int):
@@ -108,6 +109,7 @@ def _searched(k: int, words: int):
                 out["query"] += [code] * len(at)
                 out["code"] += [codes[i] for i in at.tolist()]
                 out["distance"] += distance.tolist()
+                out["rows"] += members[at].tolist()
             yield pa.RecordBatch.from_pydict(out, _FOUND)
 
     return run
@@ -118,11 +120,11 @@ def top_k(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str =
 
     Equal codes are one entry of the index, with the number of its rows and its
     k smallest ids, which is all of it that can be in an answer. Codes are
-    dealt out to as many shards as the cluster has partitions, more if these
-    would have over `shard` codes. A shard's index is built once, and the query
-    codes stream through it in sorted order, searched exactly by multi-index
-    hashing; the shards' answers are merged. Ties go to the smaller id; a query
-    is among its own neighbours.
+    dealt out to shards of at most about `shard` codes, some 32 where these would
+    be fewer. A shard's index is built once, and the query codes stream through it
+    in sorted order, searched exactly by multi-index hashing; of the shards'
+    answers, those that fewer than k rows are nearer than get their ids. Ties go to
+    the smaller id; a query is among its own neighbours.
 
     All elements of a vector count, however many; shorter vectors count as if
     zeros followed; null, NaN and missing elements are not above zero. Null ids
@@ -138,12 +140,13 @@ def top_k(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str =
     wanted = codes.filter(F.col("id") % every == 0)
     found = entries.agg(F.count("*").alias("n"), F.max(F.octet_length("code")).alias("size")).first()
     words = max(1, -(-(found["size"] or 0) // 8))
-    width = shuffle_width(spark)
-    shards = max(width, -(-found["n"] // shard))
+    shards = max(min(shuffle_width(spark), _LEAST_SHARDS), -(-found["n"] // shard))
     right = entries.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"), "code", F.size("ids").alias("rows"))
     left = wanted.select("code").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "code", F.lit(0).alias("rows"))
     dealt = right.unionByName(left).repartition(shards, "shard").sortWithinPartitions("shard", "query")
-    answers = dealt.mapInArrow(_searched(k, words), "query binary, code binary, distance int")
+    answers = dealt.mapInArrow(_searched(k, words), "query binary, code binary, distance int, rows long")
+    nearer = F.coalesce(F.sum("rows").over(W.partitionBy("query").orderBy("distance").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    answers = answers.withColumn("nearer", nearer).filter(F.col("nearer") < k)
     rows = answers.join(entries, "code").select("query", "distance", F.explode("ids").alias("neighbour_id"))
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour_id"))).filter(F.col("rank") <= k)
     return wanted.join(ranked, wanted["code"] == ranked["query"]).select(F.col("id").alias("query_id"), "rank", "neighbour_id", "distance")
