@@ -162,7 +162,7 @@ def _quality_sql(span: str) -> str:
     at = ", ".join(f"list_sort(list(slot))[CAST(floor({p} * (count(slot) - 1)) AS INT) + 1] AS s{k}" for k, p in enumerate((0.05, 0.5, 0.95)))
     shown = ", ".join(f"round({_estimate_sql(f's{k}')}, 4) AS {n}" for k, n in enumerate(("p5", "median", "p95")))
     return f"""WITH {AU}, s AS (SELECT *, CAST(date_trunc('{span}', created_at) AS TIMESTAMP) AS w, {SLOT} AS slot FROM au), g AS (SELECT w, count(*) AS n, avg(CASE WHEN top_sku IS NULL THEN 1.0 ELSE 0 END) AS refused, count(*) FILTER (WHERE confirmed_sku IS DISTINCT FROM top_sku AND confirmed_sku IS NOT NULL) / nullif(count(confirmed_sku), 0) AS corrected, avg(confidence) AS mean, {at} FROM s GROUP BY w)
-SELECT w AS window_start, n, round(refused, 4) AS refusal_rate, round(corrected, 4) AS correction_rate, round(mean, 4) AS mean_confidence, {shown} FROM g"""
+SELECT w AS window_start, n, round(refused, 4) AS refusal_rate, round(corrected, 4) AS correction_rate, round(mean, 6) AS mean_confidence, {shown} FROM g"""
 
 
 def _partials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ def _partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(found: DataFrame) -> DataFrame:
-    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", *[_r(c).alias(c) for c in ("refusal_rate", "correction_rate", "mean_confidence", "p5", "median", "p95")])
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", _r("mean_confidence", 6).alias("mean_confidence"), *[_r(c).alias(c) for c in ("refusal_rate", "correction_rate", "p5", "median", "p95")])
 
 
 @registered(_quality_sql("day"))

@@ -1,4 +1,4 @@
-"""Registered queries of files, lookups and sessions against their SQL in DuckDB, on the smallest tables."""
+"""Registered queries of files, lookups, sessions, kept tables and keyed state against their SQL in DuckDB, on the smallest tables."""
 
 import math
 import os
@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from skuscope.plans import catalogue, files, lookups, sessions
+from skuscope.plans import catalogue, files, lookups, maintained, sessions, stateful
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = [n for n, f in catalogue.QUERIES.items() if f.__module__ in (files.__name__, lookups.__name__, sessions.__name__)]
+NAMES = [n for n, f in catalogue.QUERIES.items() if f.__module__ in {m.__name__ for m in (files, lookups, maintained, sessions, stateful)}]
 
 
 def plain(x):
