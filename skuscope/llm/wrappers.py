@@ -262,19 +262,7 @@ def _trimmed(a: tuple, b: tuple) -> tuple[int, int]:
     return head, tail
 
 
-_PAIRS = 10_000  # of differently shaped siblings that are all compared
-
-
-def _candidates(a: tuple, b: tuple, key: list) -> Iterator[tuple[int, int]]:
-    """The pairs of siblings to compare: all of one kind, or where these are too many, those that stand at about the same place."""
-    if len(set(a)) * len(set(b)) <= _PAIRS:
-        for x in set(a):
-            yield from ((x, y) for y in set(b) if key[x] == key[y])
-        return
-    width = max(1, _PAIRS // (2 * len(a)))
-    for i, x in enumerate(a):
-        at = i * len(b) // len(a)
-        yield from ((x, y) for y in b[max(0, at - width) : at + width + 1] if key[x] == key[y])
+_PAIRS = 10_000  # of differently shaped siblings that are compared one by one; more are compared by rows
 
 
 class _Matcher:
@@ -283,11 +271,15 @@ class _Matcher:
     def __init__(self, shapes: _Shapes):
         self.shapes = shapes
         self.scores: dict[int, dict[int, int]] = {}
+        self.rows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # of shapes with very many partners: these, sorted, and the scores
 
     def _score(self, u: int, v: int) -> int:
         if u == v:
             return self.shapes.size[u]
-        return self.scores.get(u, {}).get(v, 0)
+        found = self.scores.get(u, {}).get(v)
+        if found is None:
+            found = max((int(scores[k]) for others, scores in self.rows.get(u, ()) if (k := int(np.searchsorted(others, v))) < len(others) and others[k] == v), default=0)
+        return found
 
     def weights(self, a: tuple, b: tuple) -> np.ndarray:
         rows, row = np.unique(np.array(a, np.int64), return_inverse=True)
@@ -298,6 +290,9 @@ class _Matcher:
             for v, score in self.scores.get(u, {}).items():
                 if v in at:
                     small[k, at[v]] = score
+            for others, scores in self.rows.get(u, ()):
+                held = np.isin(columns, others, assume_unique=True)
+                small[k, held] = scores[np.searchsorted(others, columns[held])]
             if u in at:
                 small[k, at[u]] = self.shapes.size[u]
         return small[row][:, column]
@@ -353,19 +348,54 @@ class _Matcher:
                 found.append((i, j))
         return found[::-1]
 
-    def match(self, root_a: int, root_b: int) -> list[tuple[int, int]]:
-        """Places of matched nodes, in page order of both trees."""
+    def _compare_all(self, a: set[int], b: set[int]) -> None:
+        """Scores of all pairs of a and b: level by level from the lowest, each shape of one side with all of the
+        other side's at once. Of the levels below only one is held."""
+        kids, key = self.shapes.kids, self.shapes.key
+        levels = [(sorted(a), sorted(b))]
+        while all(levels[-1]):
+            levels.append(tuple(sorted({k for x in side for k in kids[x]}) for side in levels[-1]))
+        scores = np.zeros([len(levels[-1][0]), len(levels[-1][1]) + 1], np.int32)  # the last column is that of no node
+        for (rows, columns), (lower_rows, lower_columns) in zip(levels[-2::-1], levels[:0:-1]):
+            row_at, column_at = ({x: k for k, x in enumerate(side)} for side in (lower_rows, lower_columns))
+            alike: dict[tuple, list[int]] = {}
+            for k, y in enumerate(columns):
+                alike.setdefault((key[y], len(kids[y]).bit_length()), []).append(k)
+            parts: dict[tuple, list[tuple[list[int], np.ndarray]]] = {}
+            for (kind, bits), members in alike.items():
+                for at in range(0, len(members), step := max(1, (1 << 20) >> bits)):
+                    part = members[at : at + step]
+                    places = np.full((len(part), max(len(kids[columns[k]]) for k in part)), len(lower_columns))
+                    for line, k in zip(places, part):
+                        line[: len(kids[columns[k]])] = [column_at[y] for y in kids[columns[k]]]
+                    parts.setdefault(kind, []).append((part, places))
+            below, scores = scores, np.zeros((len(rows), len(columns) + 1), np.int32)
+            useful = below.any(axis=1)
+            for k, x in enumerate(rows):
+                for part, places in parts.get(key[x], ()):
+                    best = np.zeros((len(part), places.shape[1] + 1), np.int32)
+                    for y in (y for y in kids[x] if useful[row_at[y]]):
+                        best[:, 1:] = np.maximum.accumulate(np.maximum(best[:, 1:], best[:, :-1] + below[row_at[y]][places]), axis=1)
+                    scores[k, part] = 1 + best[:, -1]
+        for k, x in enumerate(levels[0][0]):
+            met = np.flatnonzero(scores[k, :-1])
+            self.rows.setdefault(x, []).append((np.array(levels[0][1], np.int64)[met], scores[k, met]))
+
+    def solve(self, root_u: int, root_v: int) -> None:
+        """Scores of what a best match of the children of two nodes depends on."""
         kids, key, size = self.shapes.kids, self.shapes.key, self.shapes.size
-        if key[root_a] != key[root_b]:
-            return []
-        wanted, open_pairs = {(root_a, root_b)}, [(root_a, root_b)]
+        wanted, open_pairs = {(root_u, root_v)}, [(root_u, root_v)]
         while open_pairs:
             u, v = open_pairs.pop()
             if u == v:
                 continue
             head, tail = _trimmed(kids[u], kids[v])
-            for pair in _candidates(kids[u][head : len(kids[u]) - tail], kids[v][head : len(kids[v]) - tail], key):
-                if pair not in wanted:
+            a, b = set(kids[u][head : len(kids[u]) - tail]), set(kids[v][head : len(kids[v]) - tail])
+            if len(a) * len(b) > _PAIRS:
+                self._compare_all(a, b)
+                continue
+            for pair in ((x, y) for x in a for y in b if key[x] == key[y]):
+                if pair not in wanted and pair[1] not in self.scores.get(pair[0], ()):
                     wanted.add(pair)
                     open_pairs.append(pair)
         for u, v in sorted(wanted):  # a subtree has a larger number than those in it
@@ -373,6 +403,12 @@ class _Matcher:
                 head, tail = _trimmed(kids[u], kids[v])
                 middle = self.total(kids[u][head : len(kids[u]) - tail], kids[v][head : len(kids[v]) - tail])[-1]
                 self.scores.setdefault(u, {})[v] = 1 + sum(size[k] for k in kids[u][:head]) + sum(size[k] for k in kids[u][len(kids[u]) - tail :]) + int(middle)
+
+    def match(self, root_a: int, root_b: int) -> list[tuple[int, int]]:
+        """Places of matched nodes, in page order of both trees."""
+        kids, key, size = self.shapes.kids, self.shapes.key, self.shapes.size
+        if key[root_a] != key[root_b]:
+            return []
         found, stack = [], [(root_a, 0, root_b, 0)]
         while stack:
             u, at_u, v, at_v = stack.pop()
@@ -380,6 +416,8 @@ class _Matcher:
                 found += [(at_u + k, at_v + k) for k in range(size[u])]
                 continue
             found.append((at_u, at_v))
+            if v not in self.scores.get(u, ()):
+                self.solve(u, v)
             head, tail = _trimmed(kids[u], kids[v])
             middle = self.best(kids[u][head : len(kids[u]) - tail], kids[v][head : len(kids[v]) - tail])
             pairs = [(k, k) for k in range(head)] + [(i + head, j + head) for i, j in middle] + [(len(kids[u]) - k, len(kids[v]) - k) for k in range(tail, 0, -1)]

@@ -103,6 +103,32 @@ def test_alignment_is_a_largest_match():
         assert all(x[i] == y[j] and (i == 0 or (parent(x, i), parent(y, j)) in found) for i, j in found)
 
 
+def test_pairs_beyond_the_bound_are_all_compared(monkeypatch):
+    r = random.Random(8)
+
+    def grown(depth, most=4):
+        return (r.choice("ab"), [grown(depth - 1) for _ in range(r.randrange(0, most + 1))] if depth else [])
+
+    for bound in (0, 4, 20):
+        monkeypatch.setattr(wrappers, "_PAIRS", bound)
+        for _ in range(60):
+            a, b = grown(3, 7), grown(3, 7)
+            x, y = flat(a), flat(b)
+            found = sorted(wrappers.aligned.__wrapped__(wrappers._as_json(x), wrappers._as_json(y)).items())
+            assert len(found) == brute_score(a, b)
+            parent = lambda t, i: next(k for k in reversed(range(i)) if t[k][0] < t[i][0]) if i else -1
+            assert all(x[i] == y[j] and (i == 0 or (parent(x, i), parent(y, j)) in found) for i, j in found)
+
+
+def test_siblings_far_from_their_place_are_matched():
+    def sibling(k, kinds, last):  # the same but for its last child
+        return ("div", [(kinds[k >> i & 1], []) for i in range(9)] + [(last, [])])
+
+    ours = [sibling(k, ("p", "ul"), "h2") for k in range(500)]
+    a, b = ("body", ours), ("body", [sibling(k, ("dl", "ol"), "h4") for k in range(500)] + [sibling(k, ("p", "ul"), "h3") for k in range(500)])
+    assert len(wrappers.aligned(wrappers._as_json(flat(a)), wrappers._as_json(flat(b)))) == 1 + 10 * 500
+
+
 def test_halved_rows_match_as_well(monkeypatch):
     r = random.Random(6)
     for _ in range(20):
