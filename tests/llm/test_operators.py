@@ -444,6 +444,30 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_links_of_a_few_tasks_have_the_same_components(spark):
+    r = random.Random(4)
+    for n, k in ((400, 300), (60, 200), (500, 499)):
+        links = [(r.randrange(-n, n), r.randrange(-n, n)) for _ in range(k)] + [(None, 1)] if n - k != 1 else [(i, i + 1) for i in r.sample(range(n), n)]
+        least = {x: x for pair in links for x in pair if None not in pair and pair[0] != pair[1]}
+        for _ in least:
+            for a, b in links:
+                if a in least and b in least:
+                    least[a] = least[b] = min(least[a], least[b])
+        for task_links in (50, 10**6):
+            got = components.connected_components(spark.createDataFrame(links, "u long, v long"), task_links=task_links)
+            assert {tuple(x) for x in got.collect()} == set(least.items())
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        components.connected_components(links)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 5
+
+
 def test_toxicity(spark, none):
     bad = ["scumlord", "idiotic", "worthlessly"]
     table = []
