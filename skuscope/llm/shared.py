@@ -89,6 +89,17 @@ def frugal(run):
     return tidied
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that Spark must not broadcast: of what comes out of an explode, an aggregate or a compressed
+    table it expects the bytes of the files below, which can be a small part of what goes to the driver."""
+    return df.hint("merge")
+
+
+def broadcast_few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A side of a join with narrow rows, broadcast if it has at most so many of them and shuffled otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else shuffled(df)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import frugal, text_or_empty, written
+from .shared import broadcast_few, frugal, shuffled, text_or_empty, written
 
 SEED = 42
 _ODD_BITS = 0x5555555555555555
@@ -162,10 +162,10 @@ def near_links(fingerprints: DataFrame, *, distance: int = 3, grid: tuple[int, i
     coded = fingerprints.select("fp", segment_counts(F.col("fp")).alias("code"))
     cells = _cells(coded, distance, blocks, dropped)
     members = cells.groupBy("table", "cell").agg(F.count("*").alias("n"), F.min(F.when(F.col("own"), F.col("fp"))).alias("least")).filter("n > 1 and least is not null")
-    cells = written(cells.drop("code").join(members, ["table", "cell"]), "cells")
+    cells = written(cells.drop("code").join(shuffled(members), ["table", "cell"]), "cells")
     few = cells.filter(F.col("n") <= crowded).select("table", "cell", "fp", "own", segment_counts(F.col("fp")).alias("code"))
     same_cell = (F.col("a.table") == F.col("b.table")) & (F.col("a.cell") == F.col("b.cell"))
-    pairs = few.alias("a").join(few.filter("own").alias("b"), same_cell & (~F.col("a.own") | (F.col("a.fp") < F.col("b.fp"))))
+    pairs = few.alias("a").join(shuffled(few.filter("own")).alias("b"), same_cell & (~F.col("a.own") | (F.col("a.fp") < F.col("b.fp"))))
     apart = F.col("a.code").bitwiseXOR(F.col("b.code"))
     exact = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
     once = F.lit(True) if reach_of(distance, blocks, dropped) else _first_table(F.col("a.table"), apart, blocks, dropped)
@@ -175,7 +175,7 @@ def near_links(fingerprints: DataFrame, *, distance: int = 3, grid: tuple[int, i
     many = cells.filter(F.col("n") > crowded)
     stars = many.filter(near & (F.col("fp") != F.col("least"))).select(F.col("fp").alias("u"), F.col("least").alias("v"))
     far = many.filter(~near)
-    sizes = far.groupBy("table", "cell").agg(F.count("*").alias("far")).select("table", "cell", F.ceil(F.col("far") / chunk).cast("int").alias("far_chunks"))
+    sizes = broadcast_few(far.groupBy("table", "cell").agg(F.count("*").alias("far")).select("table", "cell", F.ceil(F.col("far") / chunk).cast("int").alias("far_chunks")))
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     part = lambda of: F.pmod(F.xxhash64("fp"), of).cast("int")
     left = far.join(sizes, ["table", "cell"]).select("table", "cell", part(F.col("far_chunks")).alias("i"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("j"), "fp")
@@ -187,10 +187,10 @@ def near_links(fingerprints: DataFrame, *, distance: int = 3, grid: tuple[int, i
 def component_names(nodes: DataFrame, parts: DataFrame, key: str, salts: int = 16) -> DataFrame:
     """nodes(key, first), parts(node, component) -> key and component_id, the least `first` of the key's component.
     Nodes without a link need no name but their own; the others are joined by component and a salt, so a large component is many keys."""
-    linked = nodes.join(parts, nodes[key] == parts["node"], "left").select(key, "first", "component")
+    linked = nodes.join(shuffled(parts), nodes[key] == parts["node"], "left").select(key, "first", "component")
     members = linked.filter("component is not null")
     named = members.groupBy("component").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = members.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(named, ["component", "salt"])
+    joined = members.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(shuffled(named), ["component", "salt"])
     return joined.select(key, "component_id").unionByName(linked.filter("component is null").select(key, F.col("first").alias("component_id")))
 
 
@@ -205,4 +205,4 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     marked = written(docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(docs, text_column).alias("text")).mapInArrow(frugal(_fingerprints(shingle)), "id long, fp long"), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     of_fp = component_names(nodes, connected_components(near_links(nodes.select("fp"), distance=distance)), "fp")
-    return marked.join(of_fp, "fp").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(shuffled(of_fp), "fp").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

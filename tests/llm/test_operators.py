@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skuscope.llm import components, dedup, hamming, media, mixing, packing, simhash, suffixes, tokens, toxicity, warc, wrappers
+from skuscope.llm import components, dedup, hamming, media, mixing, packing, shared, simhash, suffixes, tokens, toxicity, warc, wrappers
 
 R = random.Random(11)
 WORDS = ["alpha", "beta", "gamma", "delta", "épsilon", "zeta.", "Eta", "theta,", "iota!", "kappa"]
@@ -432,6 +432,30 @@ def test_crowded_cells_lose_no_link(spark):
         assert {found[x] for x in signed} == {min(signed)}  # each was made within three bits of another
 
 
+def test_no_side_that_grows_is_broadcast_by_its_expected_size(spark, docs, monkeypatch):
+    plans = []
+
+    def noted(df, name, write=simhash.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(components, "written", noted)
+    found = simhash.near_duplicates(docs)
+    assert found.count() == docs.count()
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(100)], "u long, v long"), task_links=30)
+    assert sum(plan.count("SortMergeJoin") for plan in plans) >= 6
+    for plan in plans:  # the sizes of crowded cells are broadcast behind a count
+        assert plan.count("BroadcastHashJoin") == 2 * ("FlatMapGroupsInArrow" in plan)
+
+
+def test_few_rows_are_broadcast_behind_a_count(spark):
+    rows = spark.range(5000)
+    joined = lambda most: rows.join(shared.broadcast_few(rows, most), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joined(5000) and "SortMergeJoin" in joined(4999) and "BroadcastHashJoin" not in joined(4999)
+
+
 def test_grids_follow_the_number_of_fingerprints():
     assert [simhash.grid_for(n, 3) for n in (0, 100_000, 1_000_000, 10_000_000, 10**9)] == [(2, 1), (2, 1), (8, 3), (10, 3), (20, 3)]
     assert simhash.reach_of(3, 2, 1) == 1 and simhash.reach_of(3, 8, 3) == 0
