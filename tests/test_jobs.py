@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skuscope.functions import images as im
@@ -190,3 +191,18 @@ def test_strict_ranking_rejects_unknown_places(spark):
     shown = lambda df: {r.query_id: [x.label for x in r.ranking] for r in df.collect()}
     assert shown(ident.rank_categories(rows, ["a", "b"])) == {1: ["b", "a"], 2: ["class_2", "b", "a"], 3: ["a", "b"]}
     assert shown(ident.rank_categories(rows, ["a", "b"], strict=True)) == {1: ["b", "a"], 3: ["a", "b"]}
+
+
+def test_a_much_asked_vehicle_is_several_tasks_and_runs_of_skus(spark):
+    ranges = spark.range(20_000).select(F.nullif(F.col("id").cast("string"), F.lit("7")).alias("sku"), F.lit("Ford").alias("make"), F.lit("x").alias("model"), F.lit(1999).alias("year_start"), F.lit(2001).alias("year_end"))
+    ranges = ranges.unionByName(ranges.limit(50)).unionByName(ranges.limit(9).withColumn("make", F.lit("Audi"))).unionByName(ranges.limit(1).withColumn("model", F.lit(None).cast("string")))
+    asked = spark.range(150).select(F.col("id").alias("request_id"), F.lit("Ford").alias("make"), F.lit("x").alias("model"), F.lit(2000).alias("year"))
+    asked = asked.unionByName(asked.limit(3)).unionByName(spark.createDataFrame([(None, "Ford", "x", 2001), (900, "Audi", "x", 2001), (901, "Audi", "x", 2002), (902, "Ford", None, 2000)], "request_id long, make string, model string, year int"))
+    got = fi.products_for_vehicle(ranges, asked).select(F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), "request_id", "sku")
+    by = got.groupBy("request_id").agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("sku", F.lit("none"))).alias("skus")).collect()
+    assert {r["request_id"]: (r["n"], r["skus"]) for r in by} == {**{k: (20_000, 20_000) for k in (*range(150), None)}, 900: (9, 9)}
+    before = F.lag("sku").over(W.partitionBy("task").orderBy("at"))
+    tasks = got.withColumn("fresh", (~F.col("sku").eqNullSafe(before)).cast("int")).groupBy("task").agg(F.count("*").alias("n"), F.sum("fresh").alias("runs")).collect()
+    assert len(tasks) > 1 and max(t["n"] for t in tasks) < 3_000_000
+    assert sum(t["runs"] for t in tasks) < 45_000  # a list of up to 256 requests for each SKU, not a SKU a row
+    assert fi.products_for_vehicle(ranges.limit(0), asked).count() == fi.products_for_vehicle(ranges, asked.limit(0)).count() == 0
