@@ -32,8 +32,7 @@ def block_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: lis
     right = right.toDF(*right.columns)  # its own columns, also where both sides come from one table
     blocks = lambda df, rows, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
     sizes = blocks(left, left_rows, "_a").join(blocks(right, right_rows, "_b"), keys)
-    if sizes.limit(few_groups + 1).count() <= few_groups:
-        sizes = F.broadcast(sizes)
+    sizes = F.broadcast(sizes) if sizes.limit(few_groups + 1).count() <= few_groups else sizes.hint("merge")
     left = left.join(sizes, keys).withColumn("lb", F.pmod(F.xxhash64(*left_id), F.col("_a")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_a", "_b")
     right = right.join(sizes, keys).withColumn("rb", F.pmod(F.xxhash64(*right_id), F.col("_b")).cast("int")).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("_a") - 1))).drop("_a", "_b")
     on = [*keys, "lb", "rb"]
@@ -47,7 +46,7 @@ def block_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: lis
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(n, kinds[k]) for n, k in (part.split() for part in schema.split(","))])
 
 

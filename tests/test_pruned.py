@@ -61,3 +61,31 @@ def test_nothing_to_search(clustered):
     queries = clustered.select("category_slug", "backend", "remove_bg", F.col("row_pos").alias("query_id"), "embedding")
     assert pr.search_pruned(queries, pr.cut_index(clustered.limit(0)), 3)[0].count() == 0
     assert pr.search_pruned(queries.limit(0), pr.cut_index(clustered), 3)[0].count() == 0
+
+
+def test_blocks_to_visit_are_not_broadcast_nor_sent_with_a_vector_each(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = spark.createDataFrame([("c", "dinov2", True, f"s{i % 30}", i, rng.normal(size=16).tolist()) for i in range(1500)], VECTORS)  # nothing to leave out
+    queries = vectors.select("category_slug", "backend", "remove_bg", F.col("row_pos").alias("query_id"), "embedding")
+    plans, sent = [], []
+
+    def noted(left, right, keys, *rest, pairs=pr.block_pairs):
+        if any(k in keys for k in ("block", "piece")):  # where vectors are compared
+            plans.append(left._jdf.queryExecution().executedPlan().toString())
+            sent.append(left.count())
+        return pairs(left, right, keys, *rest)
+
+    cut = pr.cut_index(vectors, rows_a_block=16)
+    monkeypatch.setattr(pr, "block_pairs", noted)
+    found, visited = pr.search_pruned(queries, cut, 5)
+    assert visited.count() > 1500 * 50
+    assert sent == [1500, 1500] and not any("Broadcast" in plan for plan in plans)
+    assert rows(found) == rows(se.search_topk(queries, vectors, 5, scoring="image_max"))
+
+
+@pytest.mark.parametrize("piece_rows", [1, 100])
+def test_pieces_of_a_group_give_the_same_rows(clustered, piece_rows):
+    queries = clustered.select("category_slug", "backend", "remove_bg", F.col("row_pos").alias("query_id"), "embedding")
+    cut = pr.cut_index(clustered, rows_a_block=40)
+    found, visited = pr.search_pruned(queries, cut, 5, piece_rows)
+    assert rows(found) == rows(se.search_topk(queries, clustered, 5, scoring="image_max")) and visited.distinct().count() == visited.count()
