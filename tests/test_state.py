@@ -1,8 +1,10 @@
 """Streams with state by key: late turns, question rounds, restarts from a checkpoint."""
 
 import datetime as dt
+import json
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skuscope.operators import questions as qu
@@ -98,3 +100,48 @@ def test_sessions_expire(spark):
 def test_year_runs_end_where_no_part_fits():
     rows = [{"sku": "a", "year_start": 2018, "year_end": 2022}, {"sku": "b", "year_start": 2018, "year_end": 2024}, {"sku": "a", "year_start": 2026, "year_end": 2027}, {"sku": "c", "year_start": 2030, "year_end": 2029}]
     assert [(x["label"], x["skus"]) for x in state._year_runs(rows)] == [("2018–2022", ["a", "b"]), ("2023–2024", ["b"]), ("2026–2027", ["a"])]
+
+
+def test_a_session_takes_few_calls(monkeypatch):
+    calls, asked = [], []
+
+    class Value:
+        def __init__(self, name):
+            self.name, self.now = name, None
+
+        def get(self):
+            calls.append(f"get {self.name}")
+            return self.now
+
+        def update(self, now):
+            calls.append(f"update {self.name}")
+            self.now = now
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value(name)
+
+        def registerTimer(self, ms):
+            calls.append(f"timer {ms}")
+
+        def deleteTimer(self, ms):
+            calls.append(f"no timer {ms}")
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    monkeypatch.setattr(state, "open_question", lambda *a, f=state.open_question: asked.append(len(a[2])) or f(*a))
+    candidates = [{"sku": x, "brand": b, "mpn": m, "similarity": 0.5} for x, b, m in (("a", "A", "M1"), ("b", "B", "M1"), ("c", "B", "M2"), ("d", "B", "M2"))]
+    seed = json.dumps({"candidates": candidates, "fitment": []})
+    rounds = state.QuestionRounds(100)
+    rounds.init(Handle())
+    pick = lambda seq, option, skip=False: Row(session_id="s", seq=seq, ms=1000 + seq, option=option, skip=skip)
+    rounds.handleInitialState(("s",), Row(session_id="s", seed=seed), Timers())
+    first = list(rounds.handleInputRows(("s",), iter([pick(2, 9), pick(1, None, True), pick(2, None, True)]), Timers()))
+    assert [(x.seq, x.reason, x.facet) for x in first] == [(1, None, "brand"), (2, None, None), (2, "repeated pick", None)]
+    assert calls == ["update seed", "update made", "timer 1102"] and asked == [0, 1, 2]
+    calls.clear(), asked.clear()
+    second = list(rounds.handleInputRows(("s",), iter([pick(3, 0)]), Timers()))
+    assert [(x.reason, x.n_remaining, x.status) for x in second] == [("no open question", 4, "exhausted")]
+    assert calls == ["get seed", "get made", "update made", "no timer 1102", "timer 1103"] and asked == [2]
